@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.columns import strand_symbol
 from strandline.operators.intervals import range_join
+from strandline.sources.scratch import Scratch
 
 KEPT = ("record_id", "start", "end", "strand", "locus_tag", "protein_id", "gene", "product", "translation", "kos", "ecs")
 OVERLAP = 0.8
@@ -82,12 +83,16 @@ def by_translation(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def pair_features(old: DataFrame, new: DataFrame, least: float = OVERLAP, width: int = 10_000) -> DataFrame:
-    """old_idx, new_idx and tier; each tier works on what those before left."""
-    done = None
+    """old_idx, new_idx and tier; each tier works on what those before left.
+
+    The inputs and each tier's pairs are written to the shared folder: every later tier reads them twice.
+    """
+    scratch = Scratch(old.sparkSession)
+    old, new, done = scratch.keep(old, "old"), scratch.keep(new, "new"), None
     for tier, match in (("locus_tag", lambda a, b: _by_key(a, b, "locus_tag")), ("protein_id", lambda a, b: _by_key(a, b, "protein_id")), ("coordinate_overlap", lambda a, b: _by_overlap(a, b, least, width)), ("translation_hash", by_translation)):
         a = old if done is None else old.join(done, old["idx"] == done["old_idx"], "left_anti")
         b = new if done is None else new.join(done, new["idx"] == done["new_idx"], "left_anti")
-        got = match(a, b).withColumn("tier", F.lit(tier))
+        got = scratch.keep(match(a, b).withColumn("tier", F.lit(tier)), "pairs")
         done = got if done is None else done.unionByName(got)
     return done
 
