@@ -10,15 +10,14 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.sources.scratch import Scratch  # noqa: F401
+
 #: Rows that a worker handles at a time; bounds the Python copies of long texts.
 SUB_BATCH = 256
 
@@ -45,41 +44,6 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-class Scratch:
-    """Intermediate tables in the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own
-    and any other master is refused, since a folder of one machine would lose rows there. Writing and rereading cuts
-    the lineage, so a lost executor costs only the stage that it ran.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths, self.made = spark, {}, 0
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = os.path.join(tempfile.gettempdir(), "checkpoints", f"strandline-{os.getuid()}")
-        self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
-        self.made += 1
-        path = f"{self.root}/{label}-{self.made}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (out, path)
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Deletes tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for df in frames:
-            _, path = self.paths.pop(id(df), (None, None))
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
-
-
 def text_key(text) -> F.Column:
     """Two columns' worth of fingerprint for telling rows with one doc_id apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
