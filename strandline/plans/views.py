@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.columns import PART, xrefs
+from strandline.sources.spread import spread
 
 RECORD_LENGTH = 1_400_000
 
@@ -25,7 +26,7 @@ def _padded(c, n: int):
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat features. The number of a feature only has to be unique and in order, so it is worked out from the keys
     instead of ranking all rows in one place."""
-    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    line, part = spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "part")
     j = line.join(part, line["l_partkey"] == part["p_partkey"])
     quantity = F.col("l_quantity").cast("int")
     start = F.col("l_orderkey") * 100 + F.col("l_linenumber") * 7 + 1
@@ -88,7 +89,7 @@ def changed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source and s: the letters of each document's text as bases."""
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("s"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "source", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("s"))
 
 
 def coding(spark: SparkSession, sf_dir: str) -> DataFrame:
