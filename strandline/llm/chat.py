@@ -51,8 +51,10 @@ def _doubled(nodes: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataF
             raise ValueError("the parents of some messages form a circle")
         jumps.append(step)
         above = state.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("anc").alias("anc2"), F.col("score").alias("score2"), F.col("n").alias("n2"))
-        joined = state.join(above, (F.col("tree") == F.col("t")) & (F.col("anc") == F.col("i")), "left")
-        state = scratch.keep(joined.select("tree", "id", F.col("anc2").alias("anc"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "state")
+        # nodes that have reached their root are only looked up, not joined again
+        going = state.where("anc is not null").join(above, (F.col("tree") == F.col("t")) & (F.col("anc") == F.col("i")))
+        going = going.select("tree", "id", F.col("anc2").alias("anc"), (F.col("score") + F.col("score2")).alias("score"), (F.col("n") + F.col("n2")).alias("n"))
+        state = scratch.keep(going.unionByName(state.where("anc is null")), "state")
 
 
 def reply_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
