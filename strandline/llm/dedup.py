@@ -42,6 +42,8 @@ BASE = 1.02
 MISS = 1e-6
 MOST_REGISTERS = 208
 BLOCK = 256
+#: Rows of two numbers that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 #: Log likelihood by which the estimate must beat the threshold to rule a pair out (about five standard errors).
 RULED_OUT = 12.5
 
@@ -325,8 +327,10 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     reps = classes.select("doc_id", "row_key").join(members, "doc_id", "left_semi")
     texts = rows.join(reps, ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id", "row_key"])
     sets = scratch.keep(_sets(texts, setting), "sets")
-    # only centres of more than a block are looked up; there are few, so Spark finds them small enough to broadcast
-    large = pairs.groupBy("centre").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("centre", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"))
+    # only centres of more than a block are looked up: few, and broadcast if their count proves it
+    large = scratch.keep(pairs.groupBy("centre").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("centre", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks")), "large")
+    if large.count() <= MOST_BROADCAST:
+        large = F.broadcast(large)
     placed = pairs.join(large, "centre", "left").na.fill(1, ["n_blocks"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("centre", "doc_id", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     grouped = meets.join(sets, "doc_id").select("centre", "bi", "bj", "block", "doc_id", "shingles").repartition("centre", "bi", "bj").sortWithinPartitions("centre", "bi", "bj")
