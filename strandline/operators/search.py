@@ -106,3 +106,9 @@ def first_per_record(features: DataFrame, k: int) -> DataFrame:
     """The first k features of each record, by start."""
     w = Window.partitionBy("path", "record_index").orderBy("start", "feature_index")
     return features.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
+
+
+def find_record(records: DataFrame, name: str) -> DataFrame:
+    """The first record of each file with the id or name."""
+    got = records.where((F.col("record_id") == name) | (F.col("name") == name))
+    return got.groupBy("path").agg(F.min_by(F.struct(*records.columns), "record_index").alias("_r")).select("_r.*")

@@ -117,3 +117,18 @@ def batch_summary(records: DataFrame, features: DataFrame, summaries: DataFrame
         F.format_string("%d / %d", heads["trna"], heads["tmrna"]), F.col("uniref"), F.col("refseq"), F.col("cogs"), F.col("kos"), F.col("unknown"), heads["pseudogene"], heads["regulatory"],
     )
     return rows.select(*[v.alias(c) for v, c in zip(values, BATCH_COLUMNS)]).orderBy(F.lower(F.col(f"`{BATCH_COLUMNS[0]}`")))
+
+
+def sequences_by_id(records: DataFrame) -> DataFrame:
+    """Upper-case sequence of each record id of a file; of records with one id the last."""
+    return records.where("length(seq) > 0").groupBy("path", "record_id").agg(F.max_by(F.upper("seq"), "record_index").alias("seq"))
+
+
+def genome_report(records: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """Bases, GC over all records and, with ``coding``'s rows, coding density over all bases, per file."""
+    s = F.upper(F.coalesce("seq", F.lit("")))
+    gc, acgt = F.sum(F.regexp_count(s, F.lit("[GC]"))), F.sum(F.regexp_count(s, F.lit("[ACGT]")))
+    out = records.groupBy("path").agg(F.sum(F.length(s)).cast("long").alias("bases"), F.when(acgt > 0, 100.0 * gc / acgt).otherwise(F.lit(0.0)).alias("gc"))
+    if coverage is not None:
+        out = out.join(coverage.groupBy("path").agg(F.sum("coding_bp").alias("coding_bp")), "path", "left").withColumn("coding_density", F.when(F.col("bases") > 0, 100.0 * F.coalesce("coding_bp", F.lit(0)) / F.col("bases")).otherwise(F.lit(0.0)))
+    return out

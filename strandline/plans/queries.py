@@ -442,6 +442,12 @@ def flatfile_roundtrip(spark, d):
     return derive(got).select("record_id", "type", "start", "end", strand_symbol(F.col("strand")).alias("strand"), "locus_tag", "length")
 
 
+@_query(f"WITH {SEQ} SELECT source AS path, CAST(sum(length(s)) AS BIGINT) AS bases, round(coalesce(100.0::DOUBLE * sum(length(regexp_replace(s, '[AT]', '', 'g'))) / nullif(sum(length(s)), 0), 0), 6) AS gc FROM seq GROUP BY 1")
+def nt_genome_report(spark, d):
+    rows = views.sequences(spark, d).select(F.col("source").alias("path"), F.col("s").alias("seq"))
+    return summaries.genome_report(rows).withColumn("gc", F.round("gc", 6))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _REGISTRY.items()}
 

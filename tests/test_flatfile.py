@@ -141,6 +141,10 @@ def test_summaries(spark, lake):
     assert (cov["ALPHA.1"]["coding_bp"], cov["ALPHA.1"]["cds_bp"], cov["GAMMA"]["coding_density"]) == (78, 84, 0.0)
     meta = {r["locus"]: r for r in summaries.metadata(lake[0], lake[1]).collect()}
     assert meta["ALPHA"]["strain"] == "S-1" and meta["GAMMA"]["strain"] == "S-2" and meta["BETA"]["accession"] == "BETA"
+    report = {r["path"]: r for r in summaries.genome_report(lake[0], summaries.coding(lake[1], lake[0])).collect()}
+    assert report["a.gb"]["bases"] == len(SEQ_A) and abs(report["a.gb"]["coding_density"] - 100 * 78 / len(SEQ_A)) < 1e-9
+    assert summaries.sequences_by_id(lake[0]).where("record_id = 'BETA'").first()["seq"] == SEQ_B
+    assert search.find_record(lake[0], "ALPHA").first()["record_id"] == "ALPHA.1"
     lines = spark.createDataFrame([("x/a.txt", 0, "Length: 5,050 bp"), ("x/a.txt", 1, "  CDSs: 12"), ("x/a.txt", 2, "GC: 59.8 %"), ("x/a.txt", 3, "other: 1"), ("x/a.txt", 4, "tRNAs: 2")], "path string, pos int, value string")
     s = dimensions.parse_summaries(lines)
     assert s.first()["summary"] == {"genome_size_bp": 5050.0, "cds": 12.0, "gc_content": 59.8, "trna": 2.0}
