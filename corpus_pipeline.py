@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import decontam, dedup, packing, quality, secret_scan
-from strandline.llm.common import Scratch, table
+from strandline.llm.common import Scratch, native_table, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = native_table(spark, sf_dir, "documents")
     scratch = Scratch(spark)
     for name, stage in STAGES[:-1]:
         before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name)

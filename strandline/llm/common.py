@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def native_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """As it is read: for the operators that use nothing but DataFrame functions."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, arrow: pa.Schema) -> DataFrame:
     """``mapInArrow`` over small slices; ``fn`` gives a dict of columns for a slice."""
 
