@@ -9,15 +9,18 @@ A document is the set of its distinct word shingles (A-Z lowered, words split at
    registers of the representatives meet in buckets. Each bucket names its smallest id as centre, and every member is
    paired with that centre only, so a bucket of n gives n - 1 rows, never all pairs. Any two members of a bucket also
    meet in the group of their centre.
-3. Verification. A centre's group is cut into blocks of ``BLOCK`` members, and each task gets two blocks with their full
-   sets. It leaves out pairs whose sizes rule the link out, and pairs whose similarity, estimated by maximum likelihood
-   jointly from the register comparison counts and both set sizes, is improbable to reach the threshold. All others are
-   counted exactly on the full sets. Only links that join what isn't joined yet are returned, a forest, not all pairs.
+3. Verification. A centre's group is cut into blocks of ``BLOCK`` members, and each block, joined by its centre, is
+   compared with full sets. What these links leave in different components is compared block by block: the members
+   outside a group's most frequent component with each other and with all others. The comparison leaves out pairs whose
+   sizes rule the link out, and pairs whose similarity, estimated by maximum likelihood jointly from the register
+   comparison counts and both set sizes, is improbable to reach the threshold. All others are counted exactly on the
+   full sets. Only links that join what isn't joined yet are returned, a forest, not all pairs.
 4. Components by alternating large-star and small-star steps over the links, written to the shared folder each round.
 
 Band sizes are chosen so that a pair at the threshold shares no band with a probability of at most ``MISS``; pairs above
-it still less. Work within a group of n near copies is quadratic in block comparisons (vectorised, about 0.2 us a pair),
-as verification of all members must be, but rows and memory are not: n ids, n * n / BLOCK set copies in the shuffle.
+it still less. Work and set copies of a group of n near copies, of which u stay outside its largest component after the
+first step, grow with n * BLOCK + n * u comparisons and n + n * u / BLOCK copies: in proportion to n where most are copies
+of one text, and never as pairs. The links that the first step makes needless are those within one component.
 
 Null and empty texts have empty sets: they link with nothing, are their own component and are kept. A text with fewer
 words than a shingle is one shingle. Rows with a null doc_id get no component and are kept. Rows that repeat a doc_id
@@ -310,6 +313,37 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def _blocks(n: F.Column) -> F.Column:
+    return F.ceil(n / BLOCK).cast("int")
+
+
+def _block_of(doc_id: str, n_blocks: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(doc_id), n_blocks).cast("int")
+
+
+def _with_sets(meets: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (centre, bi, bj, block, doc_id) with their sets, each pair of blocks together in one task."""
+    return meets.join(sets, "doc_id").select("centre", "bi", "bj", "block", "doc_id", "shingles").repartition("centre", "bi", "bj").sortWithinPartitions("centre", "bi", "bj")
+
+
+def _loose_meets(members: DataFrame, components: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Pairs of blocks that are still open in the groups ``members`` (centre, doc_id), and the number of such groups.
+
+    Two members of one component need no further link. So only the members outside a group's most frequent component,
+    the loose ones, are compared: with each other and with all others. Blocks of loose members come first.
+    """
+    found = scratch.keep(members.join(components, members["doc_id"] == components["node"], "left").select("centre", "doc_id", F.coalesce("component", "doc_id").alias("component")), "found")
+    counts = found.groupBy("centre", "component").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("centre").agg(F.max(F.struct("n", (-F.col("component")).alias("minus"))).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    groups = scratch.keep(groups.select("centre", (-F.col("most.minus")).alias("main"), _blocks(F.col("n") - F.col("most.n")).alias("n_loose"), _blocks(F.col("most.n")).alias("n_main")), "groups")
+    n_groups = groups.count()
+    placed = found.join(F.broadcast(groups) if n_groups <= MOST_BROADCAST else groups, "centre").withColumn("loose", F.col("component") != F.col("main"))
+    placed = placed.withColumn("block", F.when(F.col("loose"), _block_of("doc_id", F.col("n_loose"))).otherwise(F.col("n_loose") + _block_of("doc_id", F.col("n_main"))))
+    last = F.when(F.col("loose"), F.col("n_loose") + F.col("n_main") - 1).otherwise(F.col("n_loose") - 1)
+    meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return meets.select("centre", "doc_id", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")), n_groups
+
+
 def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id and kept for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession)
@@ -328,14 +362,19 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     texts = rows.join(reps, ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id", "row_key"])
     sets = scratch.keep(_sets(texts, setting), "sets")
     # only centres of more than a block are looked up: few, and broadcast if their count proves it
-    large = scratch.keep(pairs.groupBy("centre").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("centre", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks")), "large")
-    if large.count() <= MOST_BROADCAST:
-        large = F.broadcast(large)
-    placed = pairs.join(large, "centre", "left").na.fill(1, ["n_blocks"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
-    meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("centre", "doc_id", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    grouped = meets.join(sets, "doc_id").select("centre", "bi", "bj", "block", "doc_id", "shingles").repartition("centre", "bi", "bj").sortWithinPartitions("centre", "bi", "bj")
-    links = scratch.keep(_verified(grouped, setting), "links")
-    components = connected(links, scratch)
+    large = scratch.keep(pairs.groupBy("centre").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("centre", _blocks(F.col("n")).alias("n_blocks")), "large")
+    n_large = large.count()
+    few = F.broadcast(large) if n_large <= MOST_BROADCAST else large
+    home = pairs.join(few, "centre", "left").na.fill(1, ["n_blocks"]).select("centre", "doc_id", _block_of("doc_id", F.col("n_blocks")).alias("block"))
+    guests = large.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).where(F.col("block") != _block_of("centre", F.col("n_blocks"))).select("centre", F.col("centre").alias("doc_id"), "block")
+    meets = home.unionByName(guests).withColumn("bi", F.col("block")).withColumn("bj", F.col("block"))
+    links = scratch.keep(_verified(_with_sets(meets, sets), setting), "links")
+    components = scratch.keep(connected(links, scratch), "components")
+    if n_large:
+        meets, n_loose = _loose_meets(pairs.join(few.select("centre"), "centre"), components, scratch)
+        if n_loose:
+            more = scratch.keep(_verified(_with_sets(meets, sets), setting), "links")
+            components = connected(more.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
     scratch.drop(pairs, sets, links)
 
     least = classes.select("k1", "k2", F.col("doc_id").alias("rep")).join(components, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))

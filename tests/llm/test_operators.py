@@ -93,6 +93,23 @@ def test_components_of_a_large_group(spark, setting, monkeypatch):
     assert got == brute_components(rows, setting)
 
 
+def test_components_of_drifting_copies(spark, monkeypatch):
+    """Copies of copies, and a family near to them but not linked: the second step has work."""
+    monkeypatch.setattr(dedup, "BLOCK", 4)
+    open_groups, plain = [], dedup._loose_meets
+    monkeypatch.setattr(dedup, "_loose_meets", lambda *a: open_groups.append(got := plain(*a)) or got)
+    rng = random.Random(6)
+    words, rows = [f"w{rng.randrange(10**6)}" for _ in range(120)], []
+    for i in range(90):
+        words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        if i == 50:
+            words[::17] = [f"v{k}" for k in range(len(words[::17]))]
+        rows.append(((i * 37) % 101, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, dedup.Setting())
+    assert open_groups[0][1] > 0
+
+
 def test_sketches():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64)) for _ in range(2))
