@@ -160,17 +160,17 @@ def feat_island_links(spark, d):
 _NUM = """num AS (SELECT *, row_number() OVER (PARTITION BY record_index ORDER BY st, fi) - 1 AS i, count(*) OVER (PARTITION BY record_index) AS n FROM feat WHERE type = 'CDS')"""
 
 
-@_query(f"""WITH {FEAT}, {_NUM} SELECT t.fi AS target_index, c.fi AS feature_index, c.i - t.i AS "offset" FROM num t JOIN num c ON t.record_index = c.record_index AND c.i BETWEEN t.i - 2 AND t.i + 2 WHERE t.l_partkey % 50 = 0""")
+@_query(f"""WITH {FEAT}, {_NUM} SELECT t.fi AS target_index, c.fi AS feature_index, c.i - t.i AS "offset" FROM num t JOIN num c ON t.record_index = c.record_index AND c.i BETWEEN t.i - 2 AND t.i + 2""")
 def feat_neighborhood_linear(spark, d):
     f = views.features(spark, d)
-    return intervals.ordinal_window(f.where(F.expr("cast(substring(xrefs.kegg_kos[0], 2) as int) % 50 = 0 and type = 'CDS'")), f, 2, False).select("target_index", "feature_index", F.col("offset").cast("long").alias("offset"))
+    return intervals.ordinal_window(f.where("type = 'CDS'"), f, 2, False).select("target_index", "feature_index", F.col("offset").cast("long").alias("offset"))
 
 
-@_query(f"""WITH {FEAT}, {_NUM}, o AS (SELECT record_index, fi, i, n, unnest(range(-3, 4)) AS k FROM num WHERE l_partkey % 50 = 0)
+@_query(f"""WITH {FEAT}, {_NUM}, o AS (SELECT record_index, fi, i, n, unnest(range(-3, 4)) AS k FROM num)
     SELECT o.fi AS target_index, c.fi AS feature_index, o.k AS "offset" FROM o JOIN num c ON o.record_index = c.record_index AND c.i = ((o.i + o.k) % o.n + o.n) % o.n""")
 def feat_neighborhood_circular(spark, d):
     f = views.features(spark, d)
-    return intervals.ordinal_window(f.where(F.expr("cast(substring(xrefs.kegg_kos[0], 2) as int) % 50 = 0 and type = 'CDS'")), f, 3, True).select("target_index", "feature_index", F.col("offset").cast("long").alias("offset"))
+    return intervals.ordinal_window(f.where("type = 'CDS'"), f, 3, True).select("target_index", "feature_index", F.col("offset").cast("long").alias("offset"))
 
 
 @_query(f"""WITH {FEAT}, p AS (SELECT a.fi AS array_index, b.fi AS gene_index, CASE WHEN a.en < b.st THEN b.st - a.en WHEN b.en < a.st THEN a.st - b.en ELSE 0 END AS distance
