@@ -11,8 +11,14 @@ for 3 people" matches "5 pears for 5 people" and not "5 pears for 7 people". Win
 value are left out. The item counts as found if the windows left cover at least ``COVER`` of its tokens. Items whose
 slots changed, all of them consistently, are flagged ``reparameterised``.
 
-Items with fewer tokens than a window are one window of their own length, from ``LEAST`` tokens up; shorter ones are
-too common to be evidence and match nothing. Null and empty texts have no windows. Repeated rows each get their rows.
+Items whose windows can't carry them (short ones, and those dense in numbers, units or names) are also looked for whole:
+all their tokens are one window, whatever their kinds, and what the placeholders stand for must be equal, or consistently
+mapped over the whole item if it has ``LITERALS`` words, or two words and ``WINDOW`` placeholders. A copy's first token is
+read without its context there: behind "Question:" a capitalised one isn't a name. Items under ``LEAST`` tokens are too
+common to be evidence inside a sentence and must fill a line of the document, slots equal.
+
+Scripts written without spaces (Chinese, Japanese, Thai and their like) are cut into characters, each a word. Null and
+empty texts have no windows. Repeated rows each get their rows.
 
 The benchmark's windows are counted first. Up to ``LOCAL`` they are sent to all tasks and joined there, so documents
 aren't shuffled and only pairs found come out. Beyond that, document windows are joined by a shuffle on the hash.
@@ -42,9 +48,19 @@ LOCAL = 1_000_000
 
 UNITS = frozenset("mm cm m km kg g mg lb lbs oz mile miles meter meters metre metres inch inches foot feet second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent liter liters litre litres mph kmh".split())
 _NUMBER = re.compile(r"\d+(?:\.\d+)*")
-_TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() or chr(b) in ".!?" else 0x2E if b == 0x0A else 0x20 for b in range(256))
+_TABLE = bytes(b if b >= 0x80 or b == 0x0A or chr(b).isalnum() or chr(b) in ".!?" else 0x20 for b in range(256))
+#: Stands at the end of a line's last word; the table leaves no such byte.
+_LINE = b"\x01"
+_STRIP = ".!?\x01"
+# punctuation outside ASCII: Latin-1's, and the block from U+2000
+_MARKS = re.compile(rb"\xc2[\x80-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf]|\xe2[\x80\x81][\x80-\xbf]")
+# bytes that begin a character of an unsegmented script, of others too
+_MAYBE = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef\xf0]")
+_WIDE_MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+_WIDE_ENDS = {ord(c): ". " for c in "\u3002\uff01\uff1f\uff0e\uff61"}
+_UNSEGMENTED = re.compile("([\u0e01-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u312f\u31a0-\u31bf\u31f0-\u9fff\uf900-\ufaff\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\uff9f\U00020000-\U0003ffff])")
 # flags of a token
-ENDS, CAPITAL, NUMBER, UNIT, EMPTY = 1, 2, 4, 8, 16
+ENDS, CAPITAL, NUMBER, UNIT, EMPTY, LINE = 1, 2, 4, 8, 16, 32
 _PLACE = {kind: np.uint64(xxhash.xxh64_intdigest(f"<{kind}>")) for kind in ("number", "unit", "name")}
 
 
@@ -58,8 +74,10 @@ class _Tokens(dict):
 
     def __missing__(self, raw: bytes) -> int:
         text = raw.decode(errors="replace")
-        word = text.strip(".!?")
-        flags = ENDS if text and text[-1] in ".!?" else 0
+        word = text.strip(_STRIP)
+        flags = ENDS if text and text[-1] in _STRIP else 0
+        if raw.endswith(_LINE):
+            flags |= LINE
         if not word:
             flags |= EMPTY
         elif _NUMBER.fullmatch(word):
@@ -87,14 +105,24 @@ class Canonical:
     text: np.ndarray  # number of the text of each token
     starts: np.ndarray  # first token of each text, and the end
     raw: list[bytes]  # the words behind the tokens
+    alone: np.ndarray  # hashes as they would be at a text's start
+    line: np.ndarray  # number of the line of each token
+
+
+def _words(text: bytes) -> list[bytes]:
+    if not text.isascii():
+        if _MAYBE.search(text):
+            text = _UNSEGMENTED.sub(r" \1 ", _WIDE_MARKS.sub(" ", text.decode(errors="replace").translate(_WIDE_ENDS))).encode()
+        text = _MARKS.sub(b" ", text)
+    # a line end separates words and ends a sentence
+    return text.translate(_TABLE).replace(b"\n", _LINE + b" ").split()
 
 
 def canonical(texts: list[bytes]) -> Canonical:
     global _TOKENS
     if len(_TOKENS) > 500_000:
         _TOKENS = _Tokens()
-    # a line end separates words and ends a sentence
-    split = [t.translate(_TABLE).replace(b".", b". ").split() if b"\n" in t else t.translate(_TABLE).split() for t in texts]
+    split = [_words(t) for t in texts]
     raw = [w for s in split for w in s]
     ids = np.fromiter(map(_TOKENS.__getitem__, raw), np.int64, len(raw))
     flags = np.array(_TOKENS.flags, np.uint8)[ids] if len(raw) else np.empty(0, np.uint8)
@@ -108,11 +136,13 @@ def canonical(texts: list[bytes]) -> Canonical:
     name = (flags & CAPITAL > 0) & ~first & (before & ENDS == 0)
     number = flags & NUMBER > 0
     unit = (flags & UNIT > 0) & ~first & (before & NUMBER > 0)
+    alone = np.where(number, _PLACE["number"], hashes)
     hashes = np.where(number, _PLACE["number"], np.where(unit, _PLACE["unit"], np.where(name, _PLACE["name"], hashes)))
+    line = np.cumsum(first | (before & LINE > 0))
     keep = np.flatnonzero(flags & EMPTY == 0)
     text = text[keep]
     starts = np.searchsorted(text, np.arange(len(texts) + 1))
-    return Canonical(hashes[keep], ~(number | unit | name)[keep], text, starts, [raw[i] for i in keep.tolist()] if len(keep) < len(raw) else raw)
+    return Canonical(hashes[keep], ~(number | unit | name)[keep], text, starts, [raw[i] for i in keep.tolist()] if len(keep) < len(raw) else raw, alone[keep], line[keep])
 
 
 def window_hashes(c: Canonical, n: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +160,53 @@ def window_hashes(c: Canonical, n: int, literals: int) -> tuple[np.ndarray, np.n
     return at, h ^ (h >> np.uint64(31))
 
 
-def _slots(c: Canonical, at: int, n: int) -> list[str]:
-    return ["" if c.literal[k] else c.raw[k].decode(errors="replace").strip(".!?") for k in range(at, at + n)]
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
+
+
+class Wholes:
+    """Hashes of windows of any length, with no word asked for and the first token read alone, from sums over the tokens."""
+
+    def __init__(self, c: Canonical):
+        self.c, count = c, len(c.hashes)
+        down, self.up = np.full(count + 1, _INVERSE), np.full(count + 1, np.uint64(_BASE))
+        down[0] = self.up[0] = 1
+        np.cumprod(down, out=down)
+        np.cumprod(self.up, out=self.up)
+        self.sums = np.zeros(count + 1, np.uint64)
+        np.cumsum(c.hashes * down[:count], out=self.sums[1:])
+        self.slots = np.zeros(count + 1, np.int64)
+        np.cumsum(~c.literal, out=self.slots[1:])
+
+    def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        h = (self.sums[at + n] - self.sums[at + 1]) * self.up[at + n] + self.c.alone[at] * np.uint64(pow(_BASE, n, 1 << 64)) + np.uint64(n)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(31))
+
+    def places(self, n: int, slots: int) -> np.ndarray:
+        """First tokens of windows in one text that hold at least so many placeholders; short ones fill a line."""
+        c, count = self.c, len(self.c.hashes) - n + 1
+        if count <= 0:
+            return np.empty(0, np.int64)
+        enough = self.slots[n:] - self.slots[:count] >= slots
+        if n < LEAST:
+            begins = np.append(True, c.line[1:] != c.line[:-1])
+            ends = np.append(begins[1:], True)
+            enough &= begins[:count] & ends[n - 1 :] & (c.line[:count] == c.line[n - 1 :])
+        at = np.flatnonzero(enough)
+        return at[c.text[at] == c.text[at + n - 1]]
+
+
+def _slots(c: Canonical, at: int, n: int, alone: bool = False) -> list[str]:
+    """``alone``: as window of a whole item, whose first token can be a number only."""
+    out = ["" if c.literal[k] else c.raw[k].decode(errors="replace").strip(_STRIP) for k in range(at, at + n)]
+    if alone and c.alone[at] != _PLACE["number"]:
+        out[0] = ""
+    return out
+
+
+#: Place of the window that is a whole item.
+WHOLE = -1
 
 
 def item_windows(texts: list[bytes]) -> list[tuple[int, int, int, int, int, list[str]]]:
@@ -139,18 +214,50 @@ def item_windows(texts: list[bytes]) -> list[tuple[int, int, int, int, int, list
     c = canonical(texts)
     sizes = np.diff(c.starts)
     out = []
+    # what the windows of a copy cover at least: its first token may be read otherwise
+    sure = np.zeros(len(c.hashes), bool)
     for n in range(LEAST, WINDOW + 1):
         at, h = window_hashes(c, n, min(LITERALS, n))
         for a, x in zip(at.tolist(), h.tolist()):
             k = int(c.text[a])
             if n == WINDOW or sizes[k] == n:
-                out.append((k, int(sizes[k]), a - int(c.starts[k]), n, x, _slots(c, a, n)))
+                place = a - int(c.starts[k])
+                out.append((k, int(sizes[k]), place, n, x, _slots(c, a, n)))
+                if place:
+                    sure[a : a + n] = True
+    wholes = Wholes(c)
+    for k, n in enumerate(sizes.tolist()):
+        a = int(c.starts[k])
+        if n and int(sure[a : a + n].sum()) * COVER[1] < n * COVER[0]:
+            out.append((k, n, WHOLE, n, int(wholes.hashes(np.array([a]), n)[0]), _slots(c, a, n, True)))
     return out
 
 
+def judge_whole(own: list[str], other: list[str]) -> tuple[int, int, int, bool] | None:
+    """As ``judge``, of one window that is the whole item."""
+    if own != other:
+        words = own.count("")
+        if not (words >= LITERALS or words >= 2 and len(own) - words >= WINDOW):
+            return None
+        value: dict[str, str] = {}
+        if any(value.setdefault(a, b) != b for a, b in zip(own, other) if a):
+            return None
+    changed = len({a for a, b in zip(own, other) if a != b})
+    return 1, len(own), changed, changed > 0
+
+
 def judge(n_tokens: int, matches: list[tuple[int, int, int, list[str], list[str]]]) -> tuple[int, int, int, bool] | None:
     """From (place in the item, place in the document, length, item's slots, document's slots): windows, tokens covered,
     slots that changed, and whether any did; None if the item isn't found."""
+    parts = [m for m in matches if m[0] != WHOLE]
+    found = [got for m in matches if m[0] == WHOLE and (got := judge_whole(m[3], m[4]))]
+    if parts and (got := _judge_parts(n_tokens, parts)):
+        found.append(got)
+    # a copy with the fewest changes, of these the most covered
+    return min(found, key=lambda x: (x[2], -x[1], -x[0]), default=None)
+
+
+def _judge_parts(n_tokens: int, matches: list) -> tuple[int, int, int, bool] | None:
     by_diagonal: dict[int, list] = {}
     for m in matches:
         by_diagonal.setdefault(m[1] - m[0], []).append(m)
@@ -193,10 +300,37 @@ _LONGS = ("doc_id", "row_key", "item_id", "n_windows", "n_covered", "n_item_toke
 HIT_ARROW = pa.schema([*((n, pa.int64()) for n in _LONGS), ("reparameterised", pa.bool_())])
 
 
+class _Wanted:
+    """Hashes and least count of placeholders of the whole items of each length."""
+
+    def __init__(self, rows: list[tuple[int, int, int]]):
+        by_length: dict[int, list] = {}
+        for n, h, slots in rows:
+            by_length.setdefault(n, []).append((h, slots))
+        self.lengths = {n: (np.unique(np.array([h for h, _ in x], np.int64).view(np.uint64)), min(s for _, s in x)) for n, x in sorted(by_length.items())}
+
+    def find(self, c: Canonical):
+        """(first token, length, hash) of the document windows that are a whole item."""
+        if not self.lengths or not len(c.hashes):
+            return
+        wholes = Wholes(c)
+        for n, (wanted, slots) in self.lengths.items():
+            at = wholes.places(n, slots)
+            h = wholes.hashes(at, n)
+            hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+            yield from zip(at[hit].tolist(), [n] * int(hit.sum()), h[hit].view(np.int64).tolist())
+
+
 class _Index:
     """The benchmark's windows by hash, with a bitmap that most document windows fail."""
 
     def __init__(self, rows: list):
+        self.whole = _Wanted([(r["length"], r["h"], sum(x != "" for x in r["slots"])) for r in rows if r["place"] == WHOLE])
+        self.wholes: dict[int, list] = {}
+        for r in rows:
+            if r["place"] == WHOLE:
+                self.wholes.setdefault(r["h"], []).append((r["item_id"], r["n_tokens"], r["place"], r["length"], list(r["slots"])))
+        rows = [r for r in rows if r["place"] != WHOLE]
         self.lengths = sorted({r["length"] for r in rows})
         self.by_hash: dict[int, list] = {}
         for r in rows:
@@ -226,13 +360,14 @@ def _local_hits(rows: DataFrame, index: _Index) -> DataFrame:
                 c = canonical(raw_texts(batch.column("text")))
                 found: dict[tuple[int, int], list] = {}
                 sizes = {}
-                for a, n, h in index.find(c):
-                    k = int(c.text[a])
-                    other = _slots(c, a, n)
-                    for item, n_tokens, place, length, own in index.by_hash[h]:
-                        if length == n and all(bool(x) == bool(y) for x, y in zip(own, other)):
-                            found.setdefault((k, item), []).append((place, a - int(c.starts[k]), n, own, other))
-                            sizes[item] = n_tokens
+                for hits, by_hash, alone in ((index.find(c), index.by_hash, False), (index.whole.find(c), index.wholes, True)):
+                    for a, n, h in hits:
+                        k = int(c.text[a])
+                        other = _slots(c, a, n, alone)
+                        for item, n_tokens, place, length, own in by_hash[h]:
+                            if length == n and all(bool(x) == bool(y) for x, y in zip(own, other)):
+                                found.setdefault((k, item), []).append((place, a - int(c.starts[k]), n, own, other))
+                                sizes[item] = n_tokens
                 out = [(k, item, got, sizes[item]) for (k, item), m in found.items() if (got := judge(sizes[item], m))]
                 if out:
                     ids, keys = batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist()
@@ -243,7 +378,10 @@ def _local_hits(rows: DataFrame, index: _Index) -> DataFrame:
 
 
 def _shuffled_hits(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    schema = "doc_id long, row_key long, came long, at long, n int, dh long, other array<string>"
+    schema = "doc_id long, row_key long, came long, at long, n int, dh long, other array<string>, whole boolean"
+    # of whole items, one hash each: what documents don't have in common with them isn't shuffled
+    whole = windows.where(F.col("place") == WHOLE).groupBy("length", "h").agg(F.min(F.size(F.array_remove("slots", ""))).alias("slots"))
+    shared = rows.sparkSession.sparkContext.broadcast(_Wanted([tuple(x) for x in whole.toPandas().itertuples(index=False, name=None)]))
 
     def run(batches):
         for whole in batches:
@@ -251,16 +389,19 @@ def _shuffled_hits(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> D
                 batch = whole.slice(lo, SUB_BATCH)
                 ids, keys, came = (batch.column(x).to_pylist() for x in ("doc_id", "row_key", "came"))
                 c = canonical(raw_texts(batch.column("text")))
-                for n in lengths:
-                    at, h = window_hashes(c, n, min(LITERALS, n))
+                found = [(at, h.view(np.int64), np.full(len(at), n), False) for n in lengths for at, h in [window_hashes(c, n, min(LITERALS, n))]]
+                if hits := list(shared.value.find(c)):
+                    at, n, h = (np.array(x, np.int64) for x in zip(*hits))
+                    found.append((at, h, n, True))
+                for at, h, n, alone in found:
                     t = c.text[at].tolist()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[k] for k in t], pa.int64()), pa.array([keys[k] for k in t], pa.int64()), pa.array([came[k] for k in t], pa.int64()), pa.array(at - c.starts[c.text[at]], pa.int64()), pa.array([n] * len(t), pa.int32()), pa.array(h.view(np.int64), pa.int64()), pa.array([_slots(c, a, n) for a in at.tolist()], pa.list_(pa.string()))],
-                        names=["doc_id", "row_key", "came", "at", "n", "dh", "other"],
+                        [pa.array([ids[k] for k in t], pa.int64()), pa.array([keys[k] for k in t], pa.int64()), pa.array([came[k] for k in t], pa.int64()), pa.array(at - c.starts[c.text[at]], pa.int64()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array([_slots(c, a, m, alone) for a, m in zip(at.tolist(), n.tolist())], pa.list_(pa.string())), pa.array([alone] * len(t), pa.bool_())],
+                        names=["doc_id", "row_key", "came", "at", "n", "dh", "other", "whole"],
                     )
 
     own = rows.withColumn("came", F.monotonically_increasing_id()).mapInArrow(run, schema)
-    met = own.join(windows, (own["dh"] == windows["h"]) & (own["n"] == windows["length"]))
+    met = own.join(windows, (own["dh"] == windows["h"]) & (own["n"] == windows["length"]) & (own["whole"] == (windows["place"] == WHOLE)))
 
     def decide(key, pdf: pd.DataFrame) -> pd.DataFrame:
         m = [(p, a, n, list(x), list(y)) for p, a, n, x, y in zip(pdf["place"], pdf["at"], pdf["n"], pdf["slots"], pdf["other"]) if all(bool(u) == bool(v) for u, v in zip(x, y))]
@@ -278,7 +419,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, local: int = LOCAL) -> D
     windows = benchmark_windows(benchmark)
     if windows.limit(local + 1).count() <= local:
         return _local_hits(rows, _Index(windows.collect())) if not windows.isEmpty() else docs.sparkSession.createDataFrame([], HIT_SCHEMA)
-    lengths = [r[0] for r in windows.select("length").distinct().collect()]
+    lengths = [r[0] for r in windows.where(F.col("place") != WHOLE).select("length").distinct().collect()]
     return _shuffled_hits(rows, windows, lengths)
 
 

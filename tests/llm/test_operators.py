@@ -55,6 +55,21 @@ def test_passages_brute_force(spark, docs):
     assert want and got == want
 
 
+def test_items_of_few_words_and_unsegmented_scripts(spark):
+    items = {
+        1: "What is 12 + 7 * 35 - 4 / 2?", 2: "Convert 5 km 300 m to m.", 3: "Find the sum of 12, 15, 18, 21, 24, 27, 30 and 33.", 4: "中国的首都是哪个城市？", 5: "日本の首都はどこですか。",
+        6: "เมืองหลวงของไทยคืออะไร", 7: "Name three red fruits", 8: "17 + 4 = ?", 9: "2, 4, 8, 16, 32, 64", 10: "Round 3.5 and 4.25 up",
+    }
+    texts = {100 * i + k: t for i, x in items.items() for k, t in enumerate((f"Before.\n{x}\nAfter.", x, f"Question: {x} And more.", f"“{x}” 他说。")) if i != 8 or k < 2}
+    other = {1: "What is 13 + 8 * 36 - 5 / 3?", 2: "Find the sum of 1, 2, 3, 4, 5, 6, 7 and 8."}
+    clean = {3: "What is 13 and 8, or 36 and 5?", 4: "3, 5, 9, 17, 33, 65", 5: "From 17 + 4 = ? one sees it", 6: "法国的面积有多大", 7: "Find the sum of 1, 2, 3, 4, 5, 6, 7"}
+    docs = spark.createDataFrame([*texts.items(), *other.items(), *clean.items()], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for local in (decontam.LOCAL, 5):
+        got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontam.contaminated(docs, bench, local).collect()}
+        assert got == {(d, d // 100): False for d in texts} | {(1, 1): True, (2, 3): True}
+
+
 # ---- 2: near duplicates
 
 
