@@ -43,13 +43,26 @@ class Rule:
     least: int = 0
 
 
+# A private key in PEM: from the header through the next END line of a private key with no other BEGIN between them. Where
+# there is none, what follows the header in its line and the lines of base64 after it, in source code and quotes too.
+_TO_END = r"[^-]*(?:-(?!----(?:BEGIN |END [A-Z ]{0,30}PRIVATE KEY-----))[^-]*)*-----END [A-Z ]{0,30}PRIVATE KEY-----"
+_EOL = r"""(?:\\[rn]|["',+;\\ \t\r])*(?:\n|\\n)"""
+_BLANK = r"(?:[ \t\r>]*(?:\n|\\n))"
+_START = r"""[ \t>|#*"']*"""
+_ROW = r"""(?:[A-Za-z0-9+/]{32,}={0,2}|[A-Za-z0-9+/]+={0,2}(?=["',+;\\ \t\r]*(?:\n|\\[rn]|\Z)))"""
+_FIELD = r"[A-Za-z]+(?:-[A-Za-z]+)*:[^\n\\]*"
+_LINES = (
+    r"(?:[ \t]*(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2}))*"
+    rf"(?:(?:{_EOL}{_START}{_FIELD})*{_EOL}{_BLANK}{{0,2}}{_START}{_ROW}(?:{_EOL}{_START}{_ROW}|{_EOL}{_BLANK}{_START}[A-Za-z0-9+/]{{32,}}={{0,2}})*)?"
+)
+
 #: Kinds in the order in which spans with one start are listed. The first three are the contract's.
 #: `[0-9a-f]{32,}` finds the same spans as `[0-9a-f]+` with the short ones dropped: both take whole runs.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 0, 32),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_TO_END}|{_LINES})"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps_key", r"AIza[0-9A-Za-z_-]{35}"),

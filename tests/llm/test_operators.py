@@ -328,6 +328,21 @@ def test_redaction(spark):
     assert got[1]["text"] == 'a [assign]" b [access]' and got[1]["n_chars"] == len(got[1]["text"]) and got[2]["text"] is None
 
 
+def test_private_keys_go_whole(spark):
+    rng = random.Random(10)
+    rows = ["".join(rng.choices("ABCXYZabcxyz0189+/", k=n)) for n in (64, 64, 64, 22)]
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [
+        "\n".join(["Before.", head, *rows, foot, "After it."]), "\r\n".join(["Before.", head, *rows, "After it."]), "\n".join([head, *rows]), "\n".join([head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: DES-EDE3-CBC,0A1B", "", *rows, "After it."]),
+        '{"key": "' + "\\n".join([head, *rows, foot]) + '\\n"} After it.', "\n".join(f"> {x}" for x in [head, *rows, "After it."]), " ".join([head, *rows[:3], foot, "After it."]), "\n".join([head, *rows, head, *rows, foot, "After it."]),
+    ]
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in got.items():
+        assert "[private_key]" in t and not any(x in t for x in [*rows, foot]), t
+        assert ("After it." in t) == ("After it." in texts[i]) and ("Before." in t) == ("Before." in texts[i])
+    assert got[0] == "Before.\n[private_key]\nAfter it."
+
+
 # ---- 10: chats
 
 
