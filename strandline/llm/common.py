@@ -12,15 +12,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.sources.scratch import Scratch  # noqa: F401
 from strandline.sources.spread import spread
 
-#: Rows that a worker handles at a time; bounds the Python copies of long texts.
+#: Rows and bytes of text that a worker handles at a time; one longer text is handled alone.
 SUB_BATCH = 256
+SUB_BYTES = 4 << 20
+#: Rows of two numbers that are broadcast once their count proves it; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +37,26 @@ def native_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, arrow: pa.Schema) -> DataFrame:
+def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``SUB_BATCH`` rows and ``SUB_BYTES`` bytes of the column ``text``."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = min(int(np.searchsorted(ends, before + SUB_BYTES, "right")), at + SUB_BATCH)
+        stop = max(stop, at + 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, arrow: pa.Schema, text: str = "text") -> DataFrame:
     """``mapInArrow`` over small slices; ``fn`` gives a dict of columns for a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SUB_BATCH):
-                got = fn(batch.slice(at, SUB_BATCH))
+            for part in slices(batch, text):
+                got = fn(part)
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
@@ -58,8 +76,10 @@ def text_key(text) -> F.Column:
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text) isn't in ``gone`` (columns ``_gone_id``, ``_gone_key``), all columns kept.
 
-    An anti join on equality keys: Spark splits skewed partitions and broadcasts ``gone`` only if its measured size is
-    under the session's threshold.
+    ``gone`` is written and counted. Up to ``MOST_BROADCAST`` rows are broadcast, so that texts aren't shuffled; more are
+    joined by a shuffle on the equality keys, whose skewed partitions Spark splits.
     """
+    gone = Scratch(docs.sparkSession).keep(gone.distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone.hint("merge")
     on = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (text_key(docs["text"]) == gone["_gone_key"])
     return docs.join(gone, on, "left_anti")

@@ -1,50 +1,54 @@
 """Operator 1: benchmark decontamination by template windows.
 
-Texts become typed tokens: numbers, units after numbers, and names (capitalised words inside a sentence) turn into
-placeholders, other words are lowered; punctuation goes. Every window of ``WINDOW`` tokens of which at least
-``LITERALS`` are words is hashed, and document windows meet benchmark windows in a hash join. What the placeholders
-stood for is carried along as slots.
+Texts become typed tokens: numbers, units after numbers, and names (words with a capital) turn into placeholders, other
+words are lowered; punctuation goes. What the placeholders stood for is carried along as slots. Whether a capital marks
+a name or a sentence's first word can't be told from the text, so the benchmark is read in three ways: every capital a
+name, only those inside sentences, and none (as a copy in one case has it). Documents are read the first way.
+
+Every window of ``WINDOW`` tokens of which at least ``LITERALS`` are words is hashed. Items whose windows can't carry
+them (short ones, and those dense in numbers, units or names) are also hashed in chunks of up to ``CHUNK`` tokens of any
+kind. Document windows meet benchmark windows in a hash join.
 
 A match is judged per document and item. Matched windows lie on diagonals (place in the document minus place in the
 item). On one diagonal the slots must be consistent: an item's value must always turn into the same value, so "3 pears
 for 3 people" matches "5 pears for 5 people" and not "5 pears for 7 people". Windows against a diagonal's most frequent
-value are left out. The item counts as found if the windows left cover at least ``COVER`` of its tokens. Items whose
-slots changed, all of them consistently, are flagged ``reparameterised``.
-
-Items whose windows can't carry them (short ones, and those dense in numbers, units or names) are also looked for whole:
-all their tokens are one window, whatever their kinds, and what the placeholders stand for must be equal, or consistently
-mapped over the whole item if it has ``LITERALS`` words, or two words and ``WINDOW`` placeholders. A copy's first token is
-read without its context there: behind "Question:" a capitalised one isn't a name. Items under ``LEAST`` tokens are too
-common to be evidence inside a sentence and must fill a line of the document, slots equal.
-
-Scripts written without spaces (Chinese, Japanese, Thai and their like) are cut into characters, each a word. Null and
-empty texts have no windows. Repeated rows each get their rows.
-
-The benchmark's windows are counted first. Up to ``LOCAL`` they are sent to all tasks and joined there, so documents
-aren't shuffled and only pairs found come out. Beyond that, document windows are joined by a shuffle on the hash.
+value are left out. A chunk counts if its slots are equal, or consistent and held by enough fixed tokens. The item is
+found if the windows left cover at least ``COVER`` of its tokens, on the diagonal with the fewest changes that does so,
+else on all of them together. ``reparameterised`` says that slots changed.
+
+The join goes rare windows first, as prefix joins do. Benchmark rows with one text are one item. Of each item the rarest
+windows are its probes: the others cover less than ``COVER``, so a document that has the item has a probe, and a window
+that very many items share brings no pairs. Items that differ in their values only are one template, represented by the
+first: the others are found by probes with their own values. The tasks drop all document windows that two bit arrays of
+at most ``MOST_BITS`` bits exclude (32 MB each, whatever the benchmark's size); the rest is joined by shuffles, on the
+hash for pairs and then on the pair. Documents without a probe leave their task with nothing.
+
+A copy's first token is read without its context there. Items under ``LEAST`` tokens are too common to be evidence inside
+a sentence and must fill a line of the document, slots equal. Scripts written without spaces (Chinese, Japanese, Thai
+and their like) are cut into characters, each a word. Null and empty texts have no windows. Repeated rows each get their
+rows. Null item_ids stay null; of rows with one text the smallest item_id is reported, and their number.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SUB_BATCH, raw_texts, text_key, without
+from strandline.llm.common import Scratch, raw_texts, slices, text_key, without
 
 WINDOW = 5
 LITERALS = 3
 LEAST = 3
+CHUNK = 32
 COVER = (1, 2)
-#: Benchmark windows that are joined in the tasks: some 100 bytes each.
-LOCAL = 1_000_000
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
 
 UNITS = frozenset("mm cm m km kg g mg lb lbs oz mile miles meter meters metre metres inch inches foot feet second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent liter liters litre litres mph kmh".split())
 _NUMBER = re.compile(r"\d+(?:\.\d+)*")
@@ -96,18 +100,28 @@ class _Tokens(dict):
 _TOKENS = _Tokens()
 
 
-@dataclass
+@dataclass(frozen=True)
 class Canonical:
     """Tokens of several texts, one after the other."""
 
     hashes: np.ndarray
     literal: np.ndarray
+    alone: np.ndarray  # hashes as they would be without what stands before
+    plain: np.ndarray  # hashes of the words themselves
+    name: np.ndarray  # read as a name
+    begins: np.ndarray  # first of a sentence
     text: np.ndarray  # number of the text of each token
     starts: np.ndarray  # first token of each text, and the end
     raw: list[bytes]  # the words behind the tokens
-    alone: np.ndarray  # hashes as they would be at a text's start
     line: np.ndarray  # number of the line of each token
 
+    def with_words(self, words: np.ndarray) -> Canonical:
+        """With these names read as words."""
+        return replace(self, hashes=np.where(words, self.plain, self.hashes), alone=np.where(words, self.plain, self.alone), literal=self.literal | words)
+
+    def readings(self) -> list[Canonical]:
+        return [self, self.with_words(self.name & self.begins), self.with_words(self.name)]
+
 
 def _words(text: bytes) -> list[bytes]:
     if not text.isascii():
@@ -126,23 +140,24 @@ def canonical(texts: list[bytes]) -> Canonical:
     raw = [w for s in split for w in s]
     ids = np.fromiter(map(_TOKENS.__getitem__, raw), np.int64, len(raw))
     flags = np.array(_TOKENS.flags, np.uint8)[ids] if len(raw) else np.empty(0, np.uint8)
-    hashes = np.array(_TOKENS.hashes, np.uint64)[ids] if len(raw) else np.empty(0, np.uint64)
-    lengths = np.array([len(s) for s in split], np.int64)
-    text = np.repeat(np.arange(len(texts)), lengths)
+    plain = np.array(_TOKENS.hashes, np.uint64)[ids] if len(raw) else np.empty(0, np.uint64)
+    text = np.repeat(np.arange(len(texts)), np.array([len(s) for s in split], np.int64))
     first = np.ones(len(raw), bool)
     first[1:] = text[1:] != text[:-1]
     before = np.zeros(len(raw), np.uint8)
     before[1:] = flags[:-1]
-    name = (flags & CAPITAL > 0) & ~first & (before & ENDS == 0)
     number = flags & NUMBER > 0
     unit = (flags & UNIT > 0) & ~first & (before & NUMBER > 0)
-    alone = np.where(number, _PLACE["number"], hashes)
-    hashes = np.where(number, _PLACE["number"], np.where(unit, _PLACE["unit"], np.where(name, _PLACE["name"], hashes)))
+    capital = (flags & CAPITAL > 0) & ~number
+    name = capital & ~unit
+    alone = np.where(number, _PLACE["number"], np.where(capital, _PLACE["name"], plain))
+    hashes = np.where(unit, _PLACE["unit"], alone)
     line = np.cumsum(first | (before & LINE > 0))
+    begins = first | (before & ENDS > 0)
     keep = np.flatnonzero(flags & EMPTY == 0)
     text = text[keep]
     starts = np.searchsorted(text, np.arange(len(texts) + 1))
-    return Canonical(hashes[keep], ~(number | unit | name)[keep], text, starts, [raw[i] for i in keep.tolist()] if len(keep) < len(raw) else raw, alone[keep], line[keep])
+    return Canonical(hashes[keep], ~(number | unit | name)[keep], alone[keep], plain[keep], name[keep], begins[keep], text, starts, [raw[i] for i in keep.tolist()] if len(keep) < len(raw) else raw, line[keep])
 
 
 def window_hashes(c: Canonical, n: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,233 +212,321 @@ class Wholes:
         return at[c.text[at] == c.text[at + n - 1]]
 
 
-def _slots(c: Canonical, at: int, n: int, alone: bool = False) -> list[str]:
-    """``alone``: as window of a whole item, whose first token can be a number only."""
+def _slots(c: Canonical, at: int, n: int, whole: bool) -> list[str]:
+    """What the placeholders stand for; of a whole chunk the first is a unit only behind a number of its own."""
     out = ["" if c.literal[k] else c.raw[k].decode(errors="replace").strip(_STRIP) for k in range(at, at + n)]
-    if alone and c.alone[at] != _PLACE["number"]:
+    if whole and c.alone[at] == c.plain[at]:
         out[0] = ""
     return out
 
 
-#: Place of the window that is a whole item.
-WHOLE = -1
-
-
-def item_windows(texts: list[bytes]) -> list[tuple[int, int, int, int, int, list[str]]]:
-    """(number of the text, its tokens, place, length, hash, slots) of every window."""
+def item_windows(texts: list[bytes]) -> list[tuple[int, int, int, int, bool, int, list[str]]]:
+    """(number of the text, its tokens, place, length, whether a chunk, hash, slots) of every window in every reading."""
     c = canonical(texts)
     sizes = np.diff(c.starts)
-    out = []
     # what the windows of a copy cover at least: its first token may be read otherwise
     sure = np.zeros(len(c.hashes), bool)
-    for n in range(LEAST, WINDOW + 1):
-        at, h = window_hashes(c, n, min(LITERALS, n))
-        for a, x in zip(at.tolist(), h.tolist()):
-            k = int(c.text[a])
-            if n == WINDOW or sizes[k] == n:
-                place = a - int(c.starts[k])
-                out.append((k, int(sizes[k]), place, n, x, _slots(c, a, n)))
-                if place:
-                    sure[a : a + n] = True
-    wholes = Wholes(c)
-    for k, n in enumerate(sizes.tolist()):
-        a = int(c.starts[k])
-        if n and int(sure[a : a + n].sum()) * COVER[1] < n * COVER[0]:
-            out.append((k, n, WHOLE, n, int(wholes.hashes(np.array([a]), n)[0]), _slots(c, a, n, True)))
-    return out
-
-
-def judge_whole(own: list[str], other: list[str]) -> tuple[int, int, int, bool] | None:
-    """As ``judge``, of one window that is the whole item."""
-    if own != other:
-        words = own.count("")
-        if not (words >= LITERALS or words >= 2 and len(own) - words >= WINDOW):
-            return None
-        value: dict[str, str] = {}
-        if any(value.setdefault(a, b) != b for a, b in zip(own, other) if a):
-            return None
-    changed = len({a for a, b in zip(own, other) if a != b})
-    return 1, len(own), changed, changed > 0
-
-
-def judge(n_tokens: int, matches: list[tuple[int, int, int, list[str], list[str]]]) -> tuple[int, int, int, bool] | None:
-    """From (place in the item, place in the document, length, item's slots, document's slots): windows, tokens covered,
-    slots that changed, and whether any did; None if the item isn't found."""
-    parts = [m for m in matches if m[0] != WHOLE]
-    found = [got for m in matches if m[0] == WHOLE and (got := judge_whole(m[3], m[4]))]
-    if parts and (got := _judge_parts(n_tokens, parts)):
-        found.append(got)
-    # a copy with the fewest changes, of these the most covered
-    return min(found, key=lambda x: (x[2], -x[1], -x[0]), default=None)
-
-
-def _judge_parts(n_tokens: int, matches: list) -> tuple[int, int, int, bool] | None:
+    out: dict[tuple, tuple] = {}
+    for reading in c.readings():
+        for n in range(LEAST, WINDOW + 1):
+            at, h = window_hashes(reading, n, min(LITERALS, n))
+            for a, x in zip(at.tolist(), h.tolist()):
+                k = int(c.text[a])
+                if n == WINDOW or sizes[k] == n:
+                    place = a - int(c.starts[k])
+                    out.setdefault((k, place, n, x), (k, int(sizes[k]), place, n, False, x, _slots(reading, a, n, False)))
+                    if place and reading is c:
+                        sure[a : a + n] = True
+    for reading in c.readings():
+        wholes = Wholes(reading)
+        for k, size in enumerate(sizes.tolist()):
+            first = int(c.starts[k])
+            if size and int(sure[first : first + size].sum()) * COVER[1] < size * COVER[0]:
+                n = min(size, CHUNK)
+                for place in sorted({*range(0, size - n, n), size - n}):
+                    x = int(wholes.hashes(np.array([first + place]), n)[0])
+                    out.setdefault((k, place, n, x), (k, size, place, n, True, x, _slots(reading, first + place, n, True)))
+    return list(out.values())
+
+
+def chunk_holds(own: list[str], other: list[str]) -> bool:
+    """Equal values, or consistent ones among enough fixed tokens: words, and names that stayed."""
+    if own == other:
+        return True
+    fixed = sum(a == b and not _NUMBER.fullmatch(a) for a, b in zip(own, other))
+    if not (fixed >= LITERALS or fixed >= 2 and len(own) - fixed >= WINDOW):
+        return False
+    value: dict[str, str] = {}
+    return all(value.setdefault(a, b) == b for a, b in zip(own, other) if a)
+
+
+def judge(n_tokens: int, matches: list[tuple[int, int, int, bool, list[str], list[str]]]) -> tuple[int, int, int, bool] | None:
+    """From (place in the item, place in the document, length, whether a chunk, item's slots, document's slots): windows,
+    tokens covered, slots that changed, and whether any did; None if the item isn't found."""
     by_diagonal: dict[int, list] = {}
     for m in matches:
-        by_diagonal.setdefault(m[1] - m[0], []).append(m)
-    places, covered, changed = set(), set(), set()
+        if all(bool(a) == bool(b) for a, b in zip(m[4], m[5])) and (not m[3] or chunk_holds(m[4], m[5])):
+            by_diagonal.setdefault(m[1] - m[0], []).append(m)
+    places, covered, changed, alone = set(), set(), set(), []
     for rows in by_diagonal.values():
         seen: dict[str, Counter] = {}
-        for _, _, _, own, other in rows:
-            for a, b in zip(own, other):
+        for m in rows:
+            for a, b in zip(m[4], m[5]):
                 if a:
                     seen.setdefault(a, Counter())[b] += 1
         # the most frequent value; of equally frequent ones the smallest
         value = {a: min(c, key=lambda b: (-c[b], b)) for a, c in seen.items()}
-        for place, _, length, own, other in rows:
-            if all(not a or value[a] == b for a, b in zip(own, other)):
-                places.add(place)
-                covered.update(range(place, place + length))
-                changed.update(a for a, b in zip(own, other) if a and a != b)
+        fit = [m for m in rows if all(not a or value[a] == b for a, b in zip(m[4], m[5]))]
+        own_places = {m[0] for m in fit}
+        own_covered = {t for m in fit for t in range(m[0], m[0] + m[2])}
+        own_changed = {a for m in fit for a, b in zip(m[4], m[5]) if a != b}
+        if len(own_covered) * COVER[1] >= n_tokens * COVER[0]:
+            alone.append((len(own_changed), -len(own_covered), -len(own_places)))
+        places |= own_places
+        covered |= own_covered
+        changed |= own_changed
+    if alone:
+        n_changed, minus_covered, minus_places = min(alone)
+        return -minus_places, -minus_covered, n_changed, n_changed > 0
     if len(covered) * COVER[1] < n_tokens * COVER[0]:
         return None
     return len(places), len(covered), len(changed), bool(changed)
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n_tokens, place, length, h and slots of all windows of the benchmark."""
-    schema = "item_id long, n_tokens long, place long, length int, h long, slots array<string>"
+def probes(total: int, windows: list[tuple[int, int, int, int]]) -> list[int]:
+    """From (place, length, key, items with that key): the rarest keys, so that windows of the others cover too little
+    of ``total`` tokens."""
+    cover = np.zeros(max((p + n for p, n, *_ in windows), default=0), np.int64)
+    by_key: dict[tuple[int, int], list] = {}
+    for place, n, key, items in windows:
+        cover[place : place + n] += 1
+        by_key.setdefault((items, key), []).append((place, n))
+    left, out = int((cover > 0).sum()), []
+    for (_, key), places in sorted(by_key.items()):
+        if left * COVER[1] < total * COVER[0]:
+            break
+        out.append(key)
+        for place, n in places:
+            cover[place : place + n] -= 1
+        left = int((cover > 0).sum())
+    return out
+
+
+def value_cover(windows) -> int:
+    """Tokens within the windows that hold a value."""
+    return len({t for w in windows if any(w["slots"]) for t in range(w["place"], w["place"] + w["length"])})
+
+
+_WINDOW = "struct<place:int,length:int,whole:boolean,h:bigint,slots:array<string>>"
+_WINDOW_ARROW = pa.struct([("place", pa.int32()), ("length", pa.int32()), ("whole", pa.bool_()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))])
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def benchmark_items(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """item, item_id, n_items, n_tokens, total, leads and windows of each distinct text that has windows. ``total`` is the
+    number of tokens of which a document must cover enough: of those that lead a template all, else those near values."""
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    numbered = texts.groupBy("text").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items")).withColumn("item", F.monotonically_increasing_id())
+    schema = f"item long, item_id long, n_items long, n_tokens int, near_values int, template long, windows array<{_WINDOW}>"
+    arrow = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("n_items", pa.int64()), ("n_tokens", pa.int32()), ("near_values", pa.int32()), ("template", pa.int64()), ("windows", pa.list_(_WINDOW_ARROW))])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                raw = raw_texts(part.column("text"))
+                c, windows = canonical(raw), {}
+                for k, size, place, n, whole, h, slots in item_windows(raw):
+                    windows.setdefault((k, size), []).append({"place": place, "length": n, "whole": whole, "h": _signed(h), "slots": slots})
+                own = [part.column(name).to_pylist() for name in ("item", "item_id", "n_items")]
+                template = lambda k: _signed(xxhash.xxh64_intdigest(c.hashes[c.starts[k] : c.starts[k + 1]].tobytes()))  # noqa: B023, E731
+                rows = [(*(x[k] for x in own), size, value_cover(w), template(k), w) for (k, size), w in windows.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    items = scratch.keep(numbered.mapInArrow(run, schema), "items")
+    first = items.groupBy("template").agg(F.min("item").alias("first"))
+    leads = F.col("item") == F.col("first")
+    return scratch.keep(items.join(first, "template").select("item", "item_id", "n_items", "n_tokens", F.when(leads, F.col("n_tokens")).otherwise(F.col("near_values")).alias("total"), leads.alias("leads"), "windows"), "items")
+
+
+def exact(window) -> F.Column:
+    """Key of a window with its values."""
+    return F.xxhash64(window["h"], F.array_join(window["slots"], "\x00"))
+
+
+def item_probes(items: DataFrame) -> DataFrame:
+    """key, item: the windows by which documents find each item; with its values unless it leads its template."""
+    w = F.col("w")
+    rows = items.select("item", "total", "leads", F.explode("windows").alias("w")).where(F.col("leads") | (F.array_max("w.slots") != ""))
+    keyed = rows.select("item", "total", "leads", "w.place", "w.length", F.when(F.col("leads"), w["h"]).otherwise(exact(w)).alias("key"))
+    # how many items have the key; partial sums, no list
+    counts = keyed.select("leads", "key", "item").distinct().groupBy("leads", "key").agg(F.count("*").alias("items"))
+    grouped = keyed.join(counts, ["leads", "key"]).groupBy("item", "total").agg(F.collect_list(F.struct("place", "length", "key", "items")).alias("w"))  # one text's windows
+    arrow = pa.schema([("key", pa.int64()), ("item", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("item_id").to_pylist()
-            rows = item_windows(raw_texts(batch.column("text")))
-            k, n, place, length, h, slots = map(list, zip(*rows)) if rows else ([],) * 6
-            signed = np.array(h, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in k], pa.int64()), pa.array(n, pa.int64()), pa.array(place, pa.int64()), pa.array(length, pa.int32()), pa.array(signed, pa.int64()), pa.array(slots, pa.list_(pa.string()))], names=["item_id", "n_tokens", "place", "length", "h", "slots"])
+            keys, of = [], []
+            for item, total, windows in zip(*(batch.column(c).to_pylist() for c in ("item", "total", "w"))):
+                got = probes(total, [(w["place"], w["length"], w["key"], w["items"]) for w in windows])
+                keys += got
+                of += [item] * len(got)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(of, pa.int64())], schema=arrow)
+
+    return grouped.select("item", "total", "w").mapInArrow(run, "key long, item long")
+
+
+class Bits:
+    """A set of keys as bits: two per key, at least ``LEAST_BITS`` and at most ``MOST_BITS`` in all."""
+
+    def __init__(self, keys: DataFrame, n: int):
+        size = LEAST_BITS
+        while size < MOST_BITS and size < 32 * n:
+            size *= 2
+        self.size, self.bits = size, np.zeros(size // 64, np.uint64)
+        places = keys.select(F.explode(F.array(F.pmod("key", F.lit(size)), F.pmod(F.shiftrightunsigned("key", 32), F.lit(size)))).alias("b"))
+        # one row per word of the array at most
+        words = places.groupBy(F.shiftright("b", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits")).toArrow()
+        self.bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Of uint64 keys: False is sure."""
+        mask = np.uint64(self.size - 1)
+        out = np.ones(len(keys), bool)
+        for b in (keys & mask, (keys >> np.uint64(32)) & mask):
+            out &= (self.bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) > 0
+        return out
 
-    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
+@dataclass
+class Lookup:
+    """What the tasks need of the benchmark."""
 
-HIT_SCHEMA = "doc_id long, row_key long, item_id long, n_windows long, n_covered long, n_item_tokens long, n_changed long, reparameterised boolean"
-_LONGS = ("doc_id", "row_key", "item_id", "n_windows", "n_covered", "n_item_tokens", "n_changed")
-HIT_ARROW = pa.schema([*((n, pa.int64()) for n in _LONGS), ("reparameterised", pa.bool_())])
-
-
-class _Wanted:
-    """Hashes and least count of placeholders of the whole items of each length."""
-
-    def __init__(self, rows: list[tuple[int, int, int]]):
-        by_length: dict[int, list] = {}
-        for n, h, slots in rows:
-            by_length.setdefault(n, []).append((h, slots))
-        self.lengths = {n: (np.unique(np.array([h for h, _ in x], np.int64).view(np.uint64)), min(s for _, s in x)) for n, x in sorted(by_length.items())}
-
-    def find(self, c: Canonical):
-        """(first token, length, hash) of the document windows that are a whole item."""
-        if not self.lengths or not len(c.hashes):
-            return
-        wholes = Wholes(c)
-        for n, (wanted, slots) in self.lengths.items():
-            at = wholes.places(n, slots)
-            h = wholes.hashes(at, n)
-            hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-            yield from zip(at[hit].tolist(), [n] * int(hit.sum()), h[hit].view(np.int64).tolist())
-
-
-class _Index:
-    """The benchmark's windows by hash, with a bitmap that most document windows fail."""
-
-    def __init__(self, rows: list):
-        self.whole = _Wanted([(r["length"], r["h"], sum(x != "" for x in r["slots"])) for r in rows if r["place"] == WHOLE])
-        self.wholes: dict[int, list] = {}
-        for r in rows:
-            if r["place"] == WHOLE:
-                self.wholes.setdefault(r["h"], []).append((r["item_id"], r["n_tokens"], r["place"], r["length"], list(r["slots"])))
-        rows = [r for r in rows if r["place"] != WHOLE]
-        self.lengths = sorted({r["length"] for r in rows})
-        self.by_hash: dict[int, list] = {}
-        for r in rows:
-            self.by_hash.setdefault(r["h"], []).append((r["item_id"], r["n_tokens"], r["place"], r["length"], list(r["slots"])))
-        self.hashes = np.unique(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
-        self.bitmap = np.zeros(1 << 22, bool)
-        self.bitmap[self.hashes & np.uint64((1 << 22) - 1)] = True
-
-    def find(self, c: Canonical):
-        """(first token, length, hash) of the document windows that the benchmark has."""
+    windows: Bits
+    probes: Bits
+    lengths: list[int]  # of windows
+    chunks: dict[int, int]  # length to least count of placeholders
+
+    def find(self, c: Canonical) -> list[tuple[np.ndarray, np.ndarray, int, bool]]:
+        """(first tokens, hashes, length, whether chunks) of the document windows that the benchmark may have."""
+        out = []
         for n in self.lengths:
             at, h = window_hashes(c, n, min(LITERALS, n))
-            maybe = np.flatnonzero(self.bitmap[h & np.uint64((1 << 22) - 1)])
-            where = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
-            hit = maybe[self.hashes[where] == h[maybe]]
-            yield from zip(at[hit].tolist(), [n] * len(hit), h[hit].view(np.int64).tolist())
+            maybe = self.windows.has(h)
+            out.append((at[maybe], h[maybe], n, False))
+        if self.chunks and len(c.hashes):
+            wholes = Wholes(c)
+            for n, slots in self.chunks.items():
+                at = wholes.places(n, slots)
+                h = wholes.hashes(at, n)
+                maybe = self.windows.has(h)
+                out.append((at[maybe], h[maybe], n, True))
+        return out
+
+
+_HIT = "struct<at:int,length:int,whole:boolean,h:bigint,slots:array<string>>"
+_HIT_ARROW = pa.struct([("at", pa.int32()), ("length", pa.int32()), ("whole", pa.bool_()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))])
+_MET = f"came long, doc_id long, row_key long, keys array<long>, hits array<{_HIT}>"
+_MET_ARROW = pa.schema([("came", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("hits", pa.list_(_HIT_ARROW))])
 
 
-def _local_hits(rows: DataFrame, index: _Index) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(index)
+def document_hits(rows: DataFrame, lookup: Lookup) -> DataFrame:
+    """Documents (came, doc_id, row_key, text) that hold a probe: their hits and the keys of these, with and without values."""
+    shared = rows.sparkSession.sparkContext.broadcast(lookup)
 
     def run(batches):
-        index = shared.value
-        for whole in batches:
-            for lo in range(0, whole.num_rows, SUB_BATCH):
-                batch = whole.slice(lo, SUB_BATCH)
-                c = canonical(raw_texts(batch.column("text")))
-                found: dict[tuple[int, int], list] = {}
-                sizes = {}
-                for hits, by_hash, alone in ((index.find(c), index.by_hash, False), (index.whole.find(c), index.wholes, True)):
-                    for a, n, h in hits:
-                        k = int(c.text[a])
-                        other = _slots(c, a, n, alone)
-                        for item, n_tokens, place, length, own in by_hash[h]:
-                            if length == n and all(bool(x) == bool(y) for x, y in zip(own, other)):
-                                found.setdefault((k, item), []).append((place, a - int(c.starts[k]), n, own, other))
-                                sizes[item] = n_tokens
-                out = [(k, item, got, sizes[item]) for (k, item), m in found.items() if (got := judge(sizes[item], m))]
-                if out:
-                    ids, keys = batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist()
-                    columns = zip(*[(ids[k], keys[k], item, got[0], got[1], n, got[2], got[3]) for k, item, got, n in out])
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, HIT_ARROW)], schema=HIT_ARROW)
+        lookup = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                c = canonical(raw_texts(part.column("text")))
+                hits: dict[int, list] = {}
+                for at, h, n, whole in lookup.find(c):
+                    for a, x in zip(at.tolist(), h.view(np.int64).tolist()):
+                        hits.setdefault(int(c.text[a]), []).append({"at": a, "length": n, "whole": whole, "h": x, "slots": _slots(c, a, n, whole)})
+                if hits:
+                    yield pa.RecordBatch.from_arrays([*(pa.array([part.column(name)[k].as_py() for k in hits], pa.int64()) for name in ("came", "doc_id", "row_key")), pa.array([_relative(x, int(c.starts[k])) for k, x in hits.items()], pa.list_(_HIT_ARROW))], names=["came", "doc_id", "row_key", "hits"])
+
+    found = rows.mapInArrow(run, f"came long, doc_id long, row_key long, hits array<{_HIT}>")
+    own = F.transform("hits", lambda x: x["h"])
+    keyed = found.select("came", "doc_id", "row_key", F.array_distinct(F.concat(own, F.transform("hits", exact))).alias("keys"), "hits")
+
+    def probed(batches):
+        lookup = shared.value
+        for batch in batches:
+            keys = batch.column("keys")
+            flat = keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(keys.offsets.to_numpy()))
+            hit = lookup.probes.has(flat)
+            chosen = np.flatnonzero(np.bincount(row[hit], minlength=batch.num_rows))
+            if len(chosen):
+                counts = np.bincount(row[hit], minlength=batch.num_rows)
+                kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat[hit].view(np.int64)))
+                columns = [kept if f.name == "keys" else batch.column(f.name) for f in _MET_ARROW]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, _MET_ARROW)], schema=_MET_ARROW).take(pa.array(chosen))
+
+    return keyed.mapInArrow(probed, _MET)
+
+
+def _relative(hits: list[dict], start: int) -> list[dict]:
+    return [x | {"at": x["at"] - start} for x in hits]
+
+
+HIT_SCHEMA = "doc_id long, row_key long, item_id long, n_windows long, n_covered long, n_item_tokens long, n_changed long, reparameterised boolean, n_items long"
+_LONGS = ("doc_id", "row_key", "item_id", "n_windows", "n_covered", "n_item_tokens", "n_changed")
+HIT_ARROW = pa.schema([*((n, pa.int64()) for n in _LONGS), ("reparameterised", pa.bool_()), ("n_items", pa.int64())])
+
 
-    return rows.mapInArrow(run, HIT_SCHEMA)
+_PAIR = ["doc_id", "row_key", "item_id", "n_items", "n_tokens", "total", "leads", "windows", "hits"]
 
 
-def _shuffled_hits(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    schema = "doc_id long, row_key long, came long, at long, n int, dh long, other array<string>, whole boolean"
-    # of whole items, one hash each: what documents don't have in common with them isn't shuffled
-    whole = windows.where(F.col("place") == WHOLE).groupBy("length", "h").agg(F.min(F.size(F.array_remove("slots", ""))).alias("slots"))
-    shared = rows.sparkSession.sparkContext.broadcast(_Wanted([tuple(x) for x in whole.toPandas().itertuples(index=False, name=None)]))
+def judged(pairs: DataFrame) -> DataFrame:
+    """Pairs with the document's hits and the item's windows to the rows found."""
 
     def run(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, SUB_BATCH):
-                batch = whole.slice(lo, SUB_BATCH)
-                ids, keys, came = (batch.column(x).to_pylist() for x in ("doc_id", "row_key", "came"))
-                c = canonical(raw_texts(batch.column("text")))
-                found = [(at, h.view(np.int64), np.full(len(at), n), False) for n in lengths for at, h in [window_hashes(c, n, min(LITERALS, n))]]
-                if hits := list(shared.value.find(c)):
-                    at, n, h = (np.array(x, np.int64) for x in zip(*hits))
-                    found.append((at, h, n, True))
-                for at, h, n, alone in found:
-                    t = c.text[at].tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[k] for k in t], pa.int64()), pa.array([keys[k] for k in t], pa.int64()), pa.array([came[k] for k in t], pa.int64()), pa.array(at - c.starts[c.text[at]], pa.int64()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array([_slots(c, a, m, alone) for a, m in zip(at.tolist(), n.tolist())], pa.list_(pa.string())), pa.array([alone] * len(t), pa.bool_())],
-                        names=["doc_id", "row_key", "came", "at", "n", "dh", "other", "whole"],
-                    )
-
-    own = rows.withColumn("came", F.monotonically_increasing_id()).mapInArrow(run, schema)
-    met = own.join(windows, (own["dh"] == windows["h"]) & (own["n"] == windows["length"]) & (own["whole"] == (windows["place"] == WHOLE)))
-
-    def decide(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = [(p, a, n, list(x), list(y)) for p, a, n, x, y in zip(pdf["place"], pdf["at"], pdf["n"], pdf["slots"], pdf["other"]) if all(bool(u) == bool(v) for u, v in zip(x, y))]
-        got = judge(int(pdf["n_tokens"].iloc[0]), m)
-        row = [] if got is None else [(pdf["doc_id"].iloc[0], pdf["row_key"].iloc[0], key[1], got[0], got[1], pdf["n_tokens"].iloc[0], got[2], got[3])]
-        return pd.DataFrame(row, columns=HIT_ARROW.names)
-
-    # a group is bounded by one document's windows times the item's
-    return met.groupBy("came", "item_id").applyInPandas(decide, HIT_SCHEMA)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, local: int = LOCAL) -> DataFrame:
-    """One row per document and item found in it."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("row_key"), F.col("text").cast("string").alias("text"))
-    windows = benchmark_windows(benchmark)
-    if windows.limit(local + 1).count() <= local:
-        return _local_hits(rows, _Index(windows.collect())) if not windows.isEmpty() else docs.sparkSession.createDataFrame([], HIT_SCHEMA)
-    lengths = [r[0] for r in windows.where(F.col("place") != WHOLE).select("length").distinct().collect()]
-    return _shuffled_hits(rows, windows, lengths)
+            for lo in range(0, whole.num_rows, 64):
+                batch = whole.slice(lo, 64)
+                out = []
+                for doc, key, item, n_items, n, total, leads, windows, hits in zip(*(batch.column(c).to_pylist() for c in _PAIR)):
+                    by_hash: dict[int, list] = {}
+                    for w in windows:
+                        by_hash.setdefault(w["h"], []).append(w)
+                    met = [(w, x) for x in hits for w in by_hash.get(x["h"], ()) if w["length"] == x["length"] and w["whole"] == x["whole"]]
+                    if not leads:
+                        met = [(w, x) for w, x in met if w["slots"] == x["slots"]]
+                        if value_cover(w for w, _ in met) * COVER[1] < total * COVER[0]:
+                            continue
+                    got = judge(n, [(w["place"], x["at"], w["length"], w["whole"], w["slots"], x["slots"]) for w, x in met])
+                    if got:
+                        out.append((doc, key, item, got[0], got[1], n, got[2], got[3], n_items))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), HIT_ARROW)], schema=HIT_ARROW)
+
+    return pairs.select(*_PAIR).mapInArrow(run, HIT_SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, local: int = LOCAL) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and item found in it."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    items = benchmark_items(benchmark, scratch)
+    wanted = scratch.keep(item_probes(items), "probes")
+    hashes = items.select(F.explode("windows").alias("w")).select(F.col("w.h").alias("key"), "w.length", "w.whole", F.size(F.array_remove("w.slots", "")).alias("slots"))
+    # at most CHUNK rows of each kind
+    kinds = hashes.groupBy("whole", "length").agg(F.min("slots").alias("slots"), F.count("*").alias("n")).collect()
+    if not kinds:
+        return spark.createDataFrame([], HIT_SCHEMA)
+    lookup = Lookup(Bits(hashes, sum(r["n"] for r in kinds)), Bits(wanted, wanted.count()), sorted(r["length"] for r in kinds if not r["whole"]), {r["length"]: r["slots"] for r in sorted(kinds, key=lambda r: r["length"]) if r["whole"]})
+    rows = docs.select(F.monotonically_increasing_id().alias("came"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("row_key"), F.col("text").cast("string").alias("text"))
+    met = scratch.keep(document_hits(rows, lookup), "met")
+    pairs = scratch.keep(met.select("came", F.explode("keys").alias("key")).join(wanted, "key").select("came", "item").distinct(), "pairs")
+    return judged(pairs.join(met.drop("keys"), "came").join(items, "item"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark item; all columns stay."""
-    hits = contaminated(docs, benchmark, local)
-    return without(docs, hits.select(F.col("doc_id").alias("_gone_id"), F.col("row_key").alias("_gone_key")).distinct())
+    hits = contaminated(docs, benchmark)
+    return without(docs, hits.select(F.col("doc_id").alias("_gone_id"), F.col("row_key").alias("_gone_key")))

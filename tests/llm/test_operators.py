@@ -35,16 +35,68 @@ def test_parameters_may_change_only_together(spark):
     }
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     bench = spark.createDataFrame([(9, item), (10, "a completely different sentence about trains and boats and planes")], "item_id long, text string")
-    for local in (decontam.LOCAL, 5):  # in the tasks, and by a shuffle
-        got = {r["doc_id"]: r for r in decontam.contaminated(docs, bench, local).collect()}
-        assert set(got) == {1, 2, 3, 4, 7, 8} and {r["item_id"] for r in got.values()} == {9}
-        assert not got[1]["reparameterised"] and got[2]["reparameterised"] and got[2]["n_changed"] == 2
+    got = {r["doc_id"]: r for r in decontam.contaminated(docs, bench).collect()}
+    assert set(got) == {1, 2, 3, 4, 7, 8} and {r["item_id"] for r in got.values()} == {9}
+    assert not got[1]["reparameterised"] and got[2]["reparameterised"] and got[2]["n_changed"] == 2
 
 
 def test_inconsistent_slots_are_left_out():
     own, other = ["3", "", "3", ""], ["7", "", "8", ""]
-    assert decontam.judge(10, [(i, i, 5, own, other) for i in range(4)]) is None
-    assert decontam.judge(10, [(i, i, 5, own, ["7", "", "7", ""]) for i in range(4)]) == (4, 8, 1, True)
+    assert decontam.judge(10, [(i, i, 5, False, own, other) for i in range(4)]) is None
+    assert decontam.judge(10, [(i, i, 5, False, own, ["7", "", "7", ""]) for i in range(4)]) == (4, 8, 1, True)
+    # of two copies the one with fewer changes
+    assert decontam.judge(8, [(i, i, 5, False, own, ["7", "", "7", ""]) for i in range(4)] + [(i, 100 + i, 5, False, own, own) for i in range(3)]) == (3, 7, 0, False)
+
+
+def test_items_on_both_sides_of_a_line_end(spark):
+    """Decimals, abbreviations, all-number text and names at the start of sentences, renamed too."""
+    items = {
+        1: "The rate rose from 3.5 to 4.25 per cent, i.e. by 0.75 points in 2.5 years, as the bank said", 2: "Mr. A. Smith of the U.S. office, e.g. the one in a.b house, paid 12.50 for the old lamp",
+        3: "1 1 2 3 5 8 13 21 34 55 89 144", 4: "Carl has 3 pears. Dana has 4 pears. How many pears do Carl and Dana have together?", 5: "12 + 7.5 * 3 - 4",
+    }
+    put = ("Intro. {}", "Intro.\n{}", "{}\nMore text here", "Words before {} and after", "“{}”")
+    rows = [(10 * i + k, form.format(x)) for i, x in items.items() for k, form in enumerate(put)]
+    rows += [(1000 + k, form.format(items[4].replace("Carl", "Emma").replace("Dana", "Fred").replace("3", "8"))) for k, form in enumerate(put)]
+    rows += [(2000, items[4].replace("Dana", "Fred", 1)), (2001, "2 3 5 7 11 13 17 19 23 29 31 37"), (2002, "Carl and Dana have a garden with many old pears.")]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    want = {(10 * i + k, i): False for i in items for k in range(len(put))} | {(1000 + k, 4): True for k in range(len(put))}
+    assert {k: v for k, v in got.items() if k[0] < 2000} == want and not {d for d, _ in got} & {2001, 2002}
+
+
+def test_repeated_ids_templates_and_shared_windows(spark):
+    """Every item of many that share an instruction is found by its own document, and only by it."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    said = "please read the text below with care and answer the question in one short line"
+    bodies = [" ".join(word() for _ in range(16)) for _ in range(60)]
+    items = [(k // 2 if k % 7 else None, f"{said} {x}") for k, x in enumerate(bodies)] + [(500, f"{said} {bodies[0]}")]
+    items += [(600 + k, f"what is the sum of {k} and {k + 3} in the end of the day") for k in range(50)]
+    docs = [(k, f"before it\n{said} {x} after it") for k, x in enumerate(bodies)] + [(100, said), (101, "so what is the sum of 7 and 10 in the end of the day"), (102, "what is the sum of 1000 and 77 in the end of the day")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert sorted(by) == [*range(60), 101, 102]
+    assert all(len(by[k]) == 1 and by[k][0]["item_id"] == (items[k][0] if k else 500) and by[k][0]["n_items"] == 1 + (k == 0) for k in range(60))
+    assert {(r["item_id"], r["reparameterised"]) for r in by[101]} >= {(607, False)} and len(by[101]) <= 2
+    assert [r["reparameterised"] for r in by[102]] == [True]
+
+
+def test_probes_leave_too_little():
+    rng = random.Random(12)
+    for _ in range(200):
+        n = rng.randint(1, 30)
+        windows = [(p := rng.randrange(n), rng.randint(1, min(5, n - p)), rng.randrange(12), rng.randint(1, 9)) for _ in range(rng.randint(0, 40))]
+        chosen = set(decontam.probes(n, windows))
+        left = {t for p, m, key, _ in windows if key not in chosen for t in range(p, p + m)}
+        assert 2 * len(left) < n
+
+
+def test_bits(spark):
+    keys = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 5000)
+    bits = decontam.Bits(spark.createDataFrame([(int(k),) for k in keys], "key long"), len(keys))
+    assert bits.has(keys.view(np.uint64)).all() and bits.has(np.random.default_rng(4).integers(0, 1 << 64, 5000, dtype=np.uint64)).mean() < 0.01
 
 
 def test_passages_brute_force(spark, docs):
@@ -65,9 +117,8 @@ def test_items_of_few_words_and_unsegmented_scripts(spark):
     clean = {3: "What is 13 and 8, or 36 and 5?", 4: "3, 5, 9, 17, 33, 65", 5: "From 17 + 4 = ? one sees it", 6: "法国的面积有多大", 7: "Find the sum of 1, 2, 3, 4, 5, 6, 7"}
     docs = spark.createDataFrame([*texts.items(), *other.items(), *clean.items()], "doc_id long, text string")
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    for local in (decontam.LOCAL, 5):
-        got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontam.contaminated(docs, bench, local).collect()}
-        assert got == {(d, d // 100): False for d in texts} | {(1, 1): True, (2, 3): True}
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(d, d // 100): False for d in texts} | {(1, 1): True, (2, 3): True}
 
 
 # ---- 2: near duplicates
