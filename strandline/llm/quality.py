@@ -1,9 +1,10 @@
 """Operator 5: quality rules with adaptive thresholds, all in DataFrame functions.
 
-Every rule looks at a share in thousandths (symbols per word character, repeated lines, repeated words) or at the mean
-word length in tenths. For each language and source a histogram with one-unit bins is kept of each of them: a quantile
-sketch of at most ``BINS`` counts that merges by addition, so it takes map-side partial sums, doesn't depend on the
-partitioning, and errs by less than one bin. Groups with fewer than ``LEAST_ROWS`` rows use the sketch of their
+Every rule looks at a share in millionths (symbols per word character, repeated lines, repeated words) or at the mean
+word length in thousandths. For each language and source a quantile sketch is kept of each of them: counts of values cut
+to their ``DIGITS`` leading binary digits, so bins are as wide as values are large. It holds any value, errs by less than
+one part in 2^(DIGITS - 1), has at most 2^(DIGITS - 1) bins for each doubling, takes map-side partial sums, merges by
+addition, and doesn't depend on the partitioning. Groups with fewer than ``LEAST_ROWS`` rows use the sketch of their
 language, merged from its sources, and languages with fewer use the sketch of the whole corpus.
 
 A group's threshold is its upper quartile plus ``FENCE`` times the larger of its interquartile range and a least
@@ -11,9 +12,10 @@ spread; for the word length there is a lower one too. These fences lie far outsi
 documents stay, while the cutoffs follow what is usual for the language and source. A document is kept if it passes
 the base rules and stays within its group's fences.
 
-The text is read once; its statistics are written to the shared folder and joined with the thresholds, which Spark
-broadcasts only if they prove small. Null text counts as empty (n_words 0, so base_failed); null language and null
-source are groups of their own; repeated rows count as often as they appear.
+The text is read once; its statistics are written to the shared folder and joined with the thresholds, which are
+broadcast up to ``MOST_GROUPS`` groups. The filter writes the rows beside their statistics, so that texts aren't shuffled.
+Null text counts as empty (n_words 0, so base_failed); null language and null source are groups of their own; repeated
+rows count as often as they appear.
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, text_key, without
+from strandline.llm.common import Scratch
 
 SPACE = r"[ \t\n\x0B\f\r]"
-BINS = 1001
+DIGITS = 8
 LEAST_ROWS = 100
 FENCE = 6
 #: Metric and least spread, in its unit.
-UPPER = (("symbol_pm", 8), ("dup_line_pm", 80), ("repeat_pm", 80), ("word_len", 10))
-LOWER = (("word_len", 5),)
+UPPER = (("symbol_ppm", 8_000), ("dup_line_ppm", 80_000), ("repeat_ppm", 80_000), ("word_len", 1_000))
+LOWER = (("word_len", 500),)
+#: Thresholds that are broadcast: some 100 bytes for each language and source.
+MOST_GROUPS = 50_000
 
 
 def _let(value: Column, body) -> Column:
@@ -56,8 +60,8 @@ def _n_repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(words, lambda w: _let(windows(w), lambda h: of_windows(w, h)))).cast("long")
 
 
-def text_stats(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, lang, source, row_key and the counts that the rules use."""
+def text_stats(docs: DataFrame, *more: Column) -> DataFrame:
+    """One row per document: doc_id, lang, source, the counts that the rules use, and ``more``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, f"{SPACE}+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
@@ -65,30 +69,37 @@ def text_stats(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
-        text_key(F.col("text")).alias("row_key"),
         (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
         _let(words, lambda w: F.struct(F.size(w).alias("n"), _n_repeat_words(w).alias("rep"))).alias("words"),
+        *more,
     )
     return got.select(
-        "doc_id", "lang", "source", "row_key", F.col("words.n").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", "lang", "source", F.col("words.n").cast("long").alias("n_words"), "word_chars", "n_symbols",
         F.col("lines.n").cast("long").alias("n_lines"), F.col("lines.dup").cast("long").alias("n_dup_lines"), F.col("words.rep").cast("long").alias("n_repeat_words"),
+        *got.columns[len(got.columns) - len(more) :],
     )
 
 
 METRICS = {
-    "symbol_pm": "least(1000, coalesce(1000 * n_symbols div nullif(word_chars, 0), 0))",
-    "dup_line_pm": "coalesce(1000 * n_dup_lines div nullif(n_lines, 0), 0)",
-    "repeat_pm": "coalesce(1000 * n_repeat_words div nullif(n_words, 0), 0)",
-    "word_len": "least(1000, coalesce(10 * word_chars div nullif(n_words, 0), 0))",
+    "symbol_ppm": "coalesce(1000000 * n_symbols div nullif(word_chars, 0), 0)",
+    "dup_line_ppm": "coalesce(1000000 * n_dup_lines div nullif(n_lines, 0), 0)",
+    "repeat_ppm": "coalesce(1000000 * n_repeat_words div nullif(n_words, 0), 0)",
+    "word_len": "coalesce(1000 * word_chars div nullif(n_words, 0), 0)",
 }
 
 
+def bin_of(value: str) -> Column:
+    """The least value of the sketch's bin: the leading binary digits, zeros behind."""
+    rest = f"greatest(0, length(bin({value})) - {DIGITS})"
+    return F.expr(f"shiftleft(shiftright({value}, {rest}), {rest})")
+
+
 def _fences(sketch: DataFrame, by: list[str]) -> DataFrame:
     """Rows, upper and lower fences of each group of a sketch with columns ``by``, metric, bin and n."""
     counts = sketch.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
-    # at most BINS entries a group and metric, so a group's array is bounded
+    # as many entries as the sketch has bins, so a group's array is bounded
     grouped = counts.groupBy(*by, "metric").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("rows"))
 
     def quantile(parts: int) -> Column:
@@ -106,12 +117,15 @@ def _fences(sketch: DataFrame, by: list[str]) -> DataFrame:
 LIMITS = [f"{m}_max" for m, _ in UPPER] + [f"{m}_min" for m, _ in LOWER]
 
 
-def verdicts(stats: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """``stats`` with base_failed and kept. The thresholds come from the rows that pass the base rules."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = stats.select("*", *[F.expr(e).alias(m) for m, e in METRICS.items()], failed.alias("base_failed"))
-    entries = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("bin")) for m in METRICS]))
-    sketch = rows.where(~F.col("base_failed")).select("lang", "source", entries.alias("e")).groupBy("lang", "source", "e.metric", "e.bin").agg(F.count("*").alias("n"))
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+
+
+def thresholds(stats: DataFrame, scratch: Scratch, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """t_lang, t_source and the limits of each group with rows that pass the base rules, from which they come."""
+    rows = stats.where(f"not ({BASE_FAILED})").select("lang", "source", *[F.expr(e).cast("long").alias(m) for m, e in METRICS.items()])
+    entries = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bin_of(m).alias("bin")) for m in METRICS]))
+    sketch = rows.select("lang", "source", entries.alias("e")).groupBy("lang", "source", "e.metric", "e.bin").agg(F.count("*").alias("n"))
+    sketch = scratch.keep(sketch, "sketch")
     fine, of_lang, whole = _fences(sketch, ["lang", "source"]), _fences(sketch, ["lang"]), _fences(sketch.withColumn("all", F.lit(1)), ["all"])
     pick = lambda a, b, x: F.when(a["rows"] >= least_rows, a[x]).when(b["rows"] >= least_rows, b[x]).otherwise(whole[x]).alias(x)
     limits = (
@@ -119,6 +133,14 @@ def verdicts(stats: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
         .join(F.broadcast(whole))  # one row
         .select(fine["lang"].alias("t_lang"), fine["source"].alias("t_source"), *[pick(fine, of_lang, x) for x in LIMITS])
     )
+    limits = scratch.keep(limits, "limits")
+    return F.broadcast(limits) if limits.count() <= MOST_GROUPS else limits
+
+
+def verdicts(stats: DataFrame, scratch: Scratch, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """``stats`` with base_failed and kept."""
+    rows = stats.select("*", *[F.expr(e).alias(m) for m, e in METRICS.items()], F.expr(BASE_FAILED).alias("base_failed"))
+    limits = thresholds(stats, scratch, least_rows)
     joined = rows.join(limits, rows["lang"].eqNullSafe(limits["t_lang"]) & rows["source"].eqNullSafe(limits["t_source"]), "left")
     within = F.lit(True)
     for m, _ in UPPER:
@@ -130,24 +152,28 @@ def verdicts(stats: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
 
 
 def quality_report(docs: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    stats = Scratch(docs.sparkSession).keep(text_stats(docs), "quality-stats")
-    return verdicts(stats, least_rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    scratch = Scratch(docs.sparkSession)
+    stats = scratch.keep(text_stats(docs), "stats")
+    return verdicts(stats, scratch, least_rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def quality_filter(docs: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """The documents that pass, with all their columns."""
-    stats = Scratch(docs.sparkSession).keep(text_stats(docs), "quality-stats")
-    gone = verdicts(stats, least_rows).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("row_key").alias("_gone_key"))
-    return without(docs, gone)
+    scratch = Scratch(docs.sparkSession)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    stats = scratch.keep(text_stats(docs, row), "stats")
+    return verdicts(stats, scratch, least_rows).where("kept").select("_row.*")
 
 
 def quality_sql(least_rows: int = LEAST_ROWS) -> str:
     metric = {m: e.replace(" div ", " // ") for m, e in METRICS.items()}
+    rest = lambda m: f"greatest(0, length(bin({m})) - {DIGITS})"
+    cut = lambda m: f"(({m} >> {rest(m)}) << {rest(m)})"
     spread = lambda m, least: f"greatest(max(q3) FILTER (metric = '{m}') - max(q1) FILTER (metric = '{m}'), {least})"
     fences = ", ".join([f"max(q3) FILTER (metric = '{m}') + {FENCE} * {spread(m, s)} AS {m}_max" for m, s in UPPER] + [f"max(q1) FILTER (metric = '{m}') - {FENCE} * {spread(m, s)} AS {m}_min" for m, s in LOWER])
     level = lambda by: f"""SELECT {by}, max(n) AS n, {fences} FROM (
         SELECT {by}, metric, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3
-        FROM (UNPIVOT (SELECT {', '.join(dict.fromkeys((by + ', lang, source').replace('one, ', '').split(', ')))}, 1 AS one, {', '.join(METRICS)} FROM m WHERE NOT base_failed) ON {', '.join(METRICS)} INTO NAME metric VALUE v)
+        FROM (UNPIVOT (SELECT {', '.join(dict.fromkeys((by + ', lang, source').replace('one, ', '').split(', ')))}, 1 AS one, {', '.join(f'{cut(m)} AS {m}' for m in METRICS)} FROM m WHERE NOT base_failed) ON {', '.join(METRICS)} INTO NAME metric VALUE v)
         GROUP BY {by}, metric) GROUP BY {by}"""
     pick = ", ".join(f"CASE WHEN f.n >= {least_rows} THEN f.{x} WHEN l.n >= {least_rows} THEN l.{x} ELSE o.{x} END AS {x}" for x in LIMITS)
     within = " AND ".join([f"{m} <= {m}_max" for m, _ in UPPER] + [f"{m} >= {m}_min" for m, _ in LOWER])
