@@ -11,7 +11,9 @@ one is put before ``###`` and ``</turn>``, in roles also before colons, so a rea
 everything back by dropping the backslash before any character. ``loss_spans`` are the code points of each assistant
 text in the formatted conversation.
 
-A message whose parent isn't there, or is null, is a root. Null text and role count as empty, null scores as 0. Rows with
+A message whose parent isn't there, or is null, is a root. Rows that repeat a (tree, id) are one message: the row with the
+smallest parent (null first), then score, role and text. Rows without a tree or an id can't stand on a path and give
+none. Further columns are ignored; no messages give no paths. Null text and role count as empty, null scores as 0. Rows with
 one turn number are ordered by role, then by a hash of the text; equal rows each stay a turn. A circle of parents raises
 ValueError. A conversation is one row of the result, so the longest one must fit in a row.
 """
@@ -36,6 +38,16 @@ def escaped(text: Column) -> Column:
     return text
 
 
+_ORDER = ("parent", "score", "role", "text")
+
+
+def one_each(messages: DataFrame) -> DataFrame:
+    """One row per (tree, id): the smallest in the order of the columns that are there. Partial results, no list."""
+    own = [c for c in _ORDER if c in messages.columns]
+    rows = messages.where("tree is not null and id is not null")
+    return rows.groupBy("tree", "id").agg(F.min(F.struct(*own)).alias("_m")).select("tree", "id", *[f"_m.{c}" for c in own])
+
+
 def _doubled(nodes: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
     """Ancestor tables at distance 1, 2, 4 ... and, for each node, the score and number of nodes on its way to the root."""
     ids = nodes.select(F.col("tree").alias("t"), F.col("id").alias("i"))
@@ -57,13 +69,14 @@ def _doubled(nodes: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataF
         state = scratch.keep(going.unionByName(state.where("anc is null")), "state")
 
 
-def reply_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
+def reply_paths(messages: DataFrame, top_k: int = 1, unique: bool = False) -> DataFrame:
     """tree, leaf, branch_rank, id and pos (from the root, 0 first) of the messages on the chosen paths.
 
-    ``messages`` has tree, id and parent (long), and score (double).
+    ``messages`` has tree, id and parent (long), and score (double). ``unique``: no (tree, id) repeats, as is known.
     """
     scratch = Scratch(messages.sparkSession)
-    nodes = scratch.keep(messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
+    nodes = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    nodes = scratch.keep(nodes if unique else one_each(nodes), "nodes")
     jumps, totals = _doubled(nodes, scratch)
     parents = nodes.select(F.col("tree").alias("t"), F.col("parent").alias("p")).where("p is not null")
     leaves = totals.join(parents, (F.col("tree") == F.col("t")) & (F.col("id") == F.col("p")), "left_anti")
@@ -86,8 +99,10 @@ def reply_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
     return paths.select("tree", "leaf", "branch_rank", "id", (F.col("n") - 1 - F.col("dist")).alias("pos"))
 
 
-def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
-    """tree, leaf, branch_rank, formatted and loss_spans of each path."""
+def format_paths(messages: DataFrame, paths: DataFrame, unique: bool = False) -> DataFrame:
+    """tree, leaf, branch_rank, formatted and loss_spans of each path. Null roles and texts count as empty."""
+    if not unique:
+        messages = one_each(messages.withColumn("score", F.coalesce("score", F.lit(0.0))))
     texts = messages.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = paths.join(texts, (F.col("tree") == F.col("t")) & (F.col("id") == F.col("i")))
     head = F.concat(F.lit("### "), F.replace(escaped(F.col("role")), F.lit(":"), F.lit("\\:")), F.lit(": "))
@@ -166,7 +181,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             out["formatted_chars"].append(len(text))
         return out
 
-    return map_batches(formatted.select("tree", "formatted", "loss_spans"), read, SCHEMA, ARROW)
+    return map_batches(formatted.select("tree", "formatted", "loss_spans"), read, SCHEMA, ARROW, "formatted")
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
@@ -178,7 +193,7 @@ def chat_digest(conversations: DataFrame) -> DataFrame:
     rows = rows.unionByName(hostile).withColumn("conv_id", F.coalesce("conv_id", none))
     scratch = Scratch(spark)
     messages = scratch.keep(linear_messages(rows), "messages")
-    out = digests(format_paths(messages, reply_paths(messages)))
+    out = digests(format_paths(messages, reply_paths(messages, unique=True), unique=True))
     return out.withColumn("conv_id", F.when(F.col("conv_id") != none, F.col("conv_id")))
 
 

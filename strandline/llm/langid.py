@@ -1,14 +1,15 @@
 """Operator 7: language identification of mixed-language text.
 
-Training: counts of hashed letter trigrams per language, and of words per language and script, summed over a sample of
+Training, for the ``MOST_LANGS`` most frequent languages: counts of hashed letter trigrams per language, and of words per language and script, summed over a sample of
 labelled documents. A document is taken by a hash of its row, at a rate that gives about ``SAMPLE`` documents for each
 language, all of them where there are fewer; whole texts are counted. The model has ``BUCKETS`` numbers per language.
 
 Prediction: each word gets a score per language, the log likelihood of its trigrams. The script of a word narrows the
 candidates to languages seen in it. Viterbi with a switching penalty labels the words, so a span changes its language
-only where that gains more than the penalty. If no stretch of words favours another language over the best single one
-by more than the penalty, the best path has one label (each change costs the penalty at least once and each stretch
-gains less), so only the other texts run the recurrence. A document's language has the most letters under its label;
+only where that gains more than the penalty. If no stretch of words favours another language over the best single one by more
+than half the penalty, the best path has one label: a path with s >= 2 stretches in other languages has at least s - 1 >=
+s / 2 changes, and one stretch without a change is a whole text in another language. So only the other texts run the
+recurrence. A document's language has the most letters under its label;
 the score is their share. Ties go to the smaller label.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if nothing was learned. A null doc_id
@@ -25,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import map_batches, text_key
+from strandline.llm.common import map_batches, slices, text_key
 
 SAMPLE = 2_000
+#: Languages that are learned, the most frequent ones: bounds the counts that the driver gathers (33,000 each).
+MOST_LANGS = 128
 BUCKETS = 1 << 15
 PENALTY = 12.0
 SMOOTHING = 0.5
@@ -95,7 +98,7 @@ class Model:
         best = int(score.sum(axis=0, dtype=np.float64).argmax())
         gain = np.cumsum(score - score[:, best : best + 1], axis=0, dtype=np.float64)
         low = np.minimum(np.minimum.accumulate(np.vstack([np.zeros(gain.shape[1]), gain[:-1]]), axis=0), 0)
-        if (gain - low).max() <= self.penalty:
+        if (gain - low).max() <= self.penalty / 2:
             return np.full(len(score), best)
         return self.viterbi(score)
 
@@ -148,28 +151,31 @@ def fold(doc_id) -> F.Column:
 def train(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> Model:
     """From text and lang of rows outside the held-out fold."""
     rows = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    sizes = {r["lang"]: r["n"] for r in frequent.collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((0, len(SCRIPTS))), penalty)
     rate = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample / sizes[k])))])[F.col("lang")]
+    # other languages have no rate
     taken = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), text_key(F.col("text")), F.lit(7)), F.lit(1_000_000)) < rate * 1_000_000)
 
     def run(batches):
         counts = np.zeros((len(langs), BUCKETS + len(SCRIPTS)), np.int64)
         number = {k: i for i, k in enumerate(langs)}
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                words = words_of(text)
-                if words:
-                    buckets, _, scripts = features(words)
-                    counts[number[lang]] += np.bincount(np.concatenate([buckets, BUCKETS + scripts]), minlength=counts.shape[1])
+            for part in slices(batch):
+                for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
+                    words = words_of(text)
+                    if words:
+                        buckets, _, scripts = features(words)
+                        counts[number[lang]] += np.bincount(np.concatenate([buckets, BUCKETS + scripts]), minlength=counts.shape[1])
         lang, feature = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(feature, pa.int32()), pa.array(counts[lang, feature])], names=["lang", "feature", "n"])
 
-    got = taken.select("text", "lang").mapInArrow(run, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
+    got = taken.select("text", "lang").mapInArrow(run, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
-    counts[got["lang"], got["feature"]] = got["n"]
+    counts[got["lang"].to_numpy(), got["feature"].to_numpy()] = got["n"].to_numpy()
     return Model(langs, counts[:, :BUCKETS], counts[:, BUCKETS:], penalty)
 
 

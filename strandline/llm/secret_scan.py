@@ -4,7 +4,8 @@ For each rule a Boolean query over trigrams is derived from its regex: literals
 sequences become AND, and what can stand for nothing asks for nothing. A rule whose query is empty (hex runs) scans all
 texts. The index is cut by documents into segments, as search engines do: each slice of rows gets its own posting
 lists, holding only the trigrams that some rule asks for. Postings are intersected within the segment and the regex
-verifies the candidates there. Nothing is shuffled, memory is bounded by a slice, and a lost executor repeats a slice.
+verifies the candidates there. Nothing is shuffled, memory is bounded by a slice (4 MB of text or one longer text), and a
+lost executor repeats a slice.
 
 The base rules follow their contract: matches are leftmost and do not overlap within a kind, spans are code points of
 the whole match with exclusive ends, and matches below a rule's length are dropped. Null text counts as empty.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import map_batches, raw_texts
+from strandline.llm.common import map_batches, raw_texts, slices
 
 try:
     from re import _constants as C
@@ -70,6 +71,9 @@ RULES = (
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^/\s:@]{1,64}:[^/\s:@]{1,64}@", re.A),
 )
 
+#: Bytes whose trigrams are looked up at a time.
+PART = 1 << 20
+
 ANY = ("any",)
 MOST_STRINGS = 64
 
@@ -176,14 +180,17 @@ class Scanner:
     def postings(self, texts: list[bytes]) -> dict[bytes, set[int]]:
         """The segment's index: the rows that hold each trigram."""
         # two line ends between rows: no rule asks for a trigram with one
-        data = np.frombuffer(b"\n\n".join(texts).lower() + b"\n\n", np.uint8).astype(np.uint32)
+        joined = b"\n\n".join(texts).lower() + b"\n\n"
         starts = np.cumsum([0] + [len(t) + 2 for t in texts])[:-1]
-        found = self.number[(data[:-2] << 16) | (data[1:-1] << 8) | data[2:]]
-        at = np.flatnonzero(found)
-        pairs = np.unique(found[at].astype(np.int64) << 32 | (np.searchsorted(starts, at, "right") - 1))
         out: dict[bytes, set[int]] = {}
-        for p in pairs.tolist():
-            out.setdefault(self.trigrams[(p >> 32) - 1], set()).add(p & 0xFFFFFFFF)
+        # in parts that overlap by two bytes: the numbers take several times the bytes' place
+        for a in range(0, len(joined) - 2, PART):
+            data = np.frombuffer(joined, np.uint8, min(PART + 2, len(joined) - a), a).astype(np.uint32)
+            found = self.number[(data[:-2] << 16) | (data[1:-1] << 8) | data[2:]]
+            at = np.flatnonzero(found)
+            pairs = np.unique(found[at].astype(np.int64) << 32 | (np.searchsorted(starts, at + a, "right") - 1))
+            for p in pairs.tolist():
+                out.setdefault(self.trigrams[(p >> 32) - 1], set()).add(p & 0xFFFFFFFF)
         return out
 
     def scan(self, texts: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
@@ -237,8 +244,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch, names[at]):
                 found = scanner(rules).scan(raw_texts(part.column(at)))
                 if found:
                     texts = part.column(at).to_pylist()
