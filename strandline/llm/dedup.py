@@ -23,8 +23,9 @@ first step, grow with n * BLOCK + n * u comparisons and n + n * u / BLOCK copies
 of one text, and never as pairs. The links that the first step makes needless are those within one component.
 
 Null and empty texts have empty sets: they link with nothing, are their own component and are kept. A text with fewer
-words than a shingle is one shingle. Rows with a null doc_id get no component and are kept. Rows that repeat a doc_id
-with another text get the component of their own text's set. Hash collisions of 64 bits are taken to be absent.
+words than a shingle is one shingle. Rows with a null doc_id take part under an id behind all others that their set gives
+(so doc_ids must lie under 2^62): they get the component of a document with an id that they reach, else null, and one set
+of such a group is kept. Rows that repeat a doc_id with another text get the component of their own text's set. Hash collisions of 64 bits are taken to be absent.
 """
 
 from __future__ import annotations
@@ -39,14 +40,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, map_batches, raw_texts, text_key, without
+from strandline.llm.common import MOST_BROADCAST, Scratch, map_batches, raw_texts, slices, text_key, without
 
 BASE = 1.02
 MISS = 1e-6
 MOST_REGISTERS = 208
+#: Members and shingles of a block, on average: 16 MB. A larger set is a block by itself or with few others.
 BLOCK = 256
-#: Rows of two numbers that are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 500_000
+BLOCK_SHINGLES = 1 << 21
+#: Ids from here on stand for rows without one.
+NO_ID = 1 << 62
 #: Log likelihood by which the estimate must beat the threshold to rule a pair out (about five standard errors).
 RULED_OUT = 12.5
 
@@ -272,13 +275,14 @@ def _verified(grouped: DataFrame, setting: Setting) -> DataFrame:
     def run(batches):
         key, members, out = None, [], []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("centre", "bi", "bj", "doc_id", "block", "shingles")]
-            for centre, bi, bj, doc, block, blob in zip(*columns):
-                if (centre, bi, bj) != key:
-                    if key is not None:
-                        out += links(key, members)
-                    key, members = (centre, bi, bj), []
-                members.append((doc, np.frombuffer(blob, np.uint64), block))
+            for part in slices(batch, "shingles"):
+                columns = [part.column(c).to_pylist() for c in ("centre", "bi", "bj", "doc_id", "block", "shingles")]
+                for centre, bi, bj, doc, block, blob in zip(*columns):
+                    if (centre, bi, bj) != key:
+                        if key is not None:
+                            out += links(key, members)
+                        key, members = (centre, bi, bj), []
+                    members.append((doc, np.frombuffer(blob, np.uint64), block))
             if out:
                 yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=LINK_ARROW)
                 out = []
@@ -313,8 +317,9 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _blocks(n: F.Column) -> F.Column:
-    return F.ceil(n / BLOCK).cast("int")
+def _blocks(n, shingles) -> F.Column:
+    """Blocks of so many members with so many shingles together."""
+    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
 
 def _block_of(doc_id: str, n_blocks: F.Column) -> F.Column:
@@ -327,15 +332,17 @@ def _with_sets(meets: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _loose_meets(members: DataFrame, components: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """Pairs of blocks that are still open in the groups ``members`` (centre, doc_id), and the number of such groups.
+    """Pairs of blocks that are still open in the groups ``members`` (centre, doc_id, n), and the number of such groups.
 
     Two members of one component need no further link. So only the members outside a group's most frequent component,
     the loose ones, are compared: with each other and with all others. Blocks of loose members come first.
     """
-    found = scratch.keep(members.join(components, members["doc_id"] == components["node"], "left").select("centre", "doc_id", F.coalesce("component", "doc_id").alias("component")), "found")
-    counts = found.groupBy("centre", "component").agg(F.count("*").alias("n"))
-    groups = counts.groupBy("centre").agg(F.max(F.struct("n", (-F.col("component")).alias("minus"))).alias("most"), F.sum("n").alias("n")).where("n > most.n")
-    groups = scratch.keep(groups.select("centre", (-F.col("most.minus")).alias("main"), _blocks(F.col("n") - F.col("most.n")).alias("n_loose"), _blocks(F.col("most.n")).alias("n_main")), "groups")
+    found = scratch.keep(members.join(components, members["doc_id"] == components["node"], "left").select("centre", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "found")
+    counts = found.groupBy("centre", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    most = F.max(F.struct("rows", (-F.col("component")).alias("minus"), "shingles")).alias("most")
+    groups = counts.groupBy("centre").agg(most, F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")).where("rows > most.rows")
+    groups = groups.select("centre", (-F.col("most.minus")).alias("main"), (F.col("rows") - F.col("most.rows")).alias("loose"), (F.col("shingles") - F.col("most.shingles")).alias("loose_shingles"), F.col("most.rows").alias("rows"), F.col("most.shingles").alias("shingles"))
+    groups = scratch.keep(groups.select("centre", "main", _blocks("loose", "loose_shingles").alias("n_loose"), _blocks("rows", "shingles").alias("n_main")), "groups")
     n_groups = groups.count()
     placed = found.join(F.broadcast(groups) if n_groups <= MOST_BROADCAST else groups, "centre").withColumn("loose", F.col("component") != F.col("main"))
     placed = placed.withColumn("block", F.when(F.col("loose"), _block_of("doc_id", F.col("n_loose"))).otherwise(F.col("n_loose") + _block_of("doc_id", F.col("n_main"))))
@@ -349,20 +356,24 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("row_key"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(signatures(rows, setting), "signed")
-    nodes = signed.where(F.col("n").isNotNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # one row per class: its smallest id; the bands are a function of the class
-    classes = scratch.keep(nodes.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row_key")).alias("r"), F.first("bands").alias("bands")).select("k1", "k2", "r.doc_id", "r.row_key", "bands"), "classes")
-    banded = classes.select("doc_id", F.explode("bands").alias("band"))
+    # a row without an id stands behind all ids, by its set
+    nodes = signed.where("n > 0").withColumn("doc_id", F.coalesce("doc_id", NO_ID + F.shiftrightunsigned("k1", 2)))
+    # one row per class: its smallest id; the bands and the size are a function of the class
+    classes = scratch.keep(nodes.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row_key")).alias("r"), F.first("bands").alias("bands"), F.first("n").alias("n")).select("k1", "k2", "r.doc_id", "r.row_key", "bands", "n"), "classes")
+    banded = classes.select("doc_id", "n", F.explode("bands").alias("band"))
     centres = banded.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("band", "centre")
-    pairs = scratch.keep(banded.join(centres, "band").select("centre", "doc_id").distinct(), "pairs")
+    pairs = scratch.keep(banded.join(centres, "band").select("centre", "doc_id", "n").distinct(), "pairs")
 
     # sets of those that are in some group, with the group's blocks
     members = pairs.select("doc_id").distinct()
     reps = classes.select("doc_id", "row_key").join(members, "doc_id", "left_semi")
-    texts = rows.join(reps, ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id", "row_key"])
+    # the id under which a row without one stands is found again by its text
+    named = reps.select(F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("r_id"), F.col("row_key").alias("r_key"), F.col("doc_id").alias("node"))
+    texts = rows.join(named, rows["doc_id"].eqNullSafe(named["r_id"]) & (rows["row_key"] == named["r_key"])).select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
     sets = scratch.keep(_sets(texts, setting), "sets")
     # only centres of more than a block are looked up: few, and broadcast if their count proves it
-    large = scratch.keep(pairs.groupBy("centre").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("centre", _blocks(F.col("n")).alias("n_blocks")), "large")
+    sizes = pairs.groupBy("centre").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    large = scratch.keep(sizes.select("centre", _blocks("rows", "shingles").alias("n_blocks")).where("n_blocks > 1"), "large")
     n_large = large.count()
     few = F.broadcast(large) if n_large <= MOST_BROADCAST else large
     home = pairs.join(few, "centre", "left").na.fill(1, ["n_blocks"]).select("centre", "doc_id", _block_of("doc_id", F.col("n_blocks")).alias("block"))
@@ -379,14 +390,29 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
 
     least = classes.select("k1", "k2", F.col("doc_id").alias("rep")).join(components, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "row_key", "n", "k1", "k2").join(least, ["k1", "k2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    kept = F.when(F.col("n") > 0, F.coalesce("doc_id", NO_ID + F.shiftrightunsigned("k1", 2)) == component).otherwise(F.lit(True))
+    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(component < NO_ID, component).alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, setting: Setting = Setting(shingle=5, percent=80)) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, the one with the smallest doc_id; all columns stay."""
-    gone = near_duplicates(docs, setting).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("row_key").alias("_gone_key"))
-    return without(docs, gone)
+    """``docs`` with one document of each group of near duplicates, the one with the smallest doc_id; all columns stay.
+
+    Of rows with one doc_id and one set of shingles one stays, any of them. Rows without words all stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(near_duplicates(docs, setting), "classes")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("row_key").alias("_gone_key"))
+    left = without(docs, gone)
+    # rows that repeat an id: few, so they are told apart by a join of their own
+    again = scratch.keep(found.where("kept and n_shingles > 0").groupBy("doc_id", "component_id", "n_shingles").agg(F.count("*").alias("n"), F.min("row_key").alias("key")).where("n > 1"), "again")
+    if again.isEmpty():
+        return left
+    keys = again.select(F.col("doc_id").alias("_gone_id"))
+    several = found.where("kept and n_shingles > 0").join(again.select(F.col("doc_id").alias("a_id")), F.col("doc_id").eqNullSafe(F.col("a_id")), "left_semi").select(F.col("doc_id").alias("_gone_id"), F.col("row_key").alias("_gone_key"))
+    on = docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (text_key(docs["text"]) == F.col("_gone_key"))
+    one = docs.join(F.broadcast(several.distinct()) if again.count() <= MOST_BROADCAST // 4 else several.distinct(), on, "left_semi")
+    return without(left, several).unionByName(one.dropDuplicates(["doc_id", "text"]))
 
 
 def dedup_sql(setting: Setting = Setting()) -> str:

@@ -33,6 +33,8 @@ def test_one_row_each(edges, nothing, name):
 
 def test_values(edges):
     d = dedup.near_duplicates(edges).toPandas()
+    none = d[d["doc_id"].isna()].sort_values("n_shingles")
+    assert none["n_shingles"].tolist() == [0, 6] and none["component_id"].isna().all()
     by = d[d["doc_id"] == 7].iloc[0]
     assert (by["component_id"], by["kept"]) == (6, False)
     assert d[d["doc_id"] == 2].iloc[0][["n_shingles", "component_id", "kept"]].tolist() == [0, 2, True]
@@ -49,11 +51,23 @@ def test_values(edges):
 
 
 def test_packing(edges, nothing):
-    p = packing.best_fit_bins(edges).toPandas()
-    assert p.groupby(p["doc_id"].fillna(-1))["n_tokens"].sum()[9] == 50_001 and len(p[p["piece"] == 0]) == N
+    parts = packing.placements(packing.best_fit_bins(edges)).toPandas()
+    assert (parts["piece"] == 0).sum() == N and parts["doc_id"].isna().sum() == 2
     assert len(packing.best_fit_bins(nothing).toPandas()) == 0
 
 
+def test_slices():
+    import pyarrow as pa
+
+    from strandline.llm import common
+
+    sizes = [3, common.SUB_BYTES + 5, 10, None, *[common.SUB_BYTES // 3] * 7, *[1] * 600]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([None if n is None else "x" * n for n in sizes])})
+    parts = [p.column("text").to_pylist() for p in common.slices(batch)]
+    assert [x for p in parts for x in p] == batch.column("text").to_pylist()
+    assert all(len(p) <= common.SUB_BATCH and (len(p) == 1 or sum(len(x or "") for x in p) <= common.SUB_BYTES) for p in parts)
+
+
 def test_decontamination(spark, edges, nothing):
     assert len(decontam.contaminated(edges, bench(spark)).toPandas()) == 0
     assert len(decontam.contaminated(nothing, bench(spark)).toPandas()) == 0
@@ -69,5 +83,19 @@ def test_filters_keep_columns(edges, nothing):
     for f in (quality.quality_filter, dedup.drop_near_duplicates, secret_scan.redact):
         assert f(edges).columns == edges.columns
         assert f(nothing).count() == 0 and [x.split(" ")[0] for x in SCHEMA.split(", ")] == f(nothing).columns
-    assert dedup.drop_near_duplicates(edges).where("doc_id = 7").count() == 0
-    assert dedup.drop_near_duplicates(edges).where("doc_id is null").count() == 2
+    left = dedup.drop_near_duplicates(edges)
+    assert left.where("doc_id = 7").count() == 0 and left.where("doc_id is null").count() == 2
+    # of two equal rows under one id one stays, and the other text under that id
+    assert sorted(r["text"] for r in left.where("doc_id = 6").collect()) == ["another text under a repeated id", "same text in two rows"]
+
+
+def test_one_of_each_group_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    near, other = text.replace("w3 ", "v3 "), " ".join(f"u{i}" for i in range(80))
+    rows = [(None, text), (None, text), (None, near), (None, other), (None, other + " x"), (4, "only one"), (4, "only one"), (5, other + " y"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r["doc_id"], r["text"]) for r in dedup.drop_near_duplicates(docs).collect()]
+    assert sorted(t for d, t in left if d is None and t) in ([text], [near]) and (5, other + " y") in left
+    assert left.count((4, "only one")) == 1 and len(left) == 5
+    got = dedup.near_duplicates(docs, dedup.Setting(5, 80)).toPandas()
+    assert set(got[got["n_shingles"] == 76]["component_id"].dropna()) <= {5} and got["component_id"].isna().sum() == 5

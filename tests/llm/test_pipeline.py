@@ -1,7 +1,7 @@
 """Each pipeline stage against a plain version on its own input."""
 
 import corpus_pipeline
-from strandline.llm import dedup, quality, secret_scan
+from strandline.llm import dedup, quality, secret_scan, tokencount
 from tests.conftest import SMALL
 from tests.llm.test_operators import brute_components
 
@@ -31,11 +31,25 @@ def test_stages(spark):
     scanner = secret_scan.Scanner(secret_scan.RULES)
     assert scanner.scan([r["text"].encode() for r in fourth.collect()]) == {}
 
-    fifth = stage["packing"](spark, fourth, SMALL)
-    want = {r["doc_id"]: len(r["text"].encode()) + 1 for r in fourth.collect()}
-    assert {r["doc_id"]: r["n"] for r in fifth.groupBy("doc_id").sum("n_tokens").withColumnRenamed("sum(n_tokens)", "n").collect()} == want
+    fifth = stage["packing"](spark, fourth, SMALL).collect()
+    sp = tokencount.encoder(tokencount.default_model_path(), 1 << 30, 1).sp
+    want = {r["doc_id"]: [*sp.encode(r["text"]), sp.eos_id()] for r in fourth.collect()}
+    found = {}
+    for b in fifth:
+        for doc, start, a, e in zip(b["doc_ids"], b["starts"], b["offsets"], [*b["offsets"][1:], b["bin_used"]]):
+            found.setdefault(doc, []).append((start, b["tokens"][a:e]))
+    assert {d: [t for _, part in sorted(x) for t in part] for d, x in found.items()} == want
 
 
 def test_run(spark):
     a = corpus_pipeline.run(spark, SMALL).toPandas()
     assert len(a) and set(a["bin_length"]) <= {1024, 2048, 4096, 8192, 16384}
+
+
+def test_run_over_edges_and_nothing(spark, edges, nothing, tmp_path):
+    for name, rows in (("edges", edges), ("nothing", nothing)):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, "some benchmark question about nothing at all"), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert {d for b in got for d in b["doc_ids"]} <= {8} and (name == "edges" or not got)
