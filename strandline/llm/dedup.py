@@ -97,7 +97,7 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > 300_000:
         _WORDS.clear()
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     k = min(n, len(words))
@@ -169,6 +169,15 @@ def plausible(reg_a: np.ndarray, n_a: int, regs: np.ndarray, sizes: np.ndarray,
     return ok
 
 
+MASK = (1 << 64) - 1
+
+
+def set_key(shingles: np.ndarray) -> tuple[int, int]:
+    """Fingerprint of a set, as two signed numbers."""
+    key = xxhash.xxh3_128_digest(shingles.tobytes())
+    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+
+
 SIG_SCHEMA = "doc_id long, row_key long, n long, k1 long, k2 long, bands array<long>"
 SIG_ARROW = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -182,9 +191,9 @@ def signatures(docs: DataFrame, setting: Setting) -> DataFrame:
         for text in raw_texts(batch.column("text")):
             s = shingle_set(text, setting.shingle)
             out["n"].append(len(s))
-            key = xxhash.xxh3_128_digest(s.tobytes())
-            out["k1"].append(int.from_bytes(key[:8], "little", signed=True))
-            out["k2"].append(int.from_bytes(key[8:], "little", signed=True))
+            k1, k2 = set_key(s)
+            out["k1"].append(k1)
+            out["k2"].append(k2)
             bands = []
             if len(s):
                 r = registers(s, rows * n_bands)
@@ -202,7 +211,8 @@ SET_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shingles", p
 def _sets(docs: DataFrame, setting: Setting) -> DataFrame:
     def make(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(t, setting.shingle) for t in raw_texts(batch.column("text"))]
-        return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
+        ids = [i if i < NO_ID else NO_ID + ((set_key(s)[0] & MASK) >> 2) for i, s in zip(batch.column("doc_id").to_pylist(), sets)]
+        return {"doc_id": ids, "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
 
     return map_batches(docs.select("doc_id", "text"), make, SET_SCHEMA, SET_ARROW)
 
@@ -367,10 +377,11 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     # sets of those that are in some group, with the group's blocks
     members = pairs.select("doc_id").distinct()
     reps = classes.select("doc_id", "row_key").join(members, "doc_id", "left_semi")
-    # the id under which a row without one stands is found again by its text
-    named = reps.select(F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("r_id"), F.col("row_key").alias("r_key"), F.col("doc_id").alias("node"))
-    texts = rows.join(named, rows["doc_id"].eqNullSafe(named["r_id"]) & (rows["row_key"] == named["r_key"])).select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    sets = scratch.keep(_sets(texts, setting), "sets")
+    # rows without an id go by their text until their set is there again; one partitioning serves the join and the rest
+    known = lambda c: F.coalesce(c, F.lit(NO_ID)).alias("known")
+    named = reps.select(F.least("doc_id", F.lit(NO_ID)).alias("known"), "row_key")
+    texts = rows.select(known(F.col("doc_id")), "row_key", "text").join(named, ["known", "row_key"], "left_semi").dropDuplicates(["known", "row_key"])
+    sets = scratch.keep(_sets(texts.withColumnRenamed("known", "doc_id"), setting), "sets")
     # only centres of more than a block are looked up: few, and broadcast if their count proves it
     sizes = pairs.groupBy("centre").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     large = scratch.keep(sizes.select("centre", _blocks("rows", "shingles").alias("n_blocks")).where("n_blocks > 1"), "large")
