@@ -56,11 +56,12 @@ RULED_OUT = 12.5
 
 @dataclass(frozen=True)
 class Setting:
-    """Link two sets if ``scale * |A and B| >= percent * |A or B|``."""
+    """Link two sets if ``scale * |A and B| >= percent * |A or B|``; the characters ``marks`` are left out of the texts."""
 
     shingle: int = 3
     percent: int = 85
     scale: int = 100
+    marks: bytes = b""
 
     @property
     def threshold(self) -> float:
@@ -92,9 +93,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(text: bytes, n: int) -> np.ndarray:
+def shingle_set(text: bytes, n: int, marks: bytes = b"") -> np.ndarray:
     """Sorted distinct hashes of the text's shingles of n words."""
-    words = text.lower().split()
+    words = text.lower().translate(None, marks).split()
     if not words:
         return np.empty(0, np.uint64)
     if len(_WORDS) > 300_000:
@@ -189,7 +190,7 @@ def signatures(docs: DataFrame, setting: Setting) -> DataFrame:
     def sign(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"n": [], "k1": [], "k2": [], "bands": []}
         for text in raw_texts(batch.column("text")):
-            s = shingle_set(text, setting.shingle)
+            s = shingle_set(text, setting.shingle, setting.marks)
             out["n"].append(len(s))
             k1, k2 = set_key(s)
             out["k1"].append(k1)
@@ -210,7 +211,7 @@ SET_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shingles", p
 
 def _sets(docs: DataFrame, setting: Setting) -> DataFrame:
     def make(batch: pa.RecordBatch) -> dict:
-        sets = [shingle_set(t, setting.shingle) for t in raw_texts(batch.column("text"))]
+        sets = [shingle_set(t, setting.shingle, setting.marks) for t in raw_texts(batch.column("text"))]
         ids = [i if i < NO_ID else NO_ID + ((set_key(s)[0] & MASK) >> 2) for i, s in zip(batch.column("doc_id").to_pylist(), sets)]
         return {"doc_id": ids, "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
 
@@ -406,7 +407,11 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(component < NO_ID, component).alias("component_id"), kept.alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, setting: Setting = Setting(shingle=5, percent=80)) -> DataFrame:
+#: Five words, 0.8 or more; punctuation that comes and goes makes no other word.
+STAGE = Setting(shingle=5, percent=80, marks=b".,;:!?\"'()")
+
+
+def drop_near_duplicates(docs: DataFrame, setting: Setting = STAGE) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest doc_id; all columns stay.
 
     Of rows with one doc_id and one set of shingles one stays, any of them. Rows without words all stay.

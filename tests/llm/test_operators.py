@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,7 +126,11 @@ def test_items_of_few_words_and_unsegmented_scripts(spark):
 
 
 def brute_components(texts, setting):
-    sets = {d: set(dedup.shingle_set((t or "").encode(), setting.shingle).tolist()) for d, t in texts}
+    strip = str.maketrans("", "", setting.marks.decode())
+    sets = {}
+    for d, t in texts:
+        w = [x for x in re.split("[ \\t-\\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), (t or "").translate(strip))) if x]
+        sets[d] = {tuple(w[i : i + setting.shingle]) for i in range(max(1, len(w) - setting.shingle + 1))} if w else set()
     parent = {d: d for d in sets}
 
     def root(x):
@@ -143,7 +148,7 @@ def brute_components(texts, setting):
     return {d: root(d) for d in ids}
 
 
-@pytest.mark.parametrize("setting", [dedup.Setting(), dedup.Setting(5, 80)])
+@pytest.mark.parametrize("setting", [dedup.Setting(), dedup.STAGE])
 def test_components_of_a_large_group(spark, setting, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 16)
     rng = random.Random(4)
@@ -176,6 +181,23 @@ def test_components_of_drifting_copies(spark, monkeypatch):
     assert open_groups[0][1] > 0
 
 
+@pytest.mark.parametrize("setting", [dedup.Setting(), dedup.STAGE])
+@pytest.mark.parametrize("size", [7, 20, 100, 1000])
+def test_recall_at_the_threshold(setting, size):
+    """Pairs that just reach the threshold share a band and are never ruled out."""
+    rng = np.random.default_rng(size)
+    rows, n_bands = setting.bands
+    for _ in range(400 if size < 1000 else 60):
+        # the fewest common shingles that still link two sets of this size
+        common = next(c for c in range(size + 1) if setting.scale * c >= setting.percent * (2 * size - c))
+        pool = np.unique(rng.integers(0, 1 << 63, 3 * size, dtype=np.uint64))
+        rng.shuffle(pool)
+        a, b = np.sort(pool[:size]), np.sort(np.concatenate([pool[:common], pool[size : 2 * size - common]]))
+        ra, rb = (dedup.registers(x, rows * n_bands) for x in (a, b))
+        assert (ra == rb).reshape(n_bands, rows).all(axis=1).any()
+        assert dedup.plausible(ra, size, rb[None], np.array([size]), setting.threshold).all()
+
+
 def test_sketches():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64)) for _ in range(2))
@@ -278,6 +300,9 @@ def test_unit_encoding_equals_whole(docs):
     texts = [r["text"] for r in docs.limit(60).collect()] + ["".join(rng.choice(" ab\n漢é🙂▁<s>.") for _ in range(300)) for _ in range(60)]
     for t in [*texts, " ", "  ", "a ", " a", "a  b   ", "▁", "", "\n", "x" * 400]:
         assert encode.ids(t).tolist() == encode.sp.encode(t), t
+    assert [x.tolist() for x in encode.all_ids(pa.array([*texts, None]))] == [*map(encode.sp.encode, texts), []]
+    assert [x.tolist() for x in encode.all_ids(pa.array(texts).slice(50, 30))] == [*map(encode.sp.encode, texts[50:80])]
+    assert encode.all_ids(pa.array([], pa.string())) == []
     part, tokencount.UnitEncoder.PART = tokencount.UnitEncoder.PART, 50
     try:
         assert all(encode.ids(t).tolist() == encode.sp.encode(t) for t in texts)

@@ -20,7 +20,7 @@ def test_stages(spark):
     assert sum(verdict[d] for d in good) > 0.85 * len(good)
 
     second = stage["near_duplicates"](spark, first, SMALL)
-    parts = brute_components([(r["doc_id"], r["text"]) for r in first.collect()], dedup.Setting(5, 80))
+    parts = brute_components([(r["doc_id"], r["text"]) for r in first.collect()], dedup.STAGE)
     assert {r["doc_id"] for r in second.collect()} == set(parts.values())
 
     third = stage["decontamination"](spark, second, SMALL)
