@@ -37,14 +37,14 @@ def native_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most ``SUB_BATCH`` rows and ``SUB_BYTES`` bytes of the column ``text``."""
+def slices(batch: pa.RecordBatch, text: str = "text", rows: int = SUB_BATCH) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and ``SUB_BYTES`` bytes of the column ``text``."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < batch.num_rows:
         before = int(ends[at - 1]) if at else 0
-        stop = min(int(np.searchsorted(ends, before + SUB_BYTES, "right")), at + SUB_BATCH)
+        stop = min(int(np.searchsorted(ends, before + SUB_BYTES, "right")), at + rows)
         stop = max(stop, at + 1)
         yield batch.slice(at, stop - at)
         at = stop

@@ -35,8 +35,10 @@ LENGTHS = (1024, 2048, 4096, 8192, 16384)
 BIN_COST = 64
 #: Length at which attention costs as much as all the rest: six times a model width of 4096.
 SQUARE = 24_576
-#: Tokens of a group: 16 MB.
+#: Tokens of a group: 8 MB of 16-bit numbers.
 GROUP = 1 << 22
+#: Rows that are encoded at a time, up to 4 MB of text: the more, the more words repeat.
+ROWS = 4096
 
 
 def cost_of(length: int, bin_cost: int = BIN_COST, square: int = SQUARE) -> float:
@@ -95,15 +97,16 @@ _PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("came", pa.int64()), ("piece"
 
 
 def pieces(docs: DataFrame, longest: int, model_path: str | None = None) -> DataFrame:
-    """doc_id, came, piece, start, n_tokens and tokens (32-bit numbers): every document with its end, cut at ``longest``."""
+    """doc_id, came, piece, start, n_tokens and tokens (16-bit numbers, 32-bit ones if the vocabulary needs them): every
+    document with its end, cut at ``longest``."""
     path = model_path or default_model_path()
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows=ROWS):
                 encode, rows = unit_encoder(path), []
-                for doc, came, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "came", "text"))):
-                    ids = np.append(encode.ids(text or ""), np.int32(encode.end))
+                for doc, came, ids in zip(part.column("doc_id").to_pylist(), part.column("came").to_pylist(), encode.all_ids(part.column("text"))):
+                    ids = np.append(ids, encode.kind(encode.end))
                     rows += [(doc, came, k, a, min(longest, len(ids) - a), ids[a : a + longest].tobytes()) for k, a in enumerate(range(0, len(ids), longest))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _PIECE_ARROW)], schema=_PIECE_ARROW)
 
@@ -118,12 +121,15 @@ def best_fit_bins(docs: DataFrame, lengths: Sequence[int] = LENGTHS, bin_cost: i
     """One row per bin: its length and tokens used, the pieces in it (document, number, first token in the document, place
     in the bin), and the tokens themselves."""
     lengths = sorted(set(lengths))
-    rows = Scratch(docs.sparkSession).keep(pieces(docs, lengths[-1], model_path), "pieces")
+    path = model_path or default_model_path()
+    rows = Scratch(docs.sparkSession).keep(pieces(docs, lengths[-1], path), "pieces")
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     n_groups = max(1, -(-total // group))
     # by a hash of the row's place as well, so that repeated rows spread
     dealt = rows.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", "came"), F.lit(n_groups)))
 
+    kind = unit_encoder(path).kind
+
     def run(key: tuple, part: pa.Table) -> pa.Table:
         part = part.sort_by([("doc_id", "ascending"), ("came", "ascending"), ("piece", "ascending")])
         sizes = part.column("n_tokens").to_pylist()
@@ -134,7 +140,7 @@ def best_fit_bins(docs: DataFrame, lengths: Sequence[int] = LENGTHS, bin_cost: i
         at = pa.array(np.concatenate([[0], ends]), pa.int32())
         listed = lambda x: pa.ListArray.from_arrays(at, x)
         own = lambda name: part.column(name).combine_chunks().take(pa.array(placed))
-        tokens = np.frombuffer(b"".join(own("tokens").to_pylist()), np.int32)
+        tokens = np.frombuffer(b"".join(own("tokens").to_pylist()), kind).astype(np.int32)
         # bins of all groups are told apart by the group in the upper digits
         ids = np.arange(len(final), dtype=np.int64) + (int(key[0].as_py()) << 32)
         columns = [pa.array(ids), pa.array(final, pa.int32()), pa.array(used, pa.int32()), listed(own("doc_id")), listed(own("piece")), listed(own("start")), listed(pa.array(np.array(offset)[placed], pa.int32())), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used)]), pa.int32()), pa.array(tokens))]

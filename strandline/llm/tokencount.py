@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import functools
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,42 +110,73 @@ class UnitEncoder:
     """Token ids of whole texts, unit by unit: a run of spaces with what stands up to the next one.
 
     A unit's tokens depend on nothing around it where no piece of the vocabulary goes on from another character to a
-    space, by the proof above; the ids of short units are then looked up. Other models encode each text at once.
+    space, by the proof above. So each distinct word of a batch is encoded once, and the words that came before not
+    again, up to ``MOST_WORDS`` and ``MOST_CHARS`` of them. Other models encode each text at once.
     """
 
-    MOST_UNITS, LONGEST = 500_000, 48
+    MOST_WORDS, MOST_CHARS = 1_000_000, 1 << 24
     PART = 1 << 20
 
     def __init__(self, model_path: str):
         self.sp = (chunked := encoder(model_path, 1 << 30, 1)).sp
         self.safe = chunked.plain and not any(p[0] != SPACE and p[1] == SPACE for p in chunked.inside)
         self.end = self.sp.eos_id()
-        self.known: dict[str, list[int]] = {}
         self.lead = len(self.sp.encode("a"))
+        self.kind = np.uint16 if self.sp.vocab_size() <= 1 << 16 else np.int32
+        self._forget()
 
-    def _of(self, unit: str) -> list[int]:
-        got = self.known.get(unit)
-        if got is None:
-            got = self.sp.encode("a" + unit)[self.lead :]
-            if len(unit) <= self.LONGEST:
-                if len(self.known) >= self.MOST_UNITS:
-                    self.known.clear()
-                self.known[unit] = got
-        return got
+    def _forget(self):
+        self.number: dict[str, int] = {}
+        self.chars = 0
+        self.tokens, self.starts = np.empty(0, self.kind), np.zeros(1, np.int64)
 
     def ids(self, text: str) -> np.ndarray:
+        """Of one text, with any spaces in it."""
         if not self.safe or not text:
-            return np.array(self.sp.encode(text), np.int32)
+            return np.array(self.sp.encode(text), self.kind)
         text = " " + text
-        out, at = array("i"), 0
+        out, at = [], 0
         while at < len(text):
             # parts end before a space that follows another character
             m = _NEXT.search(text, at + self.PART)
             stop = m.start() + 1 if m else len(text)
-            for unit in _UNIT.findall(text, at, stop):
-                out.extend(self._of(unit))
+            out += [np.array(x[self.lead :], self.kind) for x in self.sp.encode(["a" + u for u in _UNIT.findall(text, at, stop)], num_threads=1)]
             at = stop
-        return np.frombuffer(out, np.int32)
+        return np.concatenate(out)
+
+    def all_ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Of a column of texts; null gives none."""
+        texts = pc.fill_null(texts, "")
+        # words with one space between them are split by the column's own functions
+        plain = pc.invert(pc.match_substring_regex(texts, f"^$|^ | $|  |{SPACE}")).to_numpy(zero_copy_only=False) & self.safe
+        out: list[np.ndarray] = [None] * len(texts)
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = self.ids(texts[i].as_py())
+        split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        words = split.flatten().dictionary_encode()
+        known = self._numbers(words.dictionary.to_pylist())
+        word = known[words.indices.to_numpy()]
+        counts = (self.starts[1:] - self.starts[:-1])[word]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        tokens = self.tokens[np.repeat(self.starts[word] - ends[:-1], counts) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()] if len(split) else [0]
+        for k, i in enumerate(np.flatnonzero(plain).tolist()):
+            out[i] = tokens[cuts[k] : cuts[k + 1]]
+        return out
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.number) > self.MOST_WORDS or self.chars > self.MOST_CHARS:
+            self._forget()
+        new = [w for w in words if w not in self.number]
+        if new:
+            got = self.sp.encode(["a " + w for w in new], num_threads=1)
+            counts = np.array([len(x) - self.lead for x in got], np.int64)
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.chars += sum(map(len, new))
+            flat = np.fromiter((t for x in got for t in x[self.lead :]), self.kind, int(counts.sum()))
+            self.tokens = np.concatenate([self.tokens, flat])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
 
 # the mark that stands for a space counts as one
