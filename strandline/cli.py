@@ -1,12 +1,13 @@
 """Command line: ``python -m strandline COMMAND ...``. Each command is one query over the files it is given.
 
-Tables go to the standard output or a file as TSV, CSV or JSON, row by row; nothing is gathered in memory. For many
-files, parse them once with ``ingest`` and work on the stored tables instead.
+Tables go to the standard output or a file as TSV, CSV or JSON, row by row; a JSON document or a report of one file is one
+row. For many files, parse them once with ``ingest`` and work on the stored tables instead.
 """
 
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import os
 import sys
@@ -14,6 +15,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions.columns import strand_symbol
 from strandline.operators import codon_usage, diffing, gff, operons, panels, regions, search, sinks, summaries, validation
 from strandline.sources import dimensions, flatfile
 
@@ -40,9 +42,12 @@ def _lines(df: DataFrame, path: str | None, column: str = "line") -> None:
 
 def _table(df: DataFrame, path: str | None = None, form: str = "tsv") -> None:
     """Rows as TSV, CSV or one JSON list."""
-    out = _out(path)
+    out, empty = _out(path), True
     if form == "json":
-        out.write("[\n" + ",\n".join(r["value"] for r in sinks.json_lines(df).toLocalIterator()) + "\n]\n")
+        for k, row in enumerate(sinks.json_lines(df).toLocalIterator()):
+            out.write(("[\n" if k == 0 else ",\n") + row["value"])
+            empty = False
+        out.write("[]\n" if empty else "\n]\n")
     else:
         flat = sinks.tsv(df)
         import csv
@@ -55,6 +60,29 @@ def _table(df: DataFrame, path: str | None = None, form: str = "tsv") -> None:
         out.close()
 
 
+def _json(value, path: str | None = None) -> None:
+    out = _out(path)
+    out.write(json.dumps(value, indent=2) + "\n")
+    if path:
+        out.close()
+
+
+def _report(title: str, *sections) -> None:
+    """Sections are (heading, lines) with lines as texts or (name, value)."""
+    print("=" * 70, f"  {title}", "=" * 70, sep="\n")
+    for heading, lines in sections:
+        if heading:
+            print(f"\n[{heading}]")
+        for line in lines:
+            print("  " + (f"{line[0]:<22}: {line[1]:,}" if isinstance(line, tuple) and isinstance(line[1], int) else f"{line[0]:<22}: {line[1]}" if isinstance(line, tuple) else line))
+    print("=" * 70)
+
+
+def _one(df: DataFrame) -> dict:
+    row = df.first()
+    return {} if row is None else row.asDict()
+
+
 def _read(args, *names: str):
     paths = [getattr(args, n) for n in names or ("input",)]
     got = [flatfile.read_flatfiles(args.spark, p) for p in paths]
@@ -62,11 +90,11 @@ def _read(args, *names: str):
     return got[0] if len(got) == 1 else got
 
 
-def _many(args, inputs, distinct):
+def _many(args, inputs, distinct, strict=True):
     files = flatfile.find_flatfiles(inputs, distinct)
     if not files:
         sys.exit("no annotation files found")
-    records, features = flatfile.read_flatfiles(args.spark, *dict.fromkeys(files))
+    records, features = flatfile.read_flatfiles(args.spark, *dict.fromkeys(files), strict=strict)
     return files, records.persist(), features.persist()
 
 
@@ -81,9 +109,16 @@ def validate(args):
     found = validation.findings(features, records).drop("path")
     if args.json:
         return _table(found, form="json")
-    for part in (summaries.document_totals(records, features), summaries.type_counts(features), summaries.strand_counts(features), summaries.cds_stats(features), validation.severity_counts(validation.findings(features, records))):
-        _table(part.drop("path"))
-    _table(found.limit(25))
+    totals, cds, severity = _one(summaries.document_totals(records, features)), _one(summaries.cds_stats(features)), _one(validation.severity_counts(found.withColumn("path", F.lit(args.input))))
+    first = [f"[{r['severity']}] {r['code']} {r['coordinates']}: {r['message']}" for r in found.limit(26).collect()]
+    _report(
+        "Annotation check",
+        ("", [("File", args.input), ("Records", totals["records"]), ("Features", totals["total_features"]), ("Total length (bp)", totals["total_length"])]),
+        ("Types", [(r["type"], r["n"]) for r in summaries.type_counts(features).collect()]),
+        ("Strands", [(r["strand"], r["n"]) for r in summaries.strand_counts(features).orderBy("strand").collect()]),
+        ("CDS", [(k, round(v) if isinstance(v, float) else v) for k, v in cds.items() if k != "path"]),
+        ("Findings", [(k, severity.get(k, 0)) for k in ("error", "warning", "info")] + (first[:25] or ["none"]) + (["and more"] if len(first) > 25 else [])),
+    )
 
 
 def summary(args):
@@ -113,11 +148,8 @@ def locus(args):
 
 def neighborhood(args):
     features = _read(args)[1]
-    target = search.resolve(features, args.tag, "neighborhood").where("type = 'CDS'")
-    if target.isEmpty():
-        sys.exit(f"no CDS {args.tag}")
-    near = search.neighborhood(features, args.tag, args.window).orderBy("offset")
-    _table(near.select("offset", "locus_tag", "gene", "start", "end", "strand", "product"))
+    near = search.neighborhood_of(features, args.tag, args.window).orderBy("offset")
+    _table(near.select(F.when(F.col("offset") == 0, ">>").otherwise("").alias("target"), "offset", "locus_tag", "gene", "start", "end", strand_symbol(F.col("strand")).alias("strand"), "product"))
 
 
 def region(args):
@@ -136,7 +168,7 @@ def region(args):
         raise ValueError("no such region")
     record = rows[0].asDict()
     if args.output and args.output.lower().endswith((".fasta", ".fna", ".fa")):
-        text = f">{record['record_id']} {record['description']}\n" + "\n".join(record["seq"][i : i + 60] for i in range(0, len(record["seq"]), 60)) + "\n"
+        text = sinks.region_fasta(cut).first()["entry"] + "\n"
     else:
         own = [{"type": f["type"], "location": f["location"].asDict(), "qualifiers": f["qualifiers"]} for f in inside.orderBy("feature_index").toLocalIterator()]
         text = flatfile.render_record(record, own)
@@ -156,6 +188,9 @@ def sequence(args):
         return print("No nucleotide sequences.")
     _lines(sinks.genome_fasta(records).orderBy("record_index"), args.fna or _base(args.input, ".fna"), "entry")
     _lines(sinks.cds_fasta(features, records).orderBy("feature_index"), args.ffn or _base(args.input, ".ffn"), "entry")
+    coverage = summaries.coding(features, records)
+    report, coded = _one(summaries.genome_report(records, coverage)), _one(coverage.groupBy("path").agg(F.sum("cds_bp").alias("cds_bp")))
+    _report("Sequences", ("", [("Bases", report["bases"]), ("GC (%)", f"{report['gc']:.2f}"), ("CDS bases, summed", coded["cds_bp"]), ("CDS bases, once", report["coding_bp"]), ("Coding density (%)", f"{report['coding_density']:.2f}")]))
 
 
 def codon(args):
@@ -165,59 +200,77 @@ def codon(args):
     cds = codon_usage.exclusions(codon_usage.coding_sequences(features, records), args.min_len, args.include_pseudo).persist()
     _table(cds.groupBy(F.coalesce("reason", F.lit("evaluated")).alias("outcome")).count())
     _table(codon_usage.codon_totals(cds))
-    names = {"table_id": "TranslationTable", "aa": "AminoAcid", "codon": "Codon", "count": "Count"}
-    rows = codon_usage.codon_usage(cds).orderBy("table_id", "aa", "codon")
-    _table(rows.select(*[F.col(k).alias(v) for k, v in names.items()], F.format_string("%.2f", F.bround("per_thousand", 2)).alias("PerThousand"), F.format_string("%.3f", F.bround("rscu", 3)).alias("RSCU")), args.output)
+    _table(codon_usage.codon_table(cds).orderBy("TranslationTable", "AminoAcid", "Codon"), args.output)
 
 
 def functional(args):
     features = _read(args)[1]
-    form = "json" if args.format == "json" else "tsv"
-    if not args.pathways_only:
-        _table(panels.functional_totals(features), form=form)
-    if not args.cog_only:
-        _table(panels.pathway_completeness(features), form=form)
+    documents = panels.functional_document(features).select(F.col("document").alias("d"))
+    found = _one(documents.select(F.to_json("d").alias("value")))
+    # a file without CDS has no row
+    document = (json.loads(found["value"]) if found else {"total_cds": 0, "unique_kos": 0, "unique_ecs": 0, "total_cogs": 0, "pathways": {}}) | {"file": args.input}
+    if args.format == "json":
+        return _json({"file": args.input} | document)
+    totals = [("File", args.input)] + [(k, document[k]) for k in ("total_cds", "unique_kos", "unique_ecs", "total_cogs")]
+    steps = [f"{k:<36} {v['steps_present']:>2}/{v['steps_total']:<2} {v['completeness_pct']:5.1f}%" for k, v in document["pathways"].items()]
+    _report("Functions", *([] if args.pathways_only else [("", totals)]), *([] if args.cog_only else [("Pathways", steps)]))
 
 
 def discover(args):
     if args.cluster_gap < 0 or args.operon_gap < 0:
         raise ValueError("gaps must not be negative")
     features = _read(args)[1]
-    hits = panels.discovery_hits(features, args.ruleset, args.rules, args.min_weight).persist()
-    members = panels.discovery_islands(hits, args.cluster_gap).persist()
     if args.format == "tsv":
-        return _table(panels.discovery_table(hits, members).drop("path"))
-    form = "json" if args.format == "json" else "tsv"
-    _table(panels.island_summary(members).drop("path", "record_index", "island"), form=form)
-    _table(panels.island_links(members, features, args.operon_gap).drop("path", "record_index", "island"), form=form)
-    _table(hits.select("record_id", "locus_tag", "gene", "product", "start", "end", "weight", F.to_json("matches").alias("matches")), form=form)
+        hits = panels.discovery_hits(features, args.ruleset, args.rules, args.min_weight).persist()
+        rows = panels.discovery_table(hits, panels.discovery_islands(hits, args.cluster_gap), keep_order=True).orderBy("feature_index", "rule_no")
+        return _table(rows.drop("path", "feature_index", "rule_no"))
+    found = _one(panels.discovery_document(features, args.ruleset, args.rules, args.cluster_gap, args.operon_gap, args.min_weight).select(F.to_json("document").alias("value")))
+    document = (json.loads(found["value"]) if found else {"ruleset": args.rules or args.ruleset, "total_hits": 0, "total_islands": 0, "operon_gap": args.operon_gap, "hits": [], "operon_links": [], "islands": []}) | {"file": args.input}
+    if args.format == "json":
+        return _json({"file": args.input} | document)
+    islands = []
+    for x in document["islands"]:
+        islands.append(f"{x['cluster_id']}: {x['contig']}:{x['start']:,}..{x['end']:,} ({x['span']:,} bp, {x['genes']} genes, weight {x['total_weight']})")
+        islands += [f"  [{f['strand']}] {f['locus_tag']} {f['gene']} {f['product'][:35]} ({', '.join(m['rule'] + ':' + m['term'] for m in f['matches'])})" for f in x["features"]]
+    _report("Discovery", ("", [("File", args.input), ("Rules", document["ruleset"]), ("Hits", document["total_hits"]), ("Islands", document["total_islands"]), ("Operon links", len(document["operon_links"]))]), ("Islands", islands or ["none"]))
 
 
 def compare(args):
     targets = [t.strip() for t in args.targets.split(",") if t.strip()]
     files, _, features = _many(args, args.genomes, False)
-    counts = panels.target_matrix(features, targets).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
-    stem = lambda p: os.path.splitext(os.path.basename(p))[0]
-    joined = args.spark.createDataFrame([(i, stem(p), p, os.path.abspath(p)) for i, p in enumerate(files)], "ord int, Genome string, Path string, _p string")
-    rows = joined.join(counts.withColumnRenamed("path", "_q"), F.col("_p") == F.col("_q"), "left").na.fill(0).orderBy("ord")
-    _table(rows.select("Genome", "Path", *[F.col(f"`{t}`") for t in dict.fromkeys(targets)]), args.output)
+    absolute = [os.path.abspath(p) for p in files]
+    rows = panels.compare_matrix(features, absolute, targets).orderBy("ord").drop("ord")
+    given = F.create_map(*[F.lit(x) for kv in zip(absolute, files) for x in kv])  # the files of the command
+    _table(rows.withColumn("Path", F.try_element_at(given, F.col("Path"))), args.output)
+
+
+def _change(r: dict) -> dict:
+    """A row of the report as its document shows it: only what is there."""
+    out = {k: r[k] for k in ("record", "old_locus", "new_locus", "old_coordinates", "new_coordinates") if r[k] is not None}
+    if r["tier"] is not None:
+        out["match"] = r["tier"]
+    out["classification"] = r["classes"]
+    out |= {k: r[k] for k in ("old_product", "new_product", "old_gene", "new_gene") if r[k] is not None}
+    if r["xref_changes"] is not None:
+        out["xref_changes"] = {k: v.asDict() for k, v in r["xref_changes"].asDict().items() if v is not None}
+    return out
 
 
 def diff(args):
     (_, old), (_, new) = _read(args, "old", "new")
     a, b = diffing.cds_of(old).persist(), diffing.cds_of(new).persist()
-    changes = diffing.classify(a, b, diffing.pair_features(a, b)).orderBy("record", "old_start", "old_end").drop("old_start", "old_end").persist()
-    counts = {r["classification"]: r["n"] for r in diffing.class_counts(changes).collect()}  # six classes at most
-    result = {"old_file": args.old, "new_file": args.new, "old_cds_count": a.count(), "new_cds_count": b.count(), "shared_coordinate_cds": diffing.shared_coordinates(a, b).count(), "matched_cds": changes.where("tier is not null").count(), "classification_counts": counts}
-    if args.format == "json":
-        result["changes"] = [json.loads(r["value"]) for r in sinks.json_lines(changes.limit(200)).toLocalIterator()]
-        out = _out(args.output)
-        out.write(json.dumps(result, indent=2) + "\n")
-        if args.output:
-            out.close()
-    else:
-        print(json.dumps(result, indent=2))
-        _table(changes.limit(200))
+    changes = diffing.classify(a, b, diffing.pair_features(a, b)).persist()
+    counts = _one(diffing.diff_counts(a, b, changes)) or dict.fromkeys(diffing.COUNTS, 0)
+    kinds = {"boundary_shifted": "boundary_shifted_cds", "product_changed": "product_name_changes", "gene_changed": "gene_name_changes", "xref_changed": "xref_changes", "unchanged": "unchanged"}
+    result = {"old_file": args.old, "new_file": args.new} | {k: counts[k] for k in diffing.COUNTS if k != "unchanged"}
+    result["classification_counts"] = {k: counts[v] for k, v in kinds.items() if counts[v]} | {"removed": counts["removed_cds"], "added": counts["added_cds"]}
+    if args.format != "json":
+        shown = [("Old", args.old), ("New", args.new), ("CDS", f"{counts['old_cds_count']} -> {counts['new_cds_count']}")] + [(k, counts[k]) for k in diffing.COUNTS[2:]]
+        return _report("Annotations compared", ("", shown))
+    lists: dict[str, list] = {k: [] for k in ("changes", "product_changes", "gene_changes", "xref_changes", "boundary_shifts", "added", "removed")}
+    for r in diffing.first_changes(changes).orderBy("list", "k").toLocalIterator():  # 500 rows at most
+        lists[r["list"]].append(_change(r.asDict()))
+    _json(result | {"changes": lists.pop("changes"), "details": lists}, args.output)
 
 
 def phylo(args):
@@ -235,9 +288,8 @@ def phylo(args):
 
 def crispr(args):
     features = _read(args)[1]
-    show = ["record_id", "locus_tag", "start", "end", "product"]
-    _table(panels.crispr_arrays(features).select(*show))
-    _table(panels.cas_genes(features).select(*show))
+    _table(panels.feature_summary(panels.crispr_arrays(features)))
+    _table(panels.feature_summary(panels.cas_genes(features)))
     _table(panels.crispr_groups(features, args.window).select("record_id", "start", "end", "n", F.to_json("cas_genes").alias("cas_genes")))
 
 
@@ -247,7 +299,12 @@ def gff_(args):
 
 
 def batch_summary(args):
-    files, records, features = _many(args, args.inputs, True)
+    files, records, features = _many(args, args.inputs, True, strict=False)
+    local = lambda p: "/" + p.split(":", 1)[-1].lstrip("/")
+    good = {local(r["path"]) for r in records.select("path").distinct().collect()}  # one row per file
+    for f in files:
+        if f not in good:
+            print(f"Warning: {f} can't be read and is left out", file=sys.stderr)
     reports = [p for p in (_base(f, ".txt") for f in files) if os.path.exists(p)]
     rows = summaries.batch_summary(records, features, dimensions.read_summaries(args.spark, *reports) if reports else None).persist()
     _table(rows, args.csv, "csv")
@@ -267,9 +324,11 @@ def operons_(args):
 
 
 def ingest(args):
+    # one set of inputs has one place, so that a second run replaces the first
     records, features = flatfile.read_flatfiles(args.spark, *args.inputs)
-    records.write.mode("append").parquet(f"{args.lake}/records")
-    features.write.mode("append").parquet(f"{args.lake}/features")
+    batch = hashlib.sha256("\n".join(sorted(args.inputs)).encode()).hexdigest()[:16]
+    records.write.mode("overwrite").parquet(f"{args.lake}/records/batch={batch}")
+    features.write.mode("overwrite").parquet(f"{args.lake}/features/batch={batch}")
 
 
 def parser() -> argparse.ArgumentParser:

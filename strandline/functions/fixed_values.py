@@ -109,6 +109,12 @@ SUMMARY_KEYS = {
     "sorfs": "sorf", "orics": "oric", "orivs": "oriv", "orits": "orit",
 }
 
+# A line of an annotation summary report.
+SUMMARY_LINE = r"(?i)^\s*([^:]+):\s*([\d,.]+)\s*(?:bp|%)?\s*$"
+
+# The source column of GFF3 rows.
+GFF_SOURCE = "genbank_gff"
+
 # Columns of the batch summary.
 BATCH_COLUMNS = (
     "Sample / Isolate", "Genome Size (Mbp)", "Total Gene/Feature Count", "G + C content (%)", "CDS", "rRNA",

@@ -93,10 +93,10 @@ def table_id(raw: Column) -> Column:
 
 
 def extract(seq: Column, parts: Column) -> Column:
-    """Bases of a location: its parts in biological order, those on the reverse strand complemented."""
+    """Bases of a location: its parts in biological order, those on the reverse strand complemented; null without bases."""
 
     def one(p):
         s = F.substring(seq, (p["start0"] + 1).cast("int"), (p["end0"] - p["start0"]).cast("int"))
         return F.when(p["strand"] == -1, reverse_complement(s)).otherwise(s)
 
-    return F.array_join(F.transform(parts, one), "")
+    return F.when(seq.isNotNull(), F.array_join(F.transform(parts, one), ""))

@@ -53,6 +53,12 @@ def codon_usage(cds: DataFrame) -> DataFrame:
     return full.select("table_id", "aa", "codon", F.col("n").alias("count"), F.when(whole > 0, 1000.0 * F.col("n") / whole).otherwise(F.lit(0.0)).alias("per_thousand"), rscu.alias("rscu"))
 
 
+def codon_table(cds: DataFrame) -> DataFrame:
+    """The six columns of the codon table, numbers as texts of two and three decimals."""
+    names = {"table_id": "TranslationTable", "aa": "AminoAcid", "codon": "Codon", "count": "Count"}
+    return codon_usage(cds).select(*[F.col(k).alias(v) for k, v in names.items()], F.format_string("%.2f", F.bround("per_thousand", 2)).alias("PerThousand"), F.format_string("%.3f", F.bround("rscu", 3)).alias("RSCU"))
+
+
 def codon_totals(cds: DataFrame) -> DataFrame:
     """Sense, stop and ambiguous codons and GC by codon position, over all tables."""
     c = codon_counts(cds)

@@ -1,17 +1,28 @@
-"""Two annotations of a genome: features paired tier by tier, and what changed within the pairs."""
+"""Two annotations of genomes: features paired tier by tier, and what changed within the pairs.
+
+``genome`` tells several pairs of files apart; features of one genome are paired with each other only. A tier on keys
+meets as features under one key, never as pairs of them, and the overlap tier as chains of overlapping features. Both
+stream through sorted partitions, so a task holds one key's or one chain's features of one genome at a time.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import heapq
+from bisect import bisect_left, bisect_right
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.columns import strand_symbol
-from strandline.operators.intervals import range_join
+from strandline.operators.intervals import islands
 from strandline.sources.scratch import Scratch
 
 KEPT = ("record_id", "start", "end", "strand", "locus_tag", "protein_id", "gene", "product", "translation", "kos", "ecs")
 OVERLAP = 0.8
+#: Most changes that a report lists, and of each kind.
+MOST_CHANGES, MOST_DETAILS = 200, 50
 
 
 def overlap_fraction(a: str = "", b: str = "r_"):
@@ -23,53 +34,120 @@ def overlap_fraction(a: str = "", b: str = "r_"):
     return F.when(same, F.least(shared / size(a), shared / size(b))).otherwise(F.lit(0.0))
 
 
-def cds_of(features: DataFrame) -> DataFrame:
-    """CDS with ``idx``, their order, and sorted KO and EC lists."""
-    return features.where("type = 'CDS'").select(F.col("feature_index").alias("idx"), *KEPT[:-2], F.array_sort(F.array_distinct("xrefs.kegg_kos")).alias("kos"), F.array_sort(F.array_distinct("xrefs.ec_numbers")).alias("ecs"))
-
-
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """In the order of the old features each takes the best new one that is left; ties go to the smaller number."""
-    taken, out, done = set(), [], None
-    rows = pdf.sort_values(["old_idx", "score", "new_idx"], ascending=[True, False, True])
-    for old, new in zip(rows["old_idx"].tolist(), rows["new_idx"].tolist()):
-        if old != done and new not in taken:
-            taken.add(new)
-            out.append((old, new))
-            done = old
-    return pd.DataFrame(out, columns=["old_idx", "new_idx"]).astype("int64")
-
-
-def unique_pairs(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Pairs of keys that stand once on both sides."""
-    one = lambda df, name: df.where(F.col(key) != "").groupBy(key).agg(F.min("idx").alias(name), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    return one(old, "old_idx").join(one(new, "new_idx"), key).drop(key)
-
-
-def _by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Pairs with one key. Keys that stand once on both sides, the usual case, are a plain join; only repeated keys are
-    matched one by one within the key."""
-    a, b = old.where(F.col(key) != ""), new.where(F.col(key) != "")
-    counts = a.groupBy(key).agg(F.count("*").alias("_a")).join(b.groupBy(key).agg(F.count("*").alias("_b")), key)
-    pairs = a.join(b.select(*[F.col(c).alias(f"r_{c}") for c in b.columns]), F.col(key) == F.col(f"r_{key}")).join(counts, key)
-    simple = unique_pairs(old, new, key)
-    several = pairs.where("_a > 1 or _b > 1").select(F.col(key).alias("_key"), F.col("idx").alias("old_idx"), F.col("r_idx").alias("new_idx"), overlap_fraction().alias("score"))
-    return simple.unionByName(_matched(several, "_key"))
-
-
-def _matched(candidates: DataFrame, *keys: str) -> DataFrame:
-    """Greedy pairs of candidates (keys, old_idx, new_idx, score). No feature stands under two keys, so keys can share a
-    task: they are dealt into a fixed number of groups, not one each."""
-    n = 4 * int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = candidates.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(n))).select("_group", "old_idx", "new_idx", "score")
-    return dealt.groupBy("_group").applyInPandas(_greedy, "old_idx long, new_idx long")
-
-
-def _by_overlap(old: DataFrame, new: DataFrame, least: float, width: int) -> DataFrame:
-    cols = ["idx", "record_id", "strand", "start", "end"]
-    near = range_join(old.select(*cols), new.select(*cols), ["record_id", "strand"], 0, width).withColumn("score", overlap_fraction()).where(F.col("score") >= least)
-    near = near.select("record_id", "strand", F.col("idx").alias("old_idx"), F.col("r_idx").alias("new_idx"), "score")
-    return _matched(near, "record_id", "strand")
+def cds_of(features: DataFrame, genome: Column | None = None) -> DataFrame:
+    """CDS with ``genome`` (by default all are of one), ``idx``, their order, and sorted KO and EC lists."""
+    kos, ecs = F.array_sort(F.array_distinct("xrefs.kegg_kos")), F.array_sort(F.array_distinct("xrefs.ec_numbers"))
+    return features.where("type = 'CDS'").select((F.lit("") if genome is None else genome).alias("genome"), F.col("feature_index").alias("idx"), *KEPT[:-2], kos.alias("kos"), ecs.alias("ecs"))
+
+
+class _New:
+    """New features that are left: by place for overlaps, by number for the rest."""
+
+    def __init__(self, rows):
+        self.left = {idx for idx, *_ in rows}
+        self.order = sorted(self.left)
+        heapq.heapify(self.order)
+        self.by_place: dict[tuple, list] = {}
+        for idx, record, strand, start, end in rows:
+            self.by_place.setdefault((record, strand), []).append((start, end, idx))
+        self.longest = {}
+        for k, x in self.by_place.items():
+            x.sort()
+            self.longest[k] = max(end - start for start, end, _ in x)
+
+    def best(self, record, strand, start, end, least: float):
+        """The new feature with the largest overlap, if that is large enough; of equal ones the first."""
+        rows = self.by_place.get((record, strand), [])
+        best = None
+        low = bisect_left(rows, (start - self.longest.get((record, strand), 0),))
+        for a, b, idx in rows[low : bisect_right(rows, (end, float("inf")))]:
+            shared = min(end, b) - max(start, a) + 1
+            if shared > 0 and idx in self.left:
+                score = min(shared / max(1, end - start + 1), shared / max(1, b - a + 1))
+                if score >= least and (best is None or (-score, idx) < best):
+                    best = (-score, idx)
+        return None if best is None else best[1]
+
+    def first(self):
+        while self.order and self.order[0] not in self.left:
+            heapq.heappop(self.order)
+        return self.order[0] if self.order else None
+
+
+def greedy(old: list[tuple], new: list[tuple], least: float = 0.0, any_place: bool = False) -> list[tuple[int, int]]:
+    """In their order the old features (idx, record, strand, start, end) each take the best new one that is left;
+    with ``any_place`` the first one where none overlaps."""
+    there, out = _New(new), []
+    for idx, record, strand, start, end in sorted(old):
+        got = there.best(record, strand, start, end, least)
+        if got is None and any_place:
+            got = there.first()
+        if got is not None:
+            there.left.discard(got)
+            out.append((idx, got))
+    return out
+
+
+_PLACE = ["record_id", "strand", "start", "end"]
+_PAIR_SCHEMA = "genome string, old_idx long, new_idx long"
+_PAIR_ARROW = pa.schema([("genome", pa.string()), ("old_idx", pa.int64()), ("new_idx", pa.int64())])
+
+
+def _streamed(rows: DataFrame, by: list[str], least: float, any_place: bool) -> DataFrame:
+    """Greedy pairs within each group of rows (by, genome, is_new, idx and place)."""
+    columns = ["genome", "is_new", "idx", *_PLACE]
+    dealt = rows.repartition(*by).sortWithinPartitions(*by).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], *columns)
+
+    def run(batches):
+        def each():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        # several groups a batch of results
+        out = []
+        for _, group in groupby(each(), lambda r: r[: len(by)]):
+            sides: tuple[list, list] = ([], [])
+            genome = None
+            for r in group:
+                genome, is_new, *feature = r[len(by) :]
+                sides[is_new].append(tuple(feature))
+            if sides[0] and sides[1]:
+                out += [(genome, a, b) for a, b in greedy(*sides, least, any_place)]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _PAIR_ARROW)], schema=_PAIR_ARROW)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _PAIR_ARROW)], schema=_PAIR_ARROW)
+
+    return dealt.mapInArrow(run, _PAIR_SCHEMA)
+
+
+def _both(old: DataFrame, new: DataFrame, *more: str) -> DataFrame:
+    side = lambda df, n: df.select(F.lit(n).alias("is_new"), "genome", "idx", *_PLACE, *more)
+    return side(old, 0).unionByName(side(new, 1))
+
+
+def by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Pairs with one key. Keys that stand once on both sides, the usual case, come out of the counts; only the features
+    under repeated keys are matched one by one."""
+    rows = _both(old, new, key).where(F.col(key) != "")
+    side = lambda n, f, c: f(F.when(F.col("is_new") == n, F.col(c)))
+    counts = rows.groupBy("genome", key).agg(side(0, F.count, "idx").alias("_a"), side(1, F.count, "idx").alias("_b"), side(0, F.min, "idx").alias("old_idx"), side(1, F.min, "idx").alias("new_idx")).where("_a > 0 and _b > 0")
+    simple = counts.where("_a = 1 and _b = 1").select("genome", "old_idx", "new_idx")
+    several = rows.join(counts.where("_a > 1 or _b > 1").select("genome", key), ["genome", key], "left_semi")
+    return simple.unionByName(_streamed(several, ["genome", key], 0.0, True))
+
+
+def by_overlap(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
+    """Pairs that overlap. Features of both sides are cut into chains of overlapping ones along each record and strand."""
+    by = ["genome", "record_id", "strand"]
+    order = ["start", "end", "is_new", "idx"]
+    reach = F.max("end").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    chains = islands(_both(old, new), by, order, F.coalesce(F.col("start") > reach, F.lit(True)), "chain")
+    sizes = chains.groupBy(*by, "chain").agg(F.min("is_new").alias("low"), F.max("is_new").alias("high")).where("low < high")
+    same = [chains[c].eqNullSafe(sizes[c]) for c in (*by, "chain")]
+    mixed = chains.join(sizes, same[0] & same[1] & same[2] & same[3], "left_semi")
+    return _streamed(mixed, [*by, "chain"], least, False)
 
 
 def by_translation(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -77,49 +155,94 @@ def by_translation(old: DataFrame, new: DataFrame) -> DataFrame:
 
     def ranked(df, name):
         digest = F.sha2(F.trim("translation"), 256)
-        return df.where(F.trim("translation") != "").select(digest.alias("digest"), F.col("idx").alias(name)).withColumn("k", F.row_number().over(Window.partitionBy("digest").orderBy(name)))
+        return df.where(F.trim("translation") != "").select("genome", digest.alias("digest"), F.col("idx").alias(name)).withColumn("k", F.row_number().over(Window.partitionBy("genome", "digest").orderBy(name)))
 
-    return ranked(old, "old_idx").join(ranked(new, "new_idx"), ["digest", "k"]).select("old_idx", "new_idx")
+    return ranked(old, "old_idx").join(ranked(new, "new_idx"), ["genome", "digest", "k"]).select("genome", "old_idx", "new_idx")
 
 
-def pair_features(old: DataFrame, new: DataFrame, least: float = OVERLAP, width: int = 10_000) -> DataFrame:
-    """old_idx, new_idx and tier; each tier works on what those before left.
+def pair_features(old: DataFrame, new: DataFrame, least: float = OVERLAP) -> DataFrame:
+    """genome, old_idx, new_idx and tier; each tier works on what those before left.
 
-    The inputs and each tier's pairs are written to the shared folder: every later tier reads them twice.
+    What is left is written to the shared folder after each tier: later tiers read it only.
     """
     scratch = Scratch(old.sparkSession)
-    old, new, done = scratch.keep(old, "old"), scratch.keep(new, "new"), None
-    for tier, match in (("locus_tag", lambda a, b: _by_key(a, b, "locus_tag")), ("protein_id", lambda a, b: _by_key(a, b, "protein_id")), ("coordinate_overlap", lambda a, b: _by_overlap(a, b, least, width)), ("translation_hash", by_translation)):
-        a = old if done is None else old.join(done, old["idx"] == done["old_idx"], "left_anti")
-        b = new if done is None else new.join(done, new["idx"] == done["new_idx"], "left_anti")
-        got = scratch.keep(match(a, b).withColumn("tier", F.lit(tier)), "pairs")
-        done = got if done is None else done.unionByName(got)
+    need = ["genome", "idx", "record_id", "start", "end", "strand", "locus_tag", "protein_id", "translation"]
+    old, new, done = scratch.keep(old.select(*need), "old"), scratch.keep(new.select(*need), "new"), None
+    tiers = (("locus_tag", lambda a, b: by_key(a, b, "locus_tag")), ("protein_id", lambda a, b: by_key(a, b, "protein_id")), ("coordinate_overlap", lambda a, b: by_overlap(a, b, least)), ("translation_hash", by_translation))
+    for tier, match in tiers:
+        got = scratch.keep(match(old, new), "pairs")
+        done = got.withColumn("tier", F.lit(tier)) if done is None else done.unionByName(got.withColumn("tier", F.lit(tier)))
+        if tier != tiers[-1][0]:
+            before = old, new
+            old = scratch.keep(old.join(got.select("genome", F.col("old_idx").alias("idx")), ["genome", "idx"], "left_anti"), "old")
+            new = scratch.keep(new.join(got.select("genome", F.col("new_idx").alias("idx")), ["genome", "idx"], "left_anti"), "new")
+            scratch.drop(*before)
     return done
 
 
 def classify(old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per pair and per feature without a partner, with its classes."""
-    o = old.select(*[F.col(c).alias(f"old_{c}") for c in old.columns])
-    n = new.select(*[F.col(c).alias(f"new_{c}") for c in new.columns])
-    rows = pairs.join(o, "old_idx").join(n, "new_idx")
+    """One row per pair and per feature without a partner, with its classes and, where they changed, the names and lists.
+
+    ``ord``: matched ones first, by record and place, then the removed and the added, in their order.
+    """
+    o = old.select("genome", *[F.col(c).alias(f"old_{c}") for c in old.columns if c != "genome"])
+    n = new.select("genome", *[F.col(c).alias(f"new_{c}") for c in new.columns if c != "genome"])
+    rows = pairs.join(o, ["genome", "old_idx"]).join(n, ["genome", "new_idx"])
     differ = lambda c: ~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
     moved = differ("record_id") | differ("start") | differ("end") | differ("strand")
     changed = lambda c: F.trim(f"old_{c}") != F.trim(f"new_{c}")
-    classes = F.filter(F.array(F.when(moved, "boundary_shifted"), F.when(changed("product"), "product_changed"), F.when(changed("gene"), "gene_changed"), F.when(differ("kos") | differ("ecs"), "xref_changed")), lambda x: x.isNotNull())
+    refs = differ("kos") | differ("ecs")
+    classes = F.filter(F.array(F.when(moved, "boundary_shifted"), F.when(changed("product"), "product_changed"), F.when(changed("gene"), "gene_changed"), F.when(refs, "xref_changed")), lambda x: x.isNotNull())
     classes = F.when(F.size(classes) > 0, classes).otherwise(F.array(F.lit("unchanged")))
     place = lambda p: F.format_string("%d..%d(%s)", f"{p}start", f"{p}end", strand_symbol(F.col(f"{p}strand")))
-    matched = rows.select(F.col("old_record_id").alias("record"), F.col("old_locus_tag").alias("old_locus"), F.col("new_locus_tag").alias("new_locus"), place("old_").alias("old_coordinates"), place("new_").alias("new_coordinates"), "tier", classes.alias("classes"), "old_start", "old_end")
+    dash = lambda c: F.when(F.col(c) == "", "-").otherwise(F.col(c))
+    both = lambda c: F.when(differ(c), F.struct(F.col(f"old_{c}").alias("old"), F.col(f"new_{c}").alias("new")))
     none = F.lit(None).cast("string")
-    gone = o.join(pairs, "old_idx", "left_anti").select(F.col("old_record_id").alias("record"), F.col("old_locus_tag").alias("old_locus"), none.alias("new_locus"), place("old_").alias("old_coordinates"), none.alias("new_coordinates"), none.alias("tier"), F.array(F.lit("removed")).alias("classes"), "old_start", "old_end")
-    came = n.join(pairs, "new_idx", "left_anti").select(F.col("new_record_id").alias("record"), none.alias("old_locus"), F.col("new_locus_tag").alias("new_locus"), none.alias("old_coordinates"), place("new_").alias("new_coordinates"), none.alias("tier"), F.array(F.lit("added")).alias("classes"), F.col("new_start").alias("old_start"), F.col("new_end").alias("old_end"))
+
+    def shaped(df, group, record, a, b, tier, kinds, start, end, idx):
+        names = [(F.when(changed(c), dash(f"{p}_{c}")) if a and b else none).alias(f"{p}_{c}") for c in ("product", "gene") for p in ("old", "new")]
+        lists = F.when(refs, F.struct(both("kos").alias("kegg_kos"), both("ecs").alias("ec_numbers"))) if a and b else F.lit(None).cast("struct<kegg_kos:struct<old:array<string>,new:array<string>>,ec_numbers:struct<old:array<string>,new:array<string>>>")
+        order = F.struct(F.lit(group).alias("group"), F.col(record).alias("record") if group == 0 else F.lit("").alias("record"), (F.col(start) if group == 0 else F.lit(0)).cast("long").alias("start"), (F.col(end) if group == 0 else F.lit(0)).cast("long").alias("end"), F.col(idx).alias("idx"))
+        return df.select(
+            "genome", order.alias("ord"), F.col(record).alias("record"), (dash("old_locus_tag") if a else none).alias("old_locus"), (dash("new_locus_tag") if b else none).alias("new_locus"),
+            (place("old_") if a else none).alias("old_coordinates"), (place("new_") if b else none).alias("new_coordinates"), tier.alias("tier"), kinds.alias("classes"), *names, lists.alias("xref_changes"),
+        )
+
+    matched = shaped(rows, 0, "old_record_id", True, True, F.col("tier"), classes, "old_start", "old_end", "old_idx")
+    gone = shaped(o.join(pairs, ["genome", "old_idx"], "left_anti"), 1, "old_record_id", True, False, none, F.array(F.lit("removed")), "old_start", "old_end", "old_idx")
+    came = shaped(n.join(pairs, ["genome", "new_idx"], "left_anti"), 2, "new_record_id", False, True, none, F.array(F.lit("added")), "new_start", "new_end", "new_idx")
     return matched.unionByName(gone).unionByName(came)
 
 
 def class_counts(changes: DataFrame) -> DataFrame:
-    return changes.select(F.explode("classes").alias("classification")).groupBy("classification").agg(F.count("*").alias("n"))
+    return changes.select("genome", F.explode("classes").alias("classification")).groupBy("genome", "classification").agg(F.count("*").alias("n"))
 
 
 def shared_coordinates(old: DataFrame, new: DataFrame) -> DataFrame:
     """Distinct places that both annotations have."""
-    key = ["record_id", "start", "end", "strand"]
+    key = ["genome", "record_id", "start", "end", "strand"]
     return old.select(*key).intersect(new.select(*key))
+
+
+COUNTS = ("old_cds_count", "new_cds_count", "shared_coordinate_cds", "matched_cds", "added_cds", "removed_cds", "product_name_changes", "gene_name_changes", "xref_changes", "boundary_shifted_cds", "unchanged")
+
+
+def diff_counts(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
+    """The ten counts of each genome's report."""
+    n = lambda df, name: df.groupBy("genome").agg(F.count("*").alias(name))
+    kind = lambda c: F.count_if(F.array_contains("classes", c))
+    counts = changes.groupBy("genome").agg(
+        F.count("tier").alias("matched_cds"), kind("added").alias("added_cds"), kind("removed").alias("removed_cds"), kind("product_changed").alias("product_name_changes"),
+        kind("gene_changed").alias("gene_name_changes"), kind("xref_changed").alias("xref_changes"), kind("boundary_shifted").alias("boundary_shifted_cds"), kind("unchanged").alias("unchanged"),
+    )
+    sizes = n(old, "old_cds_count").join(n(new, "new_cds_count"), "genome", "full").join(n(shared_coordinates(old, new), "shared_coordinate_cds"), "genome", "left")
+    return sizes.join(counts, "genome").na.fill(0).select("genome", *COUNTS)
+
+
+def first_changes(changes: DataFrame) -> DataFrame:
+    """Rows that a report lists: ``list`` is changes or the kind, in the report's order, with the row's number ``k``."""
+    kinds = {"product_changed": "product_changes", "gene_changed": "gene_changes", "xref_changed": "xref_changes", "boundary_shifted": "boundary_shifts", "added": "added", "removed": "removed"}
+    names = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    listed = changes.withColumn("list", F.explode(F.concat(F.array(F.lit("changes")), F.filter(F.transform("classes", lambda c: F.try_element_at(names, c)), lambda x: x.isNotNull()))))
+    k = F.row_number().over(Window.partitionBy("genome", "list").orderBy("ord"))
+    return listed.withColumn("k", k).where(F.col("k") <= F.when(F.col("list") == "changes", MOST_CHANGES).otherwise(MOST_DETAILS))

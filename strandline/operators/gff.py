@@ -1,12 +1,20 @@
-"""GFF3: attribute texts and phases as native expressions, and whole files with unique ids."""
+"""GFF3: attribute texts and phases as native expressions, and whole files with unique ids.
+
+Ids are unique through a file: a name that was taken gets the next number. Every row of the output claims a name, and
+the claims of one name are numbered where they meet, so nothing gathers a file. Only where a numbered name is also
+claimed as such (a tag that ends in ``_2`` beside a repeated one) are that file's names, without their rows, numbered one
+after the other.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SOURCE = "genbank_gff"
+from strandline.functions.fixed_values import GFF_SOURCE
+from strandline.sources.scratch import Scratch
+
 _ENCODED = (("%", "%25"), (";", "%3B"), ("=", "%3D"), ("&", "%26"), (",", "%2C"), (" ", "%20"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D"))
 
 
@@ -45,87 +53,101 @@ def ordinary_rows(features: DataFrame) -> DataFrame:
     """Nine columns of features with one span and a tag; ids are ``type:tag`` before repeats are numbered."""
     rows = features.where("not is_compound and locus_tag <> ''")
     phase = F.when(F.col("type") == "CDS", (F.col("codon_start") - 1).cast("string")).otherwise(".")
-    return rows.select(F.col("record_id").alias("seqid"), F.lit(SOURCE).alias("source"), "type", "start", "end", F.lit(".").alias("score"), gff_strand().alias("strand"), phase.alias("phase"), F.concat(F.lit("ID="), encode(F.concat_ws(":", "type", "locus_tag")), tail_attributes()).alias("attributes"))
-
+    return rows.select(F.col("record_id").alias("seqid"), F.lit(GFF_SOURCE).alias("source"), "type", "start", "end", F.lit(".").alias("score"), gff_strand().alias("strand"), phase.alias("phase"), F.concat(F.lit("ID="), encode(F.concat_ws(":", "type", "locus_tag")), tail_attributes()).alias("attributes"))
 
-class _Ids:
-    """Unique names: the wish itself, else with the next free number."""
 
-    def __init__(self):
-        self.used, self.last = set(), {}
-
-    def claim(self, wish: str) -> str:
-        name, k = wish, self.last.get(wish, 1)
-        while name in self.used:
+def _claimed(names: list[str]) -> list[str]:
+    """Each name itself, or with the first number from 2 on that makes it new."""
+    used, last, out = set(), {}, []
+    for wish in names:
+        name, k = wish, last.get(wish, 1)
+        while name in used:
             k += 1
             name = f"{wish}_{k}"
-        if name != wish:
-            self.last[wish] = k
-        self.used.add(name)
-        return name
-
-
-def _file_lines(pdf: pd.DataFrame) -> list[str]:
-    ids, rows = _Ids(), pdf.sort_values(["record_index", "feature_index"]).to_dict("records")
-    esc = lambda t: "".join(dict(_ENCODED).get(c, c) for c in t)
-    real, parents = {}, {}
-    for r in rows:
-        if r["type"] == "gene" and r["locus_tag"]:
-            real[r["feature_index"]] = name = ids.claim(f"gene:{r['locus_tag']}")
-            parents.setdefault((r["record_id"], r["locus_tag"]), name)
-    out = []
-
-    def line(r, kind, start, end, phase, name, parent=None, extra=""):
-        attributes = f"ID={esc(name)}" + (f";Parent={esc(parent)}" if parent else "") + r["tail"] + extra
-        out.append("\t".join([r["record_id"], SOURCE, kind, str(start), str(end), ".", r["gff_strand"], phase, attributes]))
-
-    for r in rows:
-        kind, tag = r["type"], r["locus_tag"]
-        base = tag or ids.claim(kind)
-        gene = parents.get((r["record_id"], tag)) if tag else None
-        is_cds = kind == "CDS"
-        if not r["is_compound"]:
-            name = real[r["feature_index"]] if kind == "gene" and tag else ids.claim(f"{kind}:{base}")
-            line(r, kind, r["start"], r["end"], str(r["codon_start"] - 1) if is_cds else ".", name, gene if is_cds else None)
-            continue
-        extra = ";origin_spanning=true" if r["topology"] == "circular" and r["genomic_span"] >= r["record_length"] > 0 else ""
-        whole = lambda k, name, parent=None: line(r, k, r["start"], r["end"], ".", name, parent, extra)  # noqa: B023, E731
-        if kind == "gene":
-            holder = real.get(r["feature_index"]) or ids.claim(f"gene:{base}")
-            whole("gene", holder)
-        else:
-            if gene is None:
-                gene = ids.claim(f"gene:{base}")
-                whole("gene", gene)
-                above = "mRNA" if is_cds else kind
-            else:
-                above = "mRNA"
-            holder = ids.claim(f"{above}:{base}")
-            whole(above, holder, gene)
-        for k, (seg, phase) in enumerate(zip(r["segments"], r["phases"]), 1):
-            line(r, kind, seg["start"], seg["end"], str(phase) if is_cds else ".", ids.claim(f"{kind}:{base}.{k}"), holder)
+        last[wish] = k
+        used.add(name)
+        out.append(name)
     return out
 
 
-def gff_lines(features: DataFrame, records: DataFrame, include_fasta: bool = False) -> DataFrame:
-    """path, ord and line of the whole files. Ids are unique through a file, so a file's features are numbered in one
-    task; a file is one genome, and files are spread."""
-    segments = ordered_segments()
-    shaped = features.select("path", "record_id", "record_index", "feature_index", "type", "locus_tag", "start", "end", "genomic_span", "record_length", "topology", "is_compound", "codon_start", gff_strand().alias("gff_strand"), tail_attributes().alias("tail"), segments.alias("segments"), segment_phases(segments, F.col("codon_start") - 1).alias("phases"))
+_CLAIM = ["path", "late", "record_index", "feature_index", "sub"]
+
+
+def unique_names(claims: DataFrame) -> DataFrame:
+    """``claims`` with ``name``, made of ``wish``; the order is late, record_index, feature_index, sub."""
+    n = F.row_number().over(Window.partitionBy("path", "wish").orderBy(*_CLAIM[1:]))
+    named = claims.withColumn("_n", n).withColumn("name", F.when(F.col("_n") == 1, F.col("wish")).otherwise(F.concat_ws("_", "wish", F.col("_n").cast("string"))))
+    named = Scratch(claims.sparkSession).keep(named, "claims")
+    wishes = named.where("_n = 1").select(F.col("path").alias("_path"), F.col("wish").alias("_wish"))
+    clashing = named.where("_n > 1").join(wishes, (F.col("path") == F.col("_path")) & (F.col("name") == F.col("_wish")), "left_semi").select("path").distinct()
+    if clashing.isEmpty():
+        return named.drop("_n")
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = _file_lines(pdf)
-        return pd.DataFrame({"path": pdf["path"].iloc[0], "part": 2, "ord": range(len(lines)), "line": lines})
+        pdf = pdf.sort_values(_CLAIM[1:])
+        return pdf.assign(name=_claimed(pdf["wish"].tolist()))[[*_CLAIM, "name"]]
+
+    again = named.select(*_CLAIM, "wish").join(clashing, "path", "left_semi").groupBy("path").applyInPandas(number, "path string, late int, record_index int, feature_index long, sub int, name string")
+    return named.drop("_n", "name").join(named.join(clashing, "path", "left_anti").select(*_CLAIM, "name").unionByName(again), _CLAIM)
+
+
+def gff_body(features: DataFrame) -> DataFrame:
+    """path, record_index, feature_index, sub and line of every row of the features."""
+    segments, tag, kind, record = ordered_segments(), F.col("locus_tag"), F.col("type"), ["path", "record_id"]
+    shaped = features.select(
+        *record, "record_index", "feature_index", "type", "locus_tag", "start", "end", "is_compound", "codon_start", gff_strand().alias("strand"), tail_attributes().alias("tail"), segments.alias("segments"),
+        segment_phases(segments, F.col("codon_start") - 1).alias("phases"), ((F.col("topology") == "circular") & (F.col("genomic_span") >= F.col("record_length")) & (F.col("record_length") > 0)).alias("around"),
+    )
+    # untagged features are called by their kind, with a number
+    k = F.row_number().over(Window.partitionBy("path", "type").orderBy("record_index", "feature_index"))
+    untagged = shaped.where(tag == "").withColumn("base", F.when(k == 1, kind).otherwise(F.concat_ws("_", kind, k.cast("string"))))
+    shaped = shaped.where(tag != "").withColumn("base", tag).unionByName(untagged)
+    held = shaped.where((kind == "gene") & (tag != "")).select(*record, "locus_tag").distinct().withColumn("held", F.lit(True))
+    shaped = shaped.join(held, [*record, "locus_tag"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    is_cds, is_gene = kind == "CDS", kind == "gene"
+    real = is_gene & (tag != "")
+    above = F.when(is_cds | F.col("held"), "mRNA").otherwise(kind)
+
+    def row(sub, kind, start, end, phase, wish, parent, extra):
+        """``parent``: -1 for none, -2 for the gene with the tag, else the sub of the feature's own row above."""
+        return F.struct(sub.cast("int").alias("sub"), kind.alias("kind"), start.alias("start"), end.alias("end"), phase.alias("phase"), wish.alias("wish"), parent.cast("int").alias("parent"), extra.alias("extra"))
+
+    name = lambda k: F.concat_ws(":", k, F.col("base"))
+    no, dot, none = F.lit(""), F.lit("."), F.lit(-1)
+    whole = lambda sub, k, parent: row(F.lit(sub), k, F.col("start"), F.col("end"), dot, name(k), parent, F.when(F.coalesce("around", F.lit(False)), ";origin_spanning=true").otherwise(""))
+    plain = row(F.lit(0), kind, F.col("start"), F.col("end"), F.when(is_cds, (F.col("codon_start") - 1).cast("string")).otherwise("."), name(kind), F.when(is_cds & F.col("held"), -2).otherwise(-1), no)
+    parts = F.transform(
+        F.arrays_zip("segments", "phases"),
+        lambda x, i: row(i + 2, kind, x["segments"]["start"], x["segments"]["end"], F.when(is_cds, x["phases"].cast("string")).otherwise("."), F.concat(name(kind), F.lit("."), (i + 1).cast("string")), F.when(is_gene, 0).otherwise(1), no),
+    )
+    gene = F.lit("gene")
+    tops = F.when(is_gene, F.array(whole(0, gene, none))).when(F.col("held"), F.array(whole(1, above, F.lit(-2)))).otherwise(F.array(whole(0, gene, none), whole(1, above, F.lit(0))))
+    rows = F.when(F.col("is_compound"), F.concat(tops, parts)).otherwise(F.array(plain))
+    claims = shaped.withColumn("late", F.when(real, 0).otherwise(1)).select(*record, "record_index", "feature_index", "locus_tag", "strand", "tail", F.explode(rows).alias("r"), "late")
+    claims = claims.select("*", "r.*").drop("r").withColumn("late", F.when(F.col("sub") == 0, F.col("late")).otherwise(1))
+    named = unique_names(claims)
+    genes = named.where("late = 0").groupBy(*record, "locus_tag").agg(F.min_by("name", F.struct("record_index", "feature_index")).alias("gene_id"))
+    named = named.join(genes, [*record, "locus_tag"], "left")
+    own = Window.partitionBy("path", "record_index", "feature_index")
+    top = lambda sub: F.max(F.when(F.col("sub") == sub, F.col("name"))).over(own)
+    parent = F.when(F.col("parent") == -2, F.col("gene_id")).when(F.col("parent") == 0, top(0)).when(F.col("parent") == 1, top(1))
+    attributes = F.concat(F.lit("ID="), encode(F.col("name")), F.coalesce(F.concat(F.lit(";Parent="), encode(parent)), no), F.col("tail"), F.col("extra"))
+    line = F.concat_ws("\t", "record_id", F.lit(GFF_SOURCE), "kind", F.col("start").cast("string"), F.col("end").cast("string"), dot, "strand", "phase", attributes)
+    return named.select("path", "record_index", "feature_index", "sub", line.alias("line"))
 
-    body = shaped.groupBy("path").applyInPandas(number, "path string, part int, ord long, line string")
+
+def gff_lines(features: DataFrame, records: DataFrame, include_fasta: bool = False) -> DataFrame:
+    """path and line of the whole files in order, with the columns that give it."""
+    zero = lambda c: F.lit(0).cast("long" if c == "feature_index" else "int").alias(c)
+    place = lambda df, part, record, line: df.select("path", F.lit(part).alias("part"), record.cast("int").alias("record_index"), zero("feature_index"), zero("sub"), line.alias("line"))
+    body = gff_body(features).select("path", F.lit(2).alias("part"), "record_index", "feature_index", "sub", "line")
     ends = features.groupBy("path", "record_index").agg(F.max("end").alias("most"))
-    head = records.select("path", F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord"), F.lit("##gff-version 3").alias("line")).distinct()
+    head = place(records.select("path").distinct(), 0, F.lit(0), F.lit("##gff-version 3"))
     size = F.when(F.col("length") > 0, F.col("length")).otherwise(F.coalesce("most", F.lit(1)))
-    regions = records.join(ends, ["path", "record_index"], "left").select("path", F.lit(1).alias("part"), F.col("record_index").cast("long").alias("ord"), F.concat_ws(" ", F.lit("##sequence-region"), "record_id", F.lit("1"), size).alias("line"))
+    regions = place(records.join(ends, ["path", "record_index"], "left"), 1, F.col("record_index"), F.concat_ws(" ", F.lit("##sequence-region"), "record_id", F.lit("1"), size.cast("string")))
     out = head.unionByName(regions).unionByName(body)
     if include_fasta:
         with_seq = records.where("length(seq) > 0")
-        mark = with_seq.select("path", F.lit(3).alias("part"), F.lit(0).cast("long").alias("ord"), F.lit("##FASTA").alias("line")).distinct()
-        bases = with_seq.select("path", F.lit(4).alias("part"), F.col("record_index").cast("long").alias("ord"), F.concat(F.lit(">"), F.col("record_id"), F.lit("\n"), F.regexp_replace("seq", "(.{60})(?!$)", "$1\n")).alias("line"))
-        out = out.unionByName(mark).unionByName(bases)
-    return out.orderBy("path", "part", "ord")
+        mark = place(with_seq.select("path").distinct(), 3, F.lit(0), F.lit("##FASTA"))
+        out = out.unionByName(mark).unionByName(place(with_seq, 4, F.col("record_index"), F.concat(F.lit(">"), F.col("record_id"), F.lit("\n"), F.regexp_replace("seq", "(.{60})(?!$)", "$1\n"))))
+    return out.orderBy("path", "part", "record_index", "feature_index", "sub")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.columns import strand_symbol
-from strandline.functions.fixed_values import CAS_KEYWORDS, REPEAT_KEYWORDS
+from strandline.functions.fixed_values import CAS_KEYWORDS, PATHWAYS, REPEAT_KEYWORDS
 from strandline.operators.intervals import distance, islands, range_join
 from strandline.operators.operons import operon_pairs
 from strandline.sources.dimensions import load_rules, marker_dimension, pathway_dimension
@@ -39,6 +39,27 @@ def pathway_completeness(features: DataFrame) -> DataFrame:
     return out.select("path", "pathway", "steps_present", "steps_total", F.round(100.0 * F.col("steps_present") / F.col("steps_total"), 1).alias("completeness_pct"))
 
 
+def functional_document(features: DataFrame) -> DataFrame:
+    """path and document: the totals and, for each pathway, its steps with the references that are there."""
+    wanted = pathway_dimension(features.sparkSession).select(F.explode("refs").alias("ref")).distinct()
+    have = features.where("type = 'CDS'").select("path", F.explode(F.concat(F.col("xrefs.kegg_kos"), F.transform("xrefs.ec_numbers", lambda x: F.concat(F.lit("EC:"), x)))).alias("ref"))
+    # at most as many as the pathways ask for
+    have = have.join(F.broadcast(wanted), "ref").groupBy("path").agg(F.collect_set("ref").alias("have"))
+    rows = functional_totals(features).join(have, "path", "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
+
+    def step(name, refs):
+        matched = F.filter(F.array(*map(F.lit, refs)), lambda r: F.array_contains("have", r))
+        return F.struct(F.lit(name).alias("name"), matched.alias("matched"), F.when(F.size(matched) > 0, "PRESENT").otherwise("ABSENT").alias("status"))
+
+    def pathway(name, steps):
+        listed = F.array(*[step(*s) for s in steps])
+        n = F.size(F.filter(listed, lambda x: x["status"] == "PRESENT"))
+        return F.struct(n.alias("steps_present"), F.lit(len(steps)).alias("steps_total"), F.round(100.0 * n / len(steps), 1).alias("completeness_pct"), listed.alias("steps")).alias(name)
+
+    pathways = F.struct(*[pathway(k, v) for k, v in PATHWAYS.items()])
+    return rows.select("path", F.struct(F.col("path").alias("file"), "total_cds", "unique_kos", "unique_ecs", "total_cogs", pathways.alias("pathways")).alias("document"))
+
+
 def word_in(needle: str, column):
     """The needle as a word of its own: no letter, digit, underscore or hyphen next to it."""
     return F.rlike(column, F.lit(rf"(?iU)(?<![\w-])\Q{needle}\E(?![\w-])"))
@@ -57,6 +78,16 @@ def target_matrix(features: DataFrame, targets: list[str]) -> DataFrame:
     return features.where("type = 'CDS'").groupBy("path").agg(*counts)
 
 
+def compare_matrix(features: DataFrame, files: list[str], targets: list[str]) -> DataFrame:
+    """ord, Genome, Path and the targets' counts of each file in the order given; files given twice have two rows."""
+    stem = F.regexp_replace(F.element_at(F.split("Path", "/"), -1), r"\.[^.]*$", "")
+    local = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    listed = features.sparkSession.createDataFrame(list(enumerate(files)), "ord int, Path string")
+    counts = target_matrix(features, targets).withColumn("path", local(F.col("path")))
+    rows = listed.select("ord", stem.alias("Genome"), "Path", local(F.col("Path")).alias("_p")).join(counts.withColumnRenamed("path", "_q"), F.col("_p") == F.col("_q"), "left").na.fill(0)
+    return rows.select("ord", "Genome", "Path", *[F.col(f"`{t}`") for t in dict.fromkeys(targets)])
+
+
 def marker_hits(features: DataFrame, panel: str | dict[str, str] = "core", min_length: int = 50) -> DataFrame:
     """CDS with a long enough translation that match a marker by gene, product or, lacking a gene, words of the product."""
     dim = marker_dimension(features.sparkSession, panel)
@@ -80,7 +111,7 @@ def discovery_hits(features: DataFrame, ruleset: str = "mobilome", rules_file: s
 
     The rules are literals of the plan: one projection over the CDS, no join and no regrouping.
     """
-    rules = load_rules(ruleset, rules_file) if rules is None else rules
+    rules = load_rules(ruleset, rules_file, features.sparkSession) if rules is None else rules
     text = lambda x: F.contains(F.lower("gene"), x) | F.contains(F.lower("product"), x) | F.contains(F.lower(F.array_join("notes", " ")), x)
     found = []
     for name, _, weight, terms in rules:
@@ -117,13 +148,66 @@ def island_links(members: DataFrame, features: DataFrame, operon_gap: int = 150)
     return operon_pairs(features, operon_gap).join(first, ["path", "record_index", "first_index"]).join(second, ["path", "record_index", "second_index", "island"])
 
 
-def discovery_table(hits: DataFrame, members: DataFrame) -> DataFrame:
-    """One row per hit and matched rule; island cells stay empty outside islands."""
+def discovery_table(hits: DataFrame, members: DataFrame, keep_order: bool = False) -> DataFrame:
+    """One row per hit and matched rule; island cells stay empty outside islands. ``keep_order``: with feature_index and
+    rule_no, which give the order."""
     keys = ["path", "record_index", "island"]
     named = members.select(*keys, "feature_index").join(island_summary(members).select(*keys, "cluster_id", F.col("start").alias("cluster_start"), F.col("end").alias("cluster_end")), keys).drop("island")
-    rows = hits.join(named, ["path", "record_index", "feature_index"], "left").withColumn("m", F.explode_outer("matches"))
-    dash = lambda c: F.when(F.col(c) == "", "-").otherwise(F.col(c)).alias(c)
-    return rows.select("path", F.col("record_id").alias("record"), "cluster_id", "cluster_start", "cluster_end", dash("locus_tag"), dash("gene"), dash("product"), strand_symbol(F.col("strand")).alias("strand"), F.col("m.rule").alias("rule_id"), F.col("m.term").alias("matched_term"), F.col("m.weight").alias("weight"), F.col("weight").alias("total_feature_score"))
+    rows = hits.join(named, ["path", "record_index", "feature_index"], "left").select("*", F.posexplode_outer("matches").alias("rule_no", "m"))
+    dash = _dash
+    return rows.select("path", *(["feature_index", "rule_no"] if keep_order else []), F.col("record_id").alias("record"), "cluster_id", "cluster_start", "cluster_end", dash("locus_tag"), dash("gene"), dash("product"), strand_symbol(F.col("strand")).alias("strand"), F.col("m.rule").alias("rule_id"), F.col("m.term").alias("matched_term"), F.col("m.weight").alias("weight"), F.col("weight").alias("total_feature_score"))
+
+
+_HIT = ("contig", "locus_tag", "gene", "product", "start", "end", "strand", "weight", "matches", "feature_index")
+
+
+def _dash(c: str) -> Column:
+    return F.when(F.col(c) == "", "-").otherwise(F.col(c)).alias(c)
+
+
+def feature_summary(features: DataFrame, *more: str) -> DataFrame:
+    """Eight fields of each feature, empty texts as dashes."""
+    return features.select(*more, F.col("record_id").alias("record"), "type", _dash("locus_tag"), _dash("gene"), _dash("product"), "start", "end", strand_symbol(F.col("strand")).alias("strand"))
+
+
+def discovery_document(features: DataFrame, ruleset: str = "mobilome", rules_file: str | None = None, cluster_gap: int = 5000, operon_gap: int = 150, min_weight: int = 1, rules=None) -> DataFrame:
+    """path and document: hits, operon links between hits, and islands with their links and features.
+
+    A document is one row, so a file's hits must fit in a row, as they do for a genome.
+    """
+    if operon_gap < 0:
+        raise ValueError("gaps must not be negative")
+    keys = ["path", "record_index"]
+    found = discovery_hits(features, ruleset, rules_file, min_weight, rules)
+    members = discovery_islands(found, cluster_gap)
+
+    def shaped(df, *more):
+        own = df.withColumn("contig", F.col("record_id")).withColumn("symbol", strand_symbol(F.col("strand")))
+        cells = [_dash(c) if c in ("locus_tag", "gene", "product") else F.col("symbol").alias("strand") if c == "strand" else F.col(c) for c in _HIT]
+        return own.select(*keys, *more, F.struct(*cells).alias("hit"))
+
+    in_order = lambda rows, by, order, value, name: rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value]).alias(name), F.count("*").alias(f"n_{name}"))
+    hits = in_order(shaped(found, "feature_index"), ["path"], ["feature_index"], "hit", "hits")
+    index = lambda name, *more: found.select(*keys, F.col("feature_index").alias(name), *more)
+    pairs = operon_pairs(features, operon_gap).join(index("first_index", "start"), [*keys, "first_index"]).join(index("second_index"), [*keys, "second_index"])
+    link = F.struct(F.col("record_id").alias("contig"), _dash("first_tag").alias("first_locus_tag"), _dash("second_tag").alias("second_locus_tag"), F.col("first_index").alias("first_feature_index"), F.col("second_index").alias("second_feature_index"), "gap")
+    pairs = pairs.select(*keys, "start", "first_index", "second_index", link.alias("link"))
+    links = in_order(pairs, ["path"], ["record_index", "start", "first_index"], "link", "operon_links")
+    at = lambda name: members.select(*keys, F.col("feature_index").alias(name), "island")
+    within = pairs.join(at("first_index"), [*keys, "first_index"]).join(at("second_index"), [*keys, "second_index", "island"])
+    within = in_order(within, [*keys, "island"], ["start", "first_index"], "link", "links")
+    inside = in_order(shaped(members, "island", "start", "feature_index"), [*keys, "island"], ["start", "feature_index"], "hit", "features")
+    rows = island_summary(members).join(inside, [*keys, "island"]).join(within, [*keys, "island"], "left")
+    rows = rows.withColumn("links", F.coalesce("links", F.array().cast(within.schema["links"].dataType)))
+    island = F.struct("cluster_id", F.col("record_id").alias("contig"), "start", "end", "span", "genes", "total_weight", F.col("links").alias("operon_links"), "features")
+    islands_ = in_order(rows.select(*keys, "start", island.alias("whole")), ["path"], ["record_index", "start"], "whole", "islands")
+    out = features.select("path").distinct().join(hits, "path", "left").join(links, "path", "left").join(islands_, "path", "left").na.fill(0, ["n_hits", "n_islands"])
+    listed = lambda c, df: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)).alias(c)
+    document = F.struct(
+        F.col("path").alias("file"), F.lit(ruleset if rules_file is None else rules_file).alias("ruleset"), F.col("n_hits").alias("total_hits"), F.col("n_islands").alias("total_islands"), F.lit(operon_gap).alias("operon_gap"),
+        listed("hits", hits), listed("operon_links", links), listed("islands", islands_),
+    )
+    return out.select("path", document.alias("document"))
 
 
 def cas_genes(features: DataFrame) -> DataFrame:

@@ -60,8 +60,13 @@ def preferred(features: DataFrame, by: list[str], prefer: str = "CDS") -> DataFr
     return features.groupBy(*by).agg(F.min_by(whole, rank).alias("_f")).select("_f.*")
 
 
+def locus_features(features: DataFrame, tag: str) -> DataFrame:
+    """All features with the tag."""
+    return features.where(F.col("locus_tag") == tag)
+
+
 def find_locus(features: DataFrame, tag: str, prefer: str = "CDS") -> DataFrame:
-    return preferred(features.where(F.col("locus_tag") == tag), ["path"], prefer)
+    return preferred(locus_features(features, tag), ["path"], prefer)
 
 
 def find_gene(features: DataFrame, name: str, cds_only: bool = False, cds_first: bool = True) -> DataFrame:
@@ -95,6 +100,16 @@ def neighborhood(features: DataFrame, name: str, window: int = 5) -> DataFrame:
     return ordinal_window(cds.where(round_).select(*keys), features, window, True).unionByName(ordinal_window(cds.where(straight).select(*keys), features, window, False))
 
 
+def neighborhood_of(features: DataFrame, name: str, window: int = 5) -> DataFrame:
+    """``neighborhood`` in one file, where the target must be there and be a CDS."""
+    target = resolve(features, name, "neighborhood").select("type", "record_id").first()
+    if target is None:
+        raise LookupError(f"no feature with the tag or gene {name!r}")
+    if target["type"] != "CDS":
+        raise ValueError(f"{name!r} on {target['record_id']!r} is a {target['type']}, and neighbourhoods are of CDS")
+    return neighborhood(features, name, window)
+
+
 def locus_duplicates(features: DataFrame) -> DataFrame:
     """Locus tags that several CDS of a file share, with their places in order."""
     place = F.format_string("%s:%d..%d(%s)", "record_id", "start", "end", strand_symbol(F.col("strand")))

@@ -9,14 +9,17 @@ from strandline.functions.columns import strand_symbol
 from strandline.functions.sequence import extract, wrap
 
 
+def _head(tag: Column, product: Column) -> Column:
+    gene = F.when(F.col("gene") != "", F.concat(F.lit(" gene="), F.col("gene"))).otherwise("")
+    return F.format_string(">%s%s product=%s [%s:%d..%d(%s)]", tag, gene, product, "record_id", "start", "end", strand_symbol(F.col("strand")))
+
+
 def protein_fasta(features: DataFrame) -> DataFrame:
     """One FASTA entry, wrapped at 60, per CDS with a translation."""
     rows = features.where("type = 'CDS' and translation <> ''")
     tag = F.when(F.col("locus_tag") != "", F.col("locus_tag")).otherwise(F.concat(F.lit("cds_"), F.col("feature_index").cast("string")))
-    gene = F.when(F.col("gene") != "", F.concat(F.lit(" gene="), F.col("gene"))).otherwise("")
     product = F.when(F.col("product") != "", F.col("product")).otherwise("hypothetical protein")
-    head = F.format_string(">%s%s product=%s [%s:%d..%d(%s)]", tag, gene, product, "record_id", "start", "end", strand_symbol(F.col("strand")))
-    return rows.select("path", "feature_index", F.concat(head, F.lit("\n"), wrap(F.col("translation"), 60)).alias("entry"))
+    return rows.select("path", "feature_index", F.concat(_head(tag, product), F.lit("\n"), wrap(F.col("translation"), 60)).alias("entry"))
 
 
 def genome_fasta(records: DataFrame, width: int = 70) -> DataFrame:
@@ -30,7 +33,12 @@ def cds_fasta(features: DataFrame, records: DataFrame, width: int = 70) -> DataF
     nt = F.upper(extract(F.col("seq"), F.col("location.parts")))
     rows = features.where("type = 'CDS'").join(seqs, ["path", "record_index"]).withColumn("nt", nt).where("length(nt) > 0")
     tag = F.when(F.col("locus_tag") != "", F.col("locus_tag")).otherwise("unknown")
-    return rows.select("path", "feature_index", F.concat(F.lit(">"), tag, F.lit("\n"), wrap(F.col("nt"), width)).alias("entry"))
+    return rows.select("path", "feature_index", F.concat(_head(tag, F.col("product")), F.lit("\n"), wrap(F.col("nt"), width)).alias("entry"))
+
+
+def region_fasta(regions: DataFrame, width: int = 60) -> DataFrame:
+    """One entry per region that was cut out, with its description."""
+    return regions.select("path", "record_index", F.concat(F.lit(">"), "record_id", F.lit(" "), "description", F.lit("\n"), wrap(F.col("seq"), width)).alias("entry"))
 
 
 def marker_fasta(hits: DataFrame) -> DataFrame:
@@ -53,6 +61,10 @@ def markdown_cell(c: Column) -> Column:
     return c
 
 
+def markdown_line(columns: list[str]) -> Column:
+    cells = [markdown_cell(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in columns]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
 def markdown_rows(rows: DataFrame) -> DataFrame:
-    cells = [markdown_cell(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in rows.columns]
-    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    return rows.select(markdown_line(rows.columns).alias("line"))

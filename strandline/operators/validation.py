@@ -51,8 +51,9 @@ def coding_findings(cds: DataFrame) -> DataFrame:
     return rows.withColumn("_coding", found).drop("_table", "_protein", "table_id", "code", "stops")
 
 
-def findings(features: DataFrame, records: DataFrame) -> DataFrame:
-    """severity, code, record_id, locus_tag, feature_type, coordinates and message, in the order of the report."""
+def findings(features: DataFrame, records: DataFrame, keep_order: bool = False) -> DataFrame:
+    """severity, code, record_id, locus_tag, feature_type, coordinates and message, in the order of the report;
+    ``keep_order``: with the columns that give it."""
     place = F.format_string("%s:%d..%d(%s)", "record_id", "start", "end", strand_symbol(F.col("strand")))
     seqs = records.select("path", "record_index", F.upper("seq").alias("_seq"))
     exceptional = F.lit(False)
@@ -69,7 +70,7 @@ def findings(features: DataFrame, records: DataFrame) -> DataFrame:
     twice = cds.groupBy("path", "locus_tag").agg(F.count("*").alias("n"), F.min(F.struct("feature_index", "record_index", "record_id")).alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feature_index", place.alias("p")))), lambda x: x["p"]), ", ").alias("coordinates")).where("n > 1")
     twice = twice.select("path", F.lit(0).alias("part"), F.lit(0).alias("record_index"), F.col("first.feature_index").alias("feature_index"), F.lit(1).alias("ord"), F.lit("WARNING").alias("severity"), F.lit("DUPLICATE_LOCUS_TAG").alias("code"), F.col("first.record_id").alias("record_id"), "locus_tag", F.lit("CDS").alias("feature_type"), "coordinates", F.concat(F.lit("tag of "), F.col("n").cast("string"), F.lit(" CDS")).alias("message"))
     ordered = twice.unionByName(single).orderBy("path", "part", "record_index", "feature_index", "ord")
-    return ordered.select("path", "severity", "code", "record_id", "locus_tag", "feature_type", "coordinates", "message")
+    return ordered if keep_order else ordered.select("path", "severity", "code", "record_id", "locus_tag", "feature_type", "coordinates", "message")
 
 
 def severity_counts(found: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,22 +9,13 @@ from strandline.functions.columns import derive, dict_view, strand_symbol
 from strandline.functions.fixed_values import PATHWAYS
 from strandline.functions.sequence import codons, gc_percent, reverse_complement, translate, wrap
 from strandline.operators import codon_usage, diffing, gff, intervals, operons, panels, regions, search, sinks, summaries, validation
-from strandline.plans import views
+from strandline.plans import genome_queries, views  # noqa: F401
+from strandline.plans.genome_queries import pairs_sql
 from strandline.plans.oracles import FEAT, LENGTH, SEQ, code_rows
+from strandline.plans.registry import REGISTRY, Query
+from strandline.plans.registry import query as _query
 from strandline.sources import flatfile
 
-Query = Callable[[SparkSession, str], DataFrame]
-_REGISTRY: dict[str, tuple[Query, str | None]] = {}
-
-
-def _query(sql: str | None = None):
-    def keep(f: Query) -> Query:
-        _REGISTRY[f.__name__] = (f, sql)
-        return f
-
-    return keep
-
-
 def _flat(df: DataFrame) -> DataFrame:
     return sinks.tsv(df)
 
@@ -251,18 +240,21 @@ _RANKED = """ro AS (SELECT *, row_number() OVER (PARTITION BY translation ORDER
 
 @_query(f"WITH {FEAT}, {_CHANGED}, {_RANKED} SELECT ro.fi AS old_idx, rn.fi AS new_idx FROM ro JOIN rn ON ro.translation = rn.translation AND ro.k = rn.k")
 def feat_diff_hash(spark, d):
-    return diffing.by_translation(*_both(spark, d))
+    return diffing.by_translation(*_both(spark, d)).drop("genome")
+
+
+_SIDE = "'' AS genome, fi AS idx, record_id AS rid, sd, st, en, tag, protein_id AS pid, translation"
+_PAIRS = f"""{FEAT}, {_CHANGED}, od AS (SELECT {_SIDE} FROM feat WHERE type = 'CDS'), ne AS (SELECT {_SIDE} FROM chg WHERE type = 'CDS'), {pairs_sql('od', 'ne')}"""
 
 
-@_query(f"""WITH {FEAT}, {_CHANGED}, a AS (SELECT tag, min(fi) AS old_idx FROM feat WHERE type = 'CDS' GROUP BY tag HAVING count(*) = 1), b AS (SELECT tag, min(fi) AS new_idx FROM chg WHERE type = 'CDS' GROUP BY tag HAVING count(*) = 1)
-    SELECT old_idx, new_idx FROM a JOIN b USING (tag)""")
+@_query(f"WITH {_PAIRS} SELECT o AS old_idx, n AS new_idx FROM p1")
 def feat_diff_tags(spark, d):
-    return diffing.unique_pairs(*_both(spark, d), "locus_tag")
+    return diffing.by_key(*_both(spark, d), "locus_tag").drop("genome")
 
 
-@_query()
+@_query(f"""WITH {_PAIRS} SELECT o AS old_idx, n AS new_idx, tier FROM p""")
 def feat_diff_pairs(spark, d):
-    return diffing.pair_features(*_both(spark, d))
+    return diffing.pair_features(*_both(spark, d)).drop("genome")
 
 
 @_query(f"""WITH {FEAT}, {_CHANGED}, {_RANKED}, p AS (SELECT ro.fi AS a, rn.fi AS b, ro.record_id <> rn.record_id OR ro.st <> rn.st OR ro.en <> rn.en OR ro.sd <> rn.sd AS moved, ro.product <> rn.product AS prod, ro.gene <> rn.gene AS gen, ro.ko <> rn.ko OR ro.ec <> rn.ec AS xr
@@ -272,12 +264,12 @@ def feat_diff_pairs(spark, d):
 def feat_diff_classify(spark, d):
     old, new = _both(spark, d)
     pairs = diffing.by_translation(old, new).withColumn("tier", F.lit("translation_hash"))
-    return diffing.class_counts(diffing.classify(old, new, pairs))
+    return diffing.class_counts(diffing.classify(old, new, pairs)).drop("genome")
 
 
 @_query(f"WITH {FEAT}, {_CHANGED} SELECT record_id, st AS start, en AS \"end\", sd AS strand FROM feat WHERE type = 'CDS' INTERSECT SELECT record_id, st, en, sd FROM chg WHERE type = 'CDS'")
 def feat_diff_shared(spark, d):
-    return diffing.shared_coordinates(*_both(spark, d))
+    return diffing.shared_coordinates(*_both(spark, d)).drop("genome")
 
 
 @_query(f"WITH {SEQ} SELECT doc_id, CAST(length(s) AS BIGINT) AS bases, CASE WHEN length(s) > 0 THEN round(100.0::DOUBLE * length(regexp_replace(s, '[AT]', '', 'g')) / length(s), 6) ELSE 0.0 END AS gc FROM seq")
@@ -449,11 +441,11 @@ def nt_genome_report(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in _REGISTRY.items()}
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _REGISTRY.items() if sql}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

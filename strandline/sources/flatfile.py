@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from strandline.functions.columns import LOCATION, derive
 from strandline.functions.fixed_values import FLATFILE_SUFFIXES
 from strandline.sources.locations import Part, parse_location, render_location
+from strandline.sources.scratch import Scratch
 
 RECORD_COLUMNS = "path string, record_index int, record_id string, name string, description string, seq string, length bigint, topology string, molecule_type string, division string, date string, organism string, source string, accessions array<string>, annotations map<string,string>"
 _PARSED = f"{RECORD_COLUMNS}, features array<struct<type:string,location:{LOCATION},qualifiers:map<string,array<string>>>>"
@@ -125,49 +127,128 @@ def parse_record(text: str) -> dict | None:
     return rec
 
 
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split(" ")[0] for c in RECORD_COLUMNS.split(", ")] + ["features"]
-    for pdf in frames:
-        rows = [r | {"path": p, "record_index": int(i)} for p, i, t in zip(pdf["path"], pdf["record_index"], pdf["text"]) if (r := parse_record(t))]
-        yield pd.DataFrame([[r[n] for n in names] for r in rows], columns=names)
+_NAMES = [c.split(" ")[0] for c in RECORD_COLUMNS.split(", ")] + ["features"]
 
 
-def parse_texts(files: DataFrame) -> DataFrame:
-    """Parsed records of ``files`` (path, value): one row per record, its features in an array."""
+def _parsed_row(text: str, strict: bool) -> dict | None:
+    try:
+        return parse_record(text)
+    except (ValueError, IndexError, KeyError):
+        if strict:
+            raise
+        return None
+
+
+def _parser(more: list[str], strict: bool):
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for x, text in zip(pdf.drop(columns="text").to_dict("records"), pdf["text"]):
+                got = _parsed_row(text, strict)
+                if got:
+                    rows.append(got | x | {"n_features": len(got["features"])})
+            yield pd.DataFrame([[r[n] for n in [*_NAMES, *more]] for r in rows], columns=[*_NAMES, *more])
+
+    return parse
+
+
+def _blocks(files: DataFrame) -> DataFrame:
+    """``files`` with pos and text of each record of their value."""
     plain = F.regexp_replace("value", "\r\n?", "\n")
-    blocks = files.select("path", F.posexplode(F.filter(F.split(plain, r"(?m)^//[ \t]*$"), lambda x: F.rlike(x, F.lit(r"(?m)^LOCUS")))).alias("pos", "text"))
-    return blocks.select("path", (F.col("pos") + 1).alias("record_index"), "text").mapInPandas(_parse, _PARSED)
+    return files.select("*", F.posexplode(F.filter(F.split(plain, r"(?m)^//[ \t]*$"), lambda x: F.rlike(x, F.lit(r"(?m)^LOCUS")))).alias("pos", "text")).drop("value")
+
+
+def parse_texts(files: DataFrame, strict: bool = True) -> DataFrame:
+    """Parsed records of ``files`` (path, value): one row per record, its features in an array.
+
+    ``strict``: records that can't be read raise, else they are left out.
+    """
+    blocks = _blocks(files.select("path", "value"))
+    return blocks.select("path", (F.col("pos") + 1).alias("record_index"), "text").mapInPandas(_parser([], strict), _PARSED)
 
 
 def tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``records`` and canonical ``features``; features are numbered from 1 through each file."""
     before = Window.partitionBy("path").orderBy("record_index").rowsBetween(Window.unboundedPreceding, -1)
-    counted = parsed.withColumn("offset", F.coalesce(F.sum(F.size("features")).over(before), F.lit(0)))
-    rows = counted.select("path", "record_id", "record_index", "offset", F.col("length").alias("record_length"), "topology", F.posexplode("features").alias("pos", "f"))
+    counts = parsed.select("path", "record_index", F.size("features").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return _split(parsed.join(counts, ["path", "record_index"]))
+
+
+def _split(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = numbered.select("path", "record_id", "record_index", "offset", F.col("length").alias("record_length"), "topology", F.posexplode("features").alias("pos", "f"))
     features = rows.select("path", "record_id", "record_index", (F.col("offset") + F.col("pos") + 1).cast("long").alias("feature_index"), "f.type", "f.location", "f.qualifiers", "record_length", "topology")
-    return parsed.drop("features"), features
+    return numbered.select(*[c.split(" ")[0] for c in RECORD_COLUMNS.split(", ")]), features
+
+
+#: Records whose numbers are broadcast.
+MOST_NUMBERS = 500_000
 
 
-def read_flatfiles(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """``records`` and flat ``features`` (with all derived columns) of files and folders.
+def read_flatfiles(spark: SparkSession, *paths: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``records`` and flat ``features`` (with all derived columns) of files and folders, those within folders too; files
+    without a LOCUS line give nothing.
 
-    Parsing costs far more than reading Parquet: store both tables and query those.
+    A file is read record by record, by its terminator, so it may be of any size and is split over tasks; a record must
+    fit in memory. Files are parsed once, into the shared folder, and both tables read that. Records and features are
+    numbered through each file from the place of their text. Store both tables and query those.
     """
+    scratch = Scratch(spark)
     # bad bytes become U+FFFD, as text readers with replacement do
-    raw = spark.read.format("binaryFile").load(list(paths)).select(F.col("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("value"))
-    records, features = tables(parse_texts(raw))
+    raw = spark.read.option("recursiveFileLookup", True).text(list(paths), lineSep="\n//")
+    files = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("came"), F.make_valid_utf8("value").alias("value"))
+    more = ["block", "came", "pos", "n_features"]
+    blocks = _blocks(files).withColumn("record_index", F.lit(0))
+    parsed = scratch.keep(blocks.mapInPandas(_parser(more, strict), f"{_PARSED}, block long, came long, pos int, n_features int"), "parsed")
+    # one short row per record
+    along = Window.partitionBy("path").orderBy("block", "came", "pos")
+    before = F.coalesce(F.sum("n_features").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbers = scratch.keep(parsed.select("came", "pos", F.row_number().over(along).alias("record_index"), before.alias("offset")), "numbers")
+    numbers = F.broadcast(numbers) if numbers.count() <= MOST_NUMBERS else numbers
+    records, features = _split(parsed.drop("record_index").join(numbers, ["came", "pos"]))
     return records, derive(features)
 
 
+def flatfile_texts(records: DataFrame, features: DataFrame) -> DataFrame:
+    """path and value: each record as flatfile text, by path and number. Its features are gathered in a row.
+
+    Write with partitionBy("path").text(...): partitions hold whole files.
+    """
+    span = lambda p: F.when(p["end0"] == p["start0"], F.concat(p["start0"].cast("string"), F.lit("^"), (p["start0"] + 1).cast("string"))).otherwise(F.concat(p["start_fuzzy"], (p["start0"] + 1).cast("string"), F.lit(".."), p["end_fuzzy"], p["end0"].cast("string")))
+    parts = F.col("location.parts")
+    back = F.forall(parts, lambda p: p["strand"] == -1)
+    turned = lambda p: F.when((p["strand"] == -1) & ~back, F.concat(F.lit("complement("), span(p), F.lit(")"))).otherwise(span(p))
+    listed = F.transform(F.when(back, F.reverse(parts)).otherwise(parts), turned)
+    inner = F.when(F.size(parts) > 1, F.concat(F.coalesce("location.operator", F.lit("join")), F.lit("("), F.array_join(listed, ","), F.lit(")"))).otherwise(F.get(listed, F.lit(0)))
+    # a place that isn't understood stays one
+    where = F.when(parts.isNull(), F.lit("unknown")).when(back, F.concat(F.lit("complement("), inner, F.lit(")"))).otherwise(inner)
+    indent = F.lit("\n" + " " * 21)
+    one = lambda k, v: F.concat(indent, F.lit("/"), k, F.when(v == "", "").otherwise(F.concat(F.lit('="'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))))
+    quals = F.array_join(F.flatten(F.transform(F.map_entries("qualifiers"), lambda e: F.transform(e["value"], lambda v: one(e["key"], v)))), "")
+    own = features.select("path", "record_index", "feature_index", F.concat(F.lit("     "), F.rpad("type", 16, " "), where, quals, F.lit("\n")).alias("t"))
+    own = own.groupBy("path", "record_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feature_index", "t"))), lambda x: x["t"]), "").alias("body"))
+    low = F.lower("seq")
+    line = lambda i: F.concat(F.lpad((i + 1).cast("string"), 9, " "), F.lit(" "), F.substring(low, (i + 1).cast("int"), F.lit(60)))
+    origin = F.when(F.length("seq") > 0, F.concat(F.lit("ORIGIN\n"), F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - 1, F.lit(60).cast("long")), line), "\n"), F.lit("\n"))).otherwise("")
+    text = lambda c, default: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(default))
+    head = F.concat(
+        F.lit("LOCUS       "), "name", F.lit(" "), F.col("length").cast("string"), F.lit(" bp    "), text("molecule_type", "DNA"), F.lit("     "), text("topology", "linear"), F.lit("   "), text("division", "UNK"), F.lit(" "), text("date", "01-JAN-1980"),
+        F.lit("\nDEFINITION  "), text("description", "."), F.lit("\nACCESSION   "), F.array_join("accessions", " "), F.lit("\nVERSION     "), "record_id", F.lit("\nSOURCE      "), text("source", "."), F.lit("\n  ORGANISM  "), text("organism", "."), F.lit("\nFEATURES             Location/Qualifiers\n"),
+    )
+    rows = records.join(own, ["path", "record_index"], "left").select("path", "record_index", F.concat(head, F.coalesce("body", F.lit("")), origin, F.lit("//")).alias("value"))
+    return rows.repartition("path").sortWithinPartitions("path", "record_index").select("path", "value")
+
+
 def find_flatfiles(inputs: Iterable[str], distinct: bool = True) -> list[str]:
-    """Files and folders' files with a flatfile suffix. ``distinct``: resolved, without repeats, by stem then path;
-    otherwise files keep their order, folders are sorted, and repeats stay."""
+    """Files and folders' files with a flatfile suffix. ``distinct``: resolved, without repeats, by stem then path, and
+    others warned of; otherwise files keep their order, folders are sorted, and repeats stay."""
     found: list[str] = []
     for item in map(str, inputs):
         if os.path.isdir(item):
             found += sorted(os.path.join(d, f) for d, _, names in os.walk(item) for f in names if f.lower().endswith(FLATFILE_SUFFIXES))
         elif os.path.isfile(item) and item.lower().endswith(FLATFILE_SUFFIXES):
             found.append(item)
+        elif distinct:
+            print(f"Warning: {item} isn't there or no annotation flatfile", file=sys.stderr)
     if not distinct:
         return found
     stem = lambda p: os.path.splitext(os.path.basename(p))[0]

@@ -14,7 +14,7 @@ class Scratch:
 
     The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own
     and any other master is refused, since a folder of one machine would lose rows there. Writing and rereading cuts
-    the lineage, so a lost executor costs only the stage that it ran.
+    the lineage, so a lost executor costs only the stage that it ran. What isn't dropped before goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -25,6 +25,10 @@ class Scratch:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = os.path.join(tempfile.gettempdir(), "checkpoints", f"strandline-{os.getuid()}")
         self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         self.made += 1
@@ -34,6 +38,14 @@ class Scratch:
         self.paths[id(out)] = (out, path)
         return out
 
+    def store(self, name: str, content: bytes) -> str:
+        """Path of a file with this content."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path)
+        out.write(content)
+        out.close()
+        return path.toString()
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later step reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -13,7 +13,7 @@ from strandline.sources.flatfile import parse_texts, tables
 def stream_texts(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     """path and value of each file that comes into the folder."""
     raw = spark.readStream.format("text").schema("value string").option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).load(folder)
-    return raw.select(F.col("_metadata.file_path").alias("path"), "value")
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("value"))
 
 
 def ingest(spark: SparkSession, folder: str, lake: str, checkpoint: str) -> StreamingQuery:
