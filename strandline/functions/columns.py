@@ -28,23 +28,32 @@ def strand_symbol(strand: Column) -> Column:
     return F.when(strand == 1, "+").when(strand == -1, "-").when(strand == 0, "?").otherwise(".")
 
 
-_KO, _COG, _PFAM, _RFAM = r"(?i)^(?:KEGG:)?(K\d{5})", r"(?i)^(?:COG:)?(COG\d+)", r"(?i)^(?:Pfam:)?(PF\d+)", r"(?i)^(?:Rfam:)?(RF\d+)"
+# what a typed reference looks like, and by what else the residual ones don't begin
+_KO, _COG, _PFAM, _RFAM = r"(?:KEGG:)?(K\d{5})", r"(?:COG:)?(COG\d+)", r"(?:Pfam:)?(PF\d+)", r"(?:Rfam:)?(RF\d+)"
+_PREFIXES = ("GO:", "COG", "PF", "RFAM", "Rfam:", "EC:")
+_RESIDUAL = f"(?!{'|'.join(_PREFIXES)}|(?i:{'|'.join(x.replace('(K', '(?:K').replace('(C', '(?:C').replace('(P', '(?:P').replace('(R', '(?:R') for x in (_KO, _COG, _PFAM, _RFAM))}))"
+_MARK = "\x01"
 
 
 def xrefs(db_xref: Column, note: Column, ec_number: Column) -> Column:
-    """Typed cross-references, each list in order of appearance without repeats."""
-    both = F.concat(db_xref, note)
-    matched = lambda regex: F.array_distinct(F.filter(F.transform(both, lambda x: F.regexp_extract(x, regex, 1)), lambda x: x != ""))
-    prefixed = F.transform(F.filter(both, lambda x: F.startswith(x, F.lit("EC:"))), lambda x: F.substring(x, 4, 1 << 30))
-    typed = lambda x: F.exists(F.array(*map(F.lit, ("GO:", "COG", "PF", "RFAM", "Rfam:", "EC:"))), lambda p: F.startswith(x, p)) | F.rlike(x, F.lit("|".join((_KO, _COG, _PFAM, _RFAM))))
+    """Typed cross-references, each list in order of appearance without repeats.
+
+    The lists are joined, a mark before each entry, and searched as one text: regular expressions run in generated code, functions over
+    list entries don't.
+    """
+    listed = lambda text, regex: F.array_distinct(F.regexp_extract_all(text, F.lit(f"{_MARK}{regex}"), F.lit(1)))
+    joined = lambda a: F.concat(F.lit(_MARK), F.array_join(a, _MARK))
+    both = joined(F.concat(db_xref, note))
+    typed = lambda regex: listed(both, f"(?i:{regex})")
+    rest = F.when(F.size(db_xref) > 0, listed(joined(db_xref), f"({_RESIDUAL}[^{_MARK}]*)")).otherwise(F.array().cast("array<string>"))
     return F.struct(
-        F.array_distinct(F.filter(both, lambda x: F.startswith(x, F.lit("GO:")))).alias("go_terms"),
-        matched(_COG).alias("cog_ids"),
-        matched(_KO).alias("kegg_kos"),
-        matched(_PFAM).alias("pfam"),
-        matched(_RFAM).alias("rfam"),
-        F.array_distinct(F.when(F.size(ec_number) > 0, ec_number).otherwise(prefixed)).alias("ec_numbers"),
-        F.array_distinct(F.filter(db_xref, lambda x: ~typed(x))).alias("db_xrefs"),
+        listed(both, f"(GO:[^{_MARK}]*)").alias("go_terms"),
+        typed(_COG).alias("cog_ids"),
+        typed(_KO).alias("kegg_kos"),
+        typed(_PFAM).alias("pfam"),
+        typed(_RFAM).alias("rfam"),
+        F.when(F.size(ec_number) > 0, F.array_distinct(ec_number)).otherwise(listed(both, f"EC:([^{_MARK}]*)")).alias("ec_numbers"),
+        rest.alias("db_xrefs"),
     )
 
 

@@ -89,6 +89,25 @@ def test_feature_columns(lake):
     assert f.select(columns.qual("gene", "?").alias("g")).where("g = '?'").count() > 0
 
 
+def test_xrefs_brute_force(spark):
+    import random
+    import re
+
+    rng = random.Random(17)
+    words = ["GO:1", "go:2", "COG:COG0007", "cog12", "COGX", "KEGG:K00001", "k00002", "K0000", "xK00003", "Pfam:PF1", "pf02", "PFAM", "Rfam:RF1", "RFAM:1", "rf7", "EC:1.1.1.1", "ec:2", "EC:", "", "UniRef:a", " GO:3", "K000011", "a COG1"]
+    rows = [(i, rng.choices(words, k=rng.randint(0, 5)), rng.choices(words, k=rng.randint(0, 4)), rng.choices(["3.1", "3.2"], k=rng.choice([0, 0, 1, 3]))) for i in range(400)]
+    unique = lambda x: list(dict.fromkeys(x))
+    shapes = {"cog_ids": r"(?:COG:)?(COG\d+)", "kegg_kos": r"(?:KEGG:)?(K\d{5})", "pfam": r"(?:Pfam:)?(PF\d+)", "rfam": r"(?:Rfam:)?(RF\d+)"}
+    got = {r["i"]: r["x"].asDict() for r in spark.createDataFrame(rows, "i int, d array<string>, n array<string>, e array<string>").select("i", columns.xrefs(F.col("d"), F.col("n"), F.col("e")).alias("x")).collect()}
+    for i, d, n, e in rows:
+        both = d + n
+        want = {k: unique(m[1] for x in both if (m := re.match(p, x, re.I))) for k, p in shapes.items()}
+        want["go_terms"] = unique(x for x in both if x.startswith("GO:"))
+        want["ec_numbers"] = unique(e or [x[3:] for x in both if x.startswith("EC:")])
+        want["db_xrefs"] = unique(x for x in d if not x.startswith(("GO:", "COG", "PF", "RFAM", "Rfam:", "EC:")) and not any(re.match(p, x, re.I) for p in shapes.values()))
+        assert got[i] == want, (d, n, e)
+
+
 def test_sequences_and_translation(spark, lake):
     cds = codon_usage.coding_sequences(lake[1], lake[0])
     nt = {r["locus_tag"]: r["nt"] for r in cds.collect()}
