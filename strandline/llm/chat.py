@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from strandline.llm.common import Scratch, map_batches, text_key
 
 END = "</turn>\n"
+#: Parts in which the leaves of a tree are ranked first, so that many leaves of one tree don't meet in a task.
+PARTS = 256
 
 
 def escaped(text: Column) -> Column:
@@ -86,8 +88,11 @@ def reply_paths(messages: DataFrame, top_k: int = 1, unique: bool = False) -> Da
         best = ranked.groupBy("tree").agg(F.max(F.struct("mean", "n", (-F.col("id")).alias("minus"))).alias("b"))
         chosen = best.select("tree", (-F.col("b.minus")).alias("leaf"), F.col("b.n").alias("n"), F.lit(1).alias("branch_rank"))
     else:
-        order = Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("n"), "id")
-        chosen = ranked.withColumn("branch_rank", F.row_number().over(order)).where(F.col("branch_rank") <= top_k).select("tree", F.col("id").alias("leaf"), "n", "branch_rank")
+        # the best of each of many parts of a tree's leaves, and of these the best
+        order = [F.desc("mean"), F.desc("n"), F.asc("id")]
+        parts = ranked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+        first = parts.withColumn("_k", F.row_number().over(Window.partitionBy("tree", "part").orderBy(*order))).where(F.col("_k") <= top_k)
+        chosen = first.withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree").orderBy(*order))).where(F.col("branch_rank") <= top_k).select("tree", F.col("id").alias("leaf"), "n", "branch_rank")
     # from the root's side down: distance of the node from the leaf
     paths = scratch.keep(chosen.select("tree", "leaf", "branch_rank", "n", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("dist")), "paths")
     for k in range(len(jumps) - 1, -1, -1):

@@ -569,7 +569,7 @@ def test_circles_are_refused(spark):
 
 def test_chat_edges(spark):
     schema = "conv_id long, turn long, role string, text string, tree int, id int"
-    hard = "\\</turn>\n### user: x\\\\ ###"
+    hard = "\\</turn>\n### user: x\\\\ ###" * 40_000  # a very long text, too
     rows = [(1, 0, "user", hard, 0, 0), (1, 1, "assistant", None, 0, 0), (1, 1, "assistant", "same", 0, 0), (1, 1, "assistant", "same", 0, 0), (2, None, None, None, 0, 0), (None, 3, "a:b", "x", 0, 0), (3, 5, "assistant", "", 0, 0)]
     got = {r["conv_id"]: r for r in chat.chat_digest(spark.createDataFrame(rows, schema)).collect()}
     assert {k: r["n_turns"] for k, r in got.items()} == {1: 4, 2: 1, None: 1, 3: 1, -7: 2}
