@@ -10,6 +10,8 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,15 +52,30 @@ def slices(batch: pa.RecordBatch, text: str = "text", rows: int = SUB_BATCH) ->
         at = stop
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, arrow: pa.Schema, text: str = "text") -> DataFrame:
-    """``mapInArrow`` over small slices; ``fn`` gives a dict of columns for a slice."""
+@contextlib.contextmanager
+def given_back(forget: Callable[[], None] | None = None):
+    """Around a task's work in Python. Workers outlive tasks, so what a task looked up mustn't stay (``forget``), and what
+    was freed goes back to the system: many idle workers would else hold the most that each of them ever needed."""
+    try:
+        yield
+    finally:
+        if forget:
+            forget()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, arrow: pa.Schema, text: str = "text", forget: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` over small slices; ``fn`` gives a dict of columns for a slice. ``forget``: see ``given_back``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text):
-                got = fn(part)
-                if got is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
+        with given_back(forget):
+            for batch in batches:
+                for part in slices(batch, text):
+                    got = fn(part)
+                    if got is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, raw_texts, slices, text_key, without
+from strandline.llm.common import Scratch, given_back, raw_texts, slices, text_key, without
 
 WINDOW = 5
 LITERALS = 3
@@ -69,12 +69,22 @@ _PLACE = {kind: np.uint64(xxhash.xxh64_intdigest(f"<{kind}>")) for kind in ("num
 
 
 class _Tokens(dict):
-    """Number of each token as it stands in texts; its literal's hash and flags lie in growing arrays."""
+    """Number of each token as it stands in texts; its literal's hash and flags lie in arrays, the newest in lists."""
 
     def __init__(self):
         super().__init__()
-        self.hashes: list[int] = []
-        self.flags: list[int] = []
+        self.hashes, self.flags = np.empty(0, np.uint64), np.empty(0, np.uint8)
+        self.new_hashes: list[int] = []
+        self.new_flags: list[int] = []
+
+    def of(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and flags of tokens."""
+        ids = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+        if self.new_hashes:
+            self.hashes = np.concatenate([self.hashes, np.array(self.new_hashes, np.uint64)])
+            self.flags = np.concatenate([self.flags, np.array(self.new_flags, np.uint8)])
+            self.new_hashes, self.new_flags = [], []
+        return self.hashes[ids], self.flags[ids]
 
     def __missing__(self, raw: bytes) -> int:
         text = raw.decode(errors="replace")
@@ -91,9 +101,9 @@ class _Tokens(dict):
                 flags |= CAPITAL
             if word.lower() in UNITS:
                 flags |= UNIT
-        n = self[raw] = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(word.lower()))
-        self.flags.append(flags)
+        n = self[raw] = len(self)
+        self.new_hashes.append(xxhash.xxh64_intdigest(word.lower()))
+        self.new_flags.append(flags)
         return n
 
 
@@ -132,15 +142,21 @@ def _words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).replace(b"\n", _LINE + b" ").split()
 
 
-def canonical(texts: list[bytes]) -> Canonical:
+#: Tokens that are remembered: some 60 MB.
+MOST_TOKENS = 300_000
+
+
+def _forget() -> None:
     global _TOKENS
-    if len(_TOKENS) > 500_000:
-        _TOKENS = _Tokens()
+    _TOKENS = _Tokens()
+
+
+def canonical(texts: list[bytes]) -> Canonical:
+    if len(_TOKENS) > MOST_TOKENS:
+        _forget()
     split = [_words(t) for t in texts]
     raw = [w for s in split for w in s]
-    ids = np.fromiter(map(_TOKENS.__getitem__, raw), np.int64, len(raw))
-    flags = np.array(_TOKENS.flags, np.uint8)[ids] if len(raw) else np.empty(0, np.uint8)
-    plain = np.array(_TOKENS.hashes, np.uint64)[ids] if len(raw) else np.empty(0, np.uint64)
+    plain, flags = _TOKENS.of(raw)
     text = np.repeat(np.arange(len(texts)), np.array([len(s) for s in split], np.int64))
     first = np.ones(len(raw), bool)
     first[1:] = text[1:] != text[:-1]
@@ -317,14 +333,19 @@ def value_cover(windows) -> int:
     return len({t for w in windows if any(w["slots"]) for t in range(w["place"], w["place"] + w["length"])})
 
 
-_WINDOW = "struct<place:int,length:int,whole:boolean,h:bigint,slots:array<string>>"
-_WINDOW_ARROW = pa.struct([("place", pa.int32()), ("length", pa.int32()), ("whole", pa.bool_()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))])
+_WINDOW = "struct<place:int,length:int,whole:boolean,h:bigint,exact:bigint,slots:array<string>>"
+_WINDOW_ARROW = pa.struct([("place", pa.int32()), ("length", pa.int32()), ("whole", pa.bool_()), ("h", pa.int64()), ("exact", pa.int64()), ("slots", pa.list_(pa.string()))])
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def exact_key(h: int, slots: list[str]) -> int:
+    """Key of a window with its values, signed as its hash is."""
+    return _signed(xxhash.xxh64_intdigest("\x00".join(slots), seed=h & 0xFFFFFFFFFFFFFFFF))
+
+
 def benchmark_items(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """item, item_id, n_items, n_tokens, total, leads and windows of each distinct text that has windows. ``total`` is the
     number of tokens of which a document must cover enough: of those that lead a template all, else those near values."""
@@ -339,7 +360,7 @@ def benchmark_items(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
                 raw = raw_texts(part.column("text"))
                 c, windows = canonical(raw), {}
                 for k, size, place, n, whole, h, slots in item_windows(raw):
-                    windows.setdefault((k, size), []).append({"place": place, "length": n, "whole": whole, "h": _signed(h), "slots": slots})
+                    windows.setdefault((k, size), []).append({"place": place, "length": n, "whole": whole, "h": _signed(h), "exact": exact_key(h, slots), "slots": slots})
                 own = [part.column(name).to_pylist() for name in ("item", "item_id", "n_items")]
                 template = lambda k: _signed(xxhash.xxh64_intdigest(c.hashes[c.starts[k] : c.starts[k + 1]].tobytes()))  # noqa: B023, E731
                 rows = [(*(x[k] for x in own), size, value_cover(w), template(k), w) for (k, size), w in windows.items()]
@@ -352,16 +373,11 @@ def benchmark_items(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(items.join(first, "template").select("item", "item_id", "n_items", "n_tokens", F.when(leads, F.col("n_tokens")).otherwise(F.col("near_values")).alias("total"), leads.alias("leads"), "windows"), "items")
 
 
-def exact(window) -> F.Column:
-    """Key of a window with its values."""
-    return F.xxhash64(window["h"], F.array_join(window["slots"], "\x00"))
-
-
 def item_probes(items: DataFrame) -> DataFrame:
     """key, item: the windows by which documents find each item; with its values unless it leads its template."""
     w = F.col("w")
     rows = items.select("item", "total", "leads", F.explode("windows").alias("w")).where(F.col("leads") | (F.array_max("w.slots") != ""))
-    keyed = rows.select("item", "total", "leads", "w.place", "w.length", F.when(F.col("leads"), w["h"]).otherwise(exact(w)).alias("key"))
+    keyed = rows.select("item", "total", "leads", "w.place", "w.length", F.when(F.col("leads"), w["h"]).otherwise(w["exact"]).alias("key"))
     # how many items have the key; partial sums, no list
     counts = keyed.select("leads", "key", "item").distinct().groupBy("leads", "key").agg(F.count("*").alias("items"))
     grouped = keyed.join(counts, ["leads", "key"]).groupBy("item", "total").agg(F.collect_list(F.struct("place", "length", "key", "items")).alias("w"))  # one text's windows
@@ -395,11 +411,14 @@ class Bits:
     def has(self, keys: np.ndarray) -> np.ndarray:
         """Of uint64 keys: False is sure."""
         mask = np.uint64(self.size - 1)
-        out = np.ones(len(keys), bool)
-        for b in (keys & mask, (keys >> np.uint64(32)) & mask):
-            out &= (self.bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) > 0
+        out = self._bit(keys & mask)
+        maybe = np.flatnonzero(out)
+        out[maybe] = self._bit((keys[maybe] >> np.uint64(32)) & mask)
         return out
 
+    def _bit(self, b: np.ndarray) -> np.ndarray:
+        return (self.bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) > 0
+
 
 @dataclass
 class Lookup:
@@ -434,44 +453,32 @@ _MET_ARROW = pa.schema([("came", pa.int64()), ("doc_id", pa.int64()), ("row_key"
 
 
 def document_hits(rows: DataFrame, lookup: Lookup) -> DataFrame:
-    """Documents (came, doc_id, row_key, text) that hold a probe: their hits and the keys of these, with and without values."""
+    """Documents (came, doc_id, row_key, text) that hold a probe: their hits, and the keys of these that may be probes."""
     shared = rows.sparkSession.sparkContext.broadcast(lookup)
 
+    def met(part: pa.RecordBatch) -> list[tuple]:
+        c = canonical(raw_texts(part.column("text")))
+        hits: dict[int, list] = {}
+        for at, h, n, whole in shared.value.find(c):
+            for a, x in zip(at.tolist(), h.view(np.int64).tolist()):
+                k = int(c.text[a])
+                hits.setdefault(k, []).append({"at": a - int(c.starts[k]), "length": n, "whole": whole, "h": x, "slots": _slots(c, a, n, whole)})
+        out = []
+        for k, found in hits.items():
+            keys = np.unique(np.array([y for x in found for y in (x["h"], exact_key(x["h"], x["slots"]))], np.int64))
+            keys = keys[shared.value.probes.has(keys.view(np.uint64))]
+            if len(keys):
+                out.append((*(part.column(name)[k].as_py() for name in ("came", "doc_id", "row_key")), keys, found))
+        return out
+
     def run(batches):
-        lookup = shared.value
-        for batch in batches:
-            for part in slices(batch):
-                c = canonical(raw_texts(part.column("text")))
-                hits: dict[int, list] = {}
-                for at, h, n, whole in lookup.find(c):
-                    for a, x in zip(at.tolist(), h.view(np.int64).tolist()):
-                        hits.setdefault(int(c.text[a]), []).append({"at": a, "length": n, "whole": whole, "h": x, "slots": _slots(c, a, n, whole)})
-                if hits:
-                    yield pa.RecordBatch.from_arrays([*(pa.array([part.column(name)[k].as_py() for k in hits], pa.int64()) for name in ("came", "doc_id", "row_key")), pa.array([_relative(x, int(c.starts[k])) for k, x in hits.items()], pa.list_(_HIT_ARROW))], names=["came", "doc_id", "row_key", "hits"])
-
-    found = rows.mapInArrow(run, f"came long, doc_id long, row_key long, hits array<{_HIT}>")
-    own = F.transform("hits", lambda x: x["h"])
-    keyed = found.select("came", "doc_id", "row_key", F.array_distinct(F.concat(own, F.transform("hits", exact))).alias("keys"), "hits")
-
-    def probed(batches):
-        lookup = shared.value
-        for batch in batches:
-            keys = batch.column("keys")
-            flat = keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(keys.offsets.to_numpy()))
-            hit = lookup.probes.has(flat)
-            chosen = np.flatnonzero(np.bincount(row[hit], minlength=batch.num_rows))
-            if len(chosen):
-                counts = np.bincount(row[hit], minlength=batch.num_rows)
-                kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat[hit].view(np.int64)))
-                columns = [kept if f.name == "keys" else batch.column(f.name) for f in _MET_ARROW]
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, _MET_ARROW)], schema=_MET_ARROW).take(pa.array(chosen))
-
-    return keyed.mapInArrow(probed, _MET)
-
-
-def _relative(hits: list[dict], start: int) -> list[dict]:
-    return [x | {"at": x["at"] - start} for x in hits]
+        with given_back(_forget):
+            for batch in batches:
+                for part in slices(batch):
+                    if out := met(part):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _MET_ARROW)], schema=_MET_ARROW)
+
+    return rows.mapInArrow(run, _MET)
 
 
 HIT_SCHEMA = "doc_id long, row_key long, item_id long, n_windows long, n_covered long, n_item_tokens long, n_changed long, reparameterised boolean, n_items long"

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import MOST_BROADCAST, Scratch, map_batches, raw_texts, slices, text_key, without
+from strandline.llm.common import MOST_BROADCAST, Scratch, given_back, map_batches, raw_texts, slices, text_key, without
 
 BASE = 1.02
 MISS = 1e-6
@@ -88,6 +88,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _forget() -> None:
+    _WORDS.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(29))
@@ -202,7 +206,7 @@ def signatures(docs: DataFrame, setting: Setting) -> DataFrame:
             out["bands"].append(bands)
         return out | {"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key")}
 
-    return map_batches(docs.select("doc_id", "row_key", "text"), sign, SIG_SCHEMA, SIG_ARROW)
+    return map_batches(docs.select("doc_id", "row_key", "text"), sign, SIG_SCHEMA, SIG_ARROW, forget=_forget)
 
 
 SET_SCHEMA = "doc_id long, n long, shingles binary"
@@ -215,7 +219,7 @@ def _sets(docs: DataFrame, setting: Setting) -> DataFrame:
         ids = [i if i < NO_ID else NO_ID + ((set_key(s)[0] & MASK) >> 2) for i, s in zip(batch.column("doc_id").to_pylist(), sets)]
         return {"doc_id": ids, "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
 
-    return map_batches(docs.select("doc_id", "text"), make, SET_SCHEMA, SET_ARROW)
+    return map_batches(docs.select("doc_id", "text"), make, SET_SCHEMA, SET_ARROW, forget=_forget)
 
 
 def _forest(ids: list[int], pairs) -> list[tuple[int, int]]:
@@ -284,23 +288,24 @@ def _verified(grouped: DataFrame, setting: Setting) -> DataFrame:
         return []
 
     def run(batches):
-        key, members, out = None, [], []
-        for batch in batches:
-            for part in slices(batch, "shingles"):
-                columns = [part.column(c).to_pylist() for c in ("centre", "bi", "bj", "doc_id", "block", "shingles")]
-                for centre, bi, bj, doc, block, blob in zip(*columns):
-                    if (centre, bi, bj) != key:
-                        if key is not None:
-                            out += links(key, members)
-                        key, members = (centre, bi, bj), []
-                    members.append((doc, np.frombuffer(blob, np.uint64), block))
-            if out:
-                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=LINK_ARROW)
-                out = []
-        if key is not None:
-            out = links(key, members)
-            if out:
-                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=LINK_ARROW)
+        with given_back():
+            key, members, out = None, [], []
+            for batch in batches:
+                for part in slices(batch, "shingles"):
+                    columns = [part.column(c).to_pylist() for c in ("centre", "bi", "bj", "doc_id", "block", "shingles")]
+                    for centre, bi, bj, doc, block, blob in zip(*columns):
+                        if (centre, bi, bj) != key:
+                            if key is not None:
+                                out += links(key, members)
+                            key, members = (centre, bi, bj), []
+                        members.append((doc, np.frombuffer(blob, np.uint64), block))
+                if out:
+                    yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=LINK_ARROW)
+                    out = []
+            if key is not None:
+                out = links(key, members)
+                if out:
+                    yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=LINK_ARROW)
 
     return grouped.mapInArrow(run, LINK_SCHEMA)
 

@@ -76,13 +76,16 @@ class Model:
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         self.seen = (share > 0.001).T  # scripts x langs
         self.seen[~self.seen.any(axis=1)] = True
+        self.forget()
+
+    def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.table = np.empty((0, len(langs)), np.float32)
+        self.table = np.empty((0, len(self.langs)), np.float32)
 
     def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each text the scores of its words."""
         if len(self.index) > 300_000:
-            self.index, self.table = {}, self.table[:0]
+            self.forget()
         index = self.index
         new = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in index]
         if new:
@@ -191,4 +194,4 @@ def identify(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) ->
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": lang, "score": score}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, predict, SCHEMA, ARROW)
+    return map_batches(rows, predict, SCHEMA, ARROW, forget=lambda: model.value.forget())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import map_batches, raw_texts, slices
+from strandline.llm.common import given_back, map_batches, raw_texts, slices
 
 try:
     from re import _constants as C
@@ -243,22 +243,23 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     chars = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, names[at]):
-                found = scanner(rules).scan(raw_texts(part.column(at)))
-                if found:
-                    texts = part.column(at).to_pylist()
-                    for i, spans in found.items():
-                        texts[i] = _cut(texts[i], spans, rules)
-                    columns = list(part.columns)
-                    columns[at] = pa.array(texts, part.schema.field(at).type)
-                    if chars is not None:
-                        counts = columns[chars].to_pylist()
-                        for i in found:
-                            counts[i] = len(texts[i])
-                        columns[chars] = pa.array(counts, part.schema.field(chars).type)
-                    part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
-                yield part
+        with given_back():
+            for batch in batches:
+                for part in slices(batch, names[at]):
+                    found = scanner(rules).scan(raw_texts(part.column(at)))
+                    if found:
+                        texts = part.column(at).to_pylist()
+                        for i, spans in found.items():
+                            texts[i] = _cut(texts[i], spans, rules)
+                        columns = list(part.columns)
+                        columns[at] = pa.array(texts, part.schema.field(at).type)
+                        if chars is not None:
+                            counts = columns[chars].to_pylist()
+                            for i in found:
+                                counts[i] = len(texts[i])
+                            columns[chars] = pa.array(counts, part.schema.field(chars).type)
+                        part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
+                    yield part
 
     return docs.mapInArrow(run, docs.schema)
 

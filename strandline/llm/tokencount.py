@@ -114,7 +114,7 @@ class UnitEncoder:
     again, up to ``MOST_WORDS`` and ``MOST_CHARS`` of them. Other models encode each text at once.
     """
 
-    MOST_WORDS, MOST_CHARS = 1_000_000, 1 << 24
+    MOST_WORDS, MOST_CHARS = 400_000, 1 << 23
     PART = 1 << 20
 
     def __init__(self, model_path: str):
@@ -123,9 +123,9 @@ class UnitEncoder:
         self.end = self.sp.eos_id()
         self.lead = len(self.sp.encode("a"))
         self.kind = np.uint16 if self.sp.vocab_size() <= 1 << 16 else np.int32
-        self._forget()
+        self.forget()
 
-    def _forget(self):
+    def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.chars = 0
         self.tokens, self.starts = np.empty(0, self.kind), np.zeros(1, np.int64)
@@ -166,7 +166,7 @@ class UnitEncoder:
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         if len(self.number) > self.MOST_WORDS or self.chars > self.MOST_CHARS:
-            self._forget()
+            self.forget()
         new = [w for w in words if w not in self.number]
         if new:
             got = self.sp.encode(["a " + w for w in new], num_threads=1)
