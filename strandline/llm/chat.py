@@ -141,25 +141,27 @@ def unescaped(text: str) -> str:
     return _ESCAPE.sub(r"\1", text) if "\\" in text else text
 
 
-def linear_messages(conversations: DataFrame) -> DataFrame:
-    """Messages whose parent is the row before in their conversation: tree, id, parent, score, role, text.
+def linear_messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages whose parent is the row before in their conversation: tree, id, parent and score, and tree, id, role, text.
 
-    Rows are put in one order over all partitions, so a long conversation isn't sorted in one task.
+    Rows are put in one order over all partitions, so a long conversation isn't sorted in one task; an id is a row's place.
+    Only ids go on to find the parents, not texts.
     """
     scratch = Scratch(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("tree"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("came"))
-    rows = rows.withColumn("key", text_key(F.col("text")))
     order = ["tree", "turn", "role", "key", "came"]
     n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = scratch.keep(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "turns")
+    dealt = rows.withColumn("key", text_key(F.col("text"))).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the partition in the upper digits, the place in it in the lower ones
+    texts = scratch.keep(dealt.select("tree", F.monotonically_increasing_id().alias("id"), "role", "text"), "texts")
+    ids = texts.select("tree", "id", F.shiftrightunsigned("id", 33).alias("part"))
     # one row per partition
-    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    offsets = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = dealt.withColumn("here", F.row_number().over(Window.partitionBy("part").orderBy(*order))).join(F.broadcast(offsets), "part")
-    numbered = scratch.keep(placed.select("tree", (F.col("before") + F.col("here")).alias("id"), "role", "text"), "messages")
-    scratch.drop(dealt)
-    last = numbered.select((F.col("id") + 1).alias("next"), F.col("tree").alias("last_tree"), F.col("id").alias("last"))
-    return numbered.join(last, F.col("id") == F.col("next"), "left").select("tree", "id", F.when(F.col("tree").eqNullSafe(F.col("last_tree")), F.col("last")).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    ends = ids.groupBy("part").agg(F.max(F.struct("id", "tree")).alias("last"))
+    before = ends.select("part", F.lag("last").over(Window.orderBy("part")).alias("before"))
+    above = F.lag(F.struct("id", "tree")).over(Window.partitionBy("part").orderBy("id"))
+    linked = ids.withColumn("above", above).join(F.broadcast(before), "part").withColumn("above", F.coalesce("above", "before"))
+    nodes = linked.select("tree", "id", F.when(F.col("tree").eqNullSafe(F.col("above.tree")), F.col("above.id")).alias("parent"), F.lit(0.0).alias("score"))
+    return scratch.keep(nodes, "nodes"), texts
 
 
 #: Both turns of the conversation that the contract adds.
@@ -196,9 +198,8 @@ def chat_digest(conversations: DataFrame) -> DataFrame:
     # a null conv_id would not join; it stands for one conversation of its own
     none = F.lit(-(1 << 63)).cast("long")
     rows = rows.unionByName(hostile).withColumn("conv_id", F.coalesce("conv_id", none))
-    scratch = Scratch(spark)
-    messages = scratch.keep(linear_messages(rows), "messages")
-    out = digests(format_paths(messages, reply_paths(messages, unique=True), unique=True))
+    nodes, texts = linear_messages(rows)
+    out = digests(format_paths(texts, reply_paths(nodes, unique=True), unique=True))
     return out.withColumn("conv_id", F.when(F.col("conv_id") != none, F.col("conv_id")))
 
 
