@@ -178,9 +178,9 @@ def gen_resolve(spark, d):
     return out
 
 
-@query(f"WITH {GEN} SELECT {_SHOW} FROM gen WHERE tag = 'DUP10'")
+@query(f"WITH {GEN} SELECT {_SHOW} FROM gen WHERE tag = 'DUP1'")
 def gen_locus_features(spark, d):
-    return search.locus_features(genomes.features(spark, d), "DUP10").select("path", "feature_index", "type", "locus_tag")
+    return search.locus_features(genomes.features(spark, d), "DUP1").select("path", "feature_index", "type", "locus_tag")
 
 
 @query(f"WITH {GEN} SELECT path, ri AS record_index, rid AS record_id FROM rec WHERE doc = 7 UNION ALL SELECT path, ri, rid FROM rec WHERE doc = 9")

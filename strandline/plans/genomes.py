@@ -1,6 +1,6 @@
 """Documents read as genomes with bases: records, and features of every kind that the operators tell apart.
 
-Each document is a record whose letters are bases; forty files share them. A record of 120 bases or more has up to
+Each document is a record whose letters are bases; a file has 25 of them. A record of 120 bases or more has up to
 thirteen features, whose kind, place and qualifiers follow from the number of the document and of the feature: plain and
 joined, partial, over the origin, without a place, without a length, with wrong translations and repeated tags. The same
 rules stand as SQL in ``GEN``.
@@ -18,7 +18,7 @@ from strandline.functions.sequence import ambiguous_table, code_table, reverse_c
 from strandline.plans.views import sequences
 from strandline.sources.scratch import Scratch
 
-FILES, SLOTS, LEAST = 40, 16, 120
+RECORDS, SLOTS, LEAST = 25, 16, 120
 GENES = ("recA", "rpsB", "tnpA", "", "cas9x")
 PRODUCTS = ("DNA recombinase A", "IS5 family transposase", "", "hypothetical protein", "phage tail protein", "30S ribosomal protein S2; 50% = x & y, z | w")
 CAS_PROTEIN = "MNNLKKLAVVAQWERTYIPASDFGHKLCVNMRST" * 2
@@ -32,7 +32,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     bases = F.when(doc % 6 == 0, F.replace("s", F.lit("CCC"), F.lit("CNC"))).otherwise(F.col("s"))
     return d.where("s is not null").select(
-        F.concat(F.lit("g"), (doc % FILES).cast("string"), F.lit(".gb")).alias("path"), (F.floor(doc / FILES) + 1).cast("int").alias("record_index"), F.concat(F.lit("R"), doc.cast("string")).alias("record_id"), F.concat(F.lit("N"), doc.cast("string")).alias("name"),
+        F.concat(F.lit("g"), F.floor(doc / RECORDS).cast("string"), F.lit(".gb")).alias("path"), (doc % RECORDS + 1).cast("int").alias("record_index"), F.concat(F.lit("R"), doc.cast("string")).alias("record_id"), F.concat(F.lit("N"), doc.cast("string")).alias("name"),
         F.concat(F.lit("Document "), doc.cast("string")).alias("description"), F.when((doc % 13 != 0) & (n > 0), bases).alias("seq"), n.cast("long").alias("length"), F.when(doc % 2 == 0, "circular").otherwise("linear").alias("topology"), none.alias("molecule_type"),
         F.lit("UNK").alias("division"), none.alias("date"), F.lit("Fictus").alias("organism"), F.lit("made up").alias("source"), F.array(F.concat(F.lit("A"), doc.cast("string"))).alias("accessions"), F.create_map().cast("map<string,string>").alias("annotations"), doc.alias("doc_id"), bases.alias("bases"),
     )
@@ -62,7 +62,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = lambda t: F.create_map(*[F.lit(x) for kv in ambiguous_table(t).items() for x in kv])
     protein = F.regexp_replace(F.when(doc % 7 == 0, translate(nt, code(4))).otherwise(translate(nt, code(11))), r"\*+$", "")
     text = F.concat(F.lit("G"), doc.cast("string"), F.lit("_"), F.when(k == 1, 2).when(k == 11, 12).otherwise(k).cast("string"))
-    tag = F.when(k.isin(0, 5, 10), F.lit(None)).when((place == 2) & (doc % 10 == 0), F.concat(F.lit("DUP"), (doc % FILES).cast("string"))).otherwise(text)
+    tag = F.when(k.isin(0, 5, 10), F.lit(None)).when((place == 2) & (doc % 10 == 0), F.concat(F.lit("DUP"), F.floor(doc / RECORDS).cast("string"))).otherwise(text)
     pick = lambda values, i: F.array(*map(F.lit, values))[i.cast("int")]
     gene = F.when(place == 2, pick(GENES, doc % 5)).when(k == 6, F.concat(F.lit("cas"), (doc % 5).cast("string"))).when(k.isin(11, 12), "dnaK")
     named = F.when(k == 2, pick(PRODUCTS, doc % 6)).when(k == 3, "joined product").when(k == 4, "partial one").when(k == 6, F.concat(F.lit("CRISPR-associated protein Cas"), (doc % 5).cast("string"))).when(k == 7, "origin protein").when(k == 9, "lost place").when(k == 12, "DnaK chaperone")
@@ -112,7 +112,7 @@ _P = lambda a, b: f"{{'a': CAST({a} AS BIGINT), 'b': CAST({b} AS BIGINT)}}"  # n
 #: rec: the records; gen: the features with bases (nt) and what the parser derives.
 GEN = f"""
     letters AS (SELECT doc_id AS doc, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM documents WHERE text IS NOT NULL),
-    rec AS (SELECT doc, 'g' || doc % {FILES} || '.gb' AS path, CAST(doc // {FILES} + 1 AS INT) AS ri, 'R' || doc AS rid, CASE WHEN doc % 6 = 0 THEN replace(s, 'CCC', 'CNC') ELSE s END AS bases,
+    rec AS (SELECT doc, 'g' || (doc // {RECORDS}) || '.gb' AS path, CAST(doc % {RECORDS} + 1 AS INT) AS ri, 'R' || doc AS rid, CASE WHEN doc % 6 = 0 THEN replace(s, 'CCC', 'CNC') ELSE s END AS bases,
                    CASE WHEN doc % 13 <> 0 AND length(s) > 0 THEN CASE WHEN doc % 6 = 0 THEN replace(s, 'CCC', 'CNC') ELSE s END END AS seq, CAST(length(s) AS BIGINT) AS n, CASE WHEN doc % 2 = 0 THEN 'circular' ELSE 'linear' END AS topology FROM letters),
     g0 AS (SELECT *, CASE k WHEN 1 THEN 2 WHEN 11 THEN 12 ELSE k END AS pl FROM (SELECT *, unnest(range(0, {len(KINDS)})) AS k FROM rec WHERE n >= {LEAST})
            WHERE NOT (k = 7 AND doc % 2 <> 0) AND NOT (k = 8 AND doc % 7 <> 0) AND NOT (k = 9 AND doc % 9 <> 0) AND NOT (k IN (11, 12) AND doc % 3 <> 0)),
@@ -120,7 +120,7 @@ GEN = f"""
     g2 AS (SELECT *, CASE WHEN k = 9 THEN NULL WHEN back THEN -1 ELSE 1 END AS sd,
                   CASE WHEN k = 0 THEN [{_P(0, 'n')}] WHEN pl = 2 THEN [{_P('p - 1', 'p + 59')}] WHEN k IN (3, 12) THEN CASE WHEN back THEN [{_P('p + 39', 'p + 69')}, {_P('p - 1', 'p + 29')}] ELSE [{_P('p - 1', 'p + 29')}, {_P('p + 39', 'p + 69')}] END
                        WHEN k = 4 THEN [{_P('p - 1', 'p + 44')}] WHEN k = 5 THEN [{_P('p - 1', 'p + 20')}] WHEN k = 6 THEN [{_P('p - 1', 'p + 38')}] WHEN k = 7 THEN [{_P('n - 15', 'n')}, {_P(0, 15)}] WHEN k = 8 THEN [{_P('p', 'p')}] WHEN k = 10 THEN [{_P('p - 1', 'p + 9')}] WHEN k = 11 THEN [{_P('p - 1', 'p + 69')}] END AS parts,
-                  CASE WHEN k IN (0, 5, 10) THEN '' WHEN pl = 2 AND doc % 10 = 0 THEN 'DUP' || doc % {FILES} ELSE 'G' || doc || '_' || pl END AS tag,
+                  CASE WHEN k IN (0, 5, 10) THEN '' WHEN pl = 2 AND doc % 10 = 0 THEN 'DUP' || (doc // {RECORDS}) ELSE 'G' || doc || '_' || pl END AS tag,
                   CASE WHEN pl = 2 THEN ({_LIST(GENES)})[CAST(doc % 5 + 1 AS INT)] WHEN k = 6 THEN 'cas' || doc % 5 WHEN k IN (11, 12) THEN 'dnaK' ELSE '' END AS gene,
                   CASE WHEN k = 2 THEN ({_LIST(PRODUCTS)})[CAST(doc % 6 + 1 AS INT)] WHEN k = 3 THEN 'joined product' WHEN k = 4 THEN 'partial one' WHEN k = 6 THEN 'CRISPR-associated protein Cas' || doc % 5 WHEN k = 7 THEN 'origin protein' WHEN k = 9 THEN 'lost place' WHEN k = 12 THEN 'DnaK chaperone' ELSE '' END AS product,
                   CASE WHEN k = 3 AND doc % 3 = 0 THEN 2 ELSE 1 END AS cstart, CASE WHEN k = 2 AND doc % 7 = 0 THEN 4 WHEN k = 2 AND doc % 7 = 1 THEN NULL ELSE 11 END AS tt,
