@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, longest: int, model_path: str | None = None) -> Data
 
     def run(batches):
         encode = unit_encoder(path)
-        with given_back(encode.forget):
+        with given_back(encode.end_task):
             for batch in batches:
                 for part in slices(batch, rows=ROWS):
                     rows = []

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import re
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -111,10 +112,12 @@ class UnitEncoder:
 
     A unit's tokens depend on nothing around it where no piece of the vocabulary goes on from another character to a
     space, by the proof above. So each distinct word of a batch is encoded once, and the words that came before not
-    again, up to ``MOST_WORDS`` and ``MOST_CHARS`` of them. Other models encode each text at once.
+    again, up to ``MOST_WORDS`` and ``MOST_CHARS`` of them in a task; the first ``KEPT_WORDS``, which hold the frequent
+    ones, stay for the next task. Other models encode each text at once.
     """
 
-    MOST_WORDS, MOST_CHARS = 400_000, 1 << 23
+    MOST_WORDS, MOST_CHARS, KEPT_WORDS = 400_000, 1 << 23, 150_000
+    TOGETHER = 500
     PART = 1 << 20
 
     def __init__(self, model_path: str):
@@ -122,6 +125,7 @@ class UnitEncoder:
         self.safe = chunked.plain and not any(p[0] != SPACE and p[1] == SPACE for p in chunked.inside)
         self.end = self.sp.eos_id()
         self.lead = len(self.sp.encode("a"))
+        self.begins = np.array([self.sp.id_to_piece(i).startswith(SPACE) for i in range(self.sp.vocab_size())])
         self.kind = np.uint16 if self.sp.vocab_size() <= 1 << 16 else np.int32
         self.forget()
 
@@ -130,6 +134,13 @@ class UnitEncoder:
         self.chars = 0
         self.tokens, self.starts = np.empty(0, self.kind), np.zeros(1, np.int64)
 
+    def end_task(self) -> None:
+        if len(self.number) > self.KEPT_WORDS:
+            self.number = dict(islice(self.number.items(), self.KEPT_WORDS))
+            self.chars = sum(map(len, self.number))
+            self.starts = self.starts[: self.KEPT_WORDS + 1].copy()
+            self.tokens = self.tokens[: self.starts[-1]].copy()
+
     def ids(self, text: str) -> np.ndarray:
         """Of one text, with any spaces in it."""
         if not self.safe or not text:
@@ -166,16 +177,19 @@ class UnitEncoder:
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         if len(self.number) > self.MOST_WORDS or self.chars > self.MOST_CHARS:
-            self.forget()
+            self.end_task()
+            if self.chars > self.MOST_CHARS:
+                self.forget()
         new = [w for w in words if w not in self.number]
         if new:
-            got = self.sp.encode(["a " + w for w in new], num_threads=1)
-            counts = np.array([len(x) - self.lead for x in got], np.int64)
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
             self.chars += sum(map(len, new))
-            flat = np.fromiter((t for x in got for t in x[self.lead :]), self.kind, int(counts.sum()))
+            # many words at a time, as one text: of each word the first token alone begins with the mark of its space
+            got = self.sp.encode([" ".join(new[i : i + self.TOGETHER]) for i in range(0, len(new), self.TOGETHER)], num_threads=1)
+            flat = np.fromiter(chain.from_iterable(got), self.kind, sum(map(len, got)))
+            begins = np.flatnonzero(self.begins[flat])
+            self.starts = np.concatenate([self.starts, len(self.tokens) + np.append(begins[1:], len(flat))])
             self.tokens = np.concatenate([self.tokens, flat])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
 

@@ -303,6 +303,13 @@ def test_unit_encoding_equals_whole(docs):
     assert [x.tolist() for x in encode.all_ids(pa.array([*texts, None]))] == [*map(encode.sp.encode, texts), []]
     assert [x.tolist() for x in encode.all_ids(pa.array(texts).slice(50, 30))] == [*map(encode.sp.encode, texts[50:80])]
     assert encode.all_ids(pa.array([], pa.string())) == []
+    kept, tokencount.UnitEncoder.KEPT_WORDS = tokencount.UnitEncoder.KEPT_WORDS, 100
+    try:
+        for t in texts * 2:
+            encode.end_task()
+            assert len(encode.number) <= 100 and encode.all_ids(pa.array([t]))[0].tolist() == encode.sp.encode(t)
+    finally:
+        tokencount.UnitEncoder.KEPT_WORDS = kept
     part, tokencount.UnitEncoder.PART = tokencount.UnitEncoder.PART, 50
     try:
         assert all(encode.ids(t).tolist() == encode.sp.encode(t) for t in texts)
