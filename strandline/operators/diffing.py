@@ -56,7 +56,7 @@ class _New:
             self.longest[k] = max(end - start for start, end, _ in x)
 
     def best(self, record, strand, start, end, least: float):
-        """The new feature with the largest overlap, if that is large enough; of equal ones the first."""
+        """(-overlap, idx) of the new feature with the largest overlap, if that is large enough; of equal ones the first."""
         rows = self.by_place.get((record, strand), [])
         best = None
         low = bisect_left(rows, (start - self.longest.get((record, strand), 0),))
@@ -66,7 +66,7 @@ class _New:
                 score = min(shared / max(1, end - start + 1), shared / max(1, b - a + 1))
                 if score >= least and (best is None or (-score, idx) < best):
                     best = (-score, idx)
-        return None if best is None else best[1]
+        return best
 
     def first(self):
         while self.order and self.order[0] not in self.left:
@@ -76,12 +76,11 @@ class _New:
 
 def greedy(old: list[tuple], new: list[tuple], least: float = 0.0, any_place: bool = False) -> list[tuple[int, int]]:
     """In their order the old features (idx, record, strand, start, end) each take the best new one that is left;
-    with ``any_place`` the first one where none overlaps."""
+    with ``any_place`` the first one where none overlaps. Rows that repeat an idx are places of one feature."""
     there, out = _New(new), []
-    for idx, record, strand, start, end in sorted(old):
-        got = there.best(record, strand, start, end, least)
-        if got is None and any_place:
-            got = there.first()
+    for idx, places in groupby(sorted(old, key=lambda r: r[0]), lambda r: r[0]):
+        found = [x for x in (there.best(*place, least) for _, *place in places) if x]
+        got = min(found)[1] if found else there.first() if any_place else None
         if got is not None:
             there.left.discard(got)
             out.append((idx, got))
