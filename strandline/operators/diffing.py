@@ -95,7 +95,9 @@ _PAIR_ARROW = pa.schema([("genome", pa.string()), ("old_idx", pa.int64()), ("new
 def _streamed(rows: DataFrame, by: list[str], least: float, any_place: bool) -> DataFrame:
     """Greedy pairs within each group of rows (by, genome, is_new, idx and place)."""
     columns = ["genome", "is_new", "idx", *_PLACE]
-    dealt = rows.repartition(*by).sortWithinPartitions(*by).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], *columns)
+    # dealt by a digest: Spark leaves out a repartition by keys by which a join dealt the rows, and then may read that
+    # join's shuffle by mapper or cut its partitions, since a map over batches asks for no keys
+    dealt = rows.repartition(F.xxhash64(*by)).sortWithinPartitions(*by).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], *columns)
 
     def run(batches):
         def each():

@@ -82,3 +82,15 @@ def test_nothing_to_compare(spark):
     assert diffing.pair_features(none, none).count() == 0
     changes = diffing.classify(some_, none, diffing.pair_features(some_, none))
     assert [r["classes"] for r in changes.collect()] == [["removed"]] and diffing.diff_counts(some_, none, changes).first()["new_cds_count"] == 0
+
+
+def test_one_keys_rows_are_dealt_for_the_pairing(spark):
+    """The join before the pairing deals by the same key. Its shuffle may be read by mapper once it is a broadcast join, so
+    it can't stand for the pairing's own."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([("", i, "r", 1, 9, 1, f"t{i % 3}", "", "", "p", "", [], []) for i in range(9)], SCHEMA)
+        plan = diffing.by_key(df, df, "locus_tag")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "REPARTITION_BY_COL" in plan
