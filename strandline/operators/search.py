@@ -111,9 +111,9 @@ def neighborhood_of(features: DataFrame, name: str, window: int = 5) -> DataFram
 
 
 def locus_duplicates(features: DataFrame) -> DataFrame:
-    """Locus tags that several CDS of a file share, with their places in order."""
+    """Locus tags that several CDS of a file share, with their places in order; rows that repeat a number by record."""
     place = F.format_string("%s:%d..%d(%s)", "record_id", "start", "end", strand_symbol(F.col("strand")))
-    rows = features.where("type = 'CDS' and locus_tag <> ''").groupBy("path", "locus_tag").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feature_index", place.alias("p")))), lambda x: x["p"]), ", ").alias("places"))
+    rows = features.where("type = 'CDS' and locus_tag <> ''").groupBy("path", "locus_tag").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feature_index", "record_index", "start", "end", place.alias("p")))), lambda x: x["p"]), ", ").alias("places"))
     return rows.where("n > 1")
 
 
