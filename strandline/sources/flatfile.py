@@ -139,15 +139,24 @@ def _parsed_row(text: str, strict: bool) -> dict | None:
         return None
 
 
+#: Features and characters of text that a worker holds parsed at a time; a longer record is held alone.
+MOST_PARSED, MOST_TEXT = 5_000, 4 << 20
+
+
 def _parser(more: list[str], strict: bool):
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame([[r[n] for n in [*_NAMES, *more]] for r in rows], columns=[*_NAMES, *more])
         for pdf in frames:
-            rows = []
+            rows, features, letters = [], 0, 0
             for x, text in zip(pdf.drop(columns="text").to_dict("records"), pdf["text"]):
                 got = _parsed_row(text, strict)
                 if got:
                     rows.append(got | x | {"n_features": len(got["features"])})
-            yield pd.DataFrame([[r[n] for n in [*_NAMES, *more]] for r in rows], columns=[*_NAMES, *more])
+                    features, letters = features + len(got["features"]), letters + len(text)
+                    if features >= MOST_PARSED or letters >= MOST_TEXT:
+                        yield frame(rows)
+                        rows, features, letters = [], 0, 0
+            yield frame(rows)
 
     return parse
 
@@ -168,10 +177,24 @@ def parse_texts(files: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``records`` and canonical ``features``; features are numbered from 1 through each file."""
+    """``records`` and canonical ``features``; features are numbered from 1 through each file.
+
+    ``parsed`` is worked out once, into the shared folder, one row for each record and each feature: readers take
+    thousands of rows at a time, which records with all their features would make large.
+    """
+    scratch = Scratch(parsed.sparkSession)
+    columns = [c.split(" ")[0] for c in RECORD_COLUMNS.split(", ")]
+    record, feature = F.struct(*columns, F.size("features").alias("n")), parsed.schema["features"].dataType.elementType
+    none = F.when(F.lit(False), record)
+    items = F.concat(F.array(F.struct(record.alias("r"), F.lit(None).cast(feature).alias("f"))), F.transform("features", lambda f: F.struct(none.alias("r"), f.alias("f"))))
+    rows = scratch.keep(parsed.select("path", "record_index", F.posexplode(items).alias("pos", "x")).select("path", "record_index", "pos", "x.r", "x.f"), "parsed")
+    records = rows.where("r is not null").select("r.*")
     before = Window.partitionBy("path").orderBy("record_index").rowsBetween(Window.unboundedPreceding, -1)
-    counts = parsed.select("path", "record_index", F.size("features").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return _split(parsed.join(counts, ["path", "record_index"]))
+    numbers = records.select("path", "record_index", "record_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.col("length").alias("record_length"), "topology")
+    numbers = scratch.keep(numbers, "numbers")
+    numbers = F.broadcast(numbers) if numbers.count() <= MOST_NUMBERS else numbers
+    features = rows.where("f is not null").select("path", "record_index", "pos", "f").join(numbers, ["path", "record_index"])
+    return records.drop("n"), features.select("path", "record_id", "record_index", (F.col("offset") + F.col("pos")).cast("long").alias("feature_index"), "f.type", "f.location", "f.qualifiers", "record_length", "topology")
 
 
 def _split(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
