@@ -6,8 +6,12 @@ sequences. The same mapping stands as SQL in ``plans.oracles``.
 
 from __future__ import annotations
 
+import functools
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strandline.functions.columns import PART, xrefs
 from strandline.sources.spread import spread
@@ -86,10 +90,19 @@ def changed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.where(order % 11 != 0).withColumns({"end": moved, "product": renamed, "gene": regened})
 
 
+_BASES = bytes.maketrans(b"abcdefghijklmnopqrstuvwxyz", b"ACGTACGTACGTACGTACGTACGTAC")
+_NO_LETTERS = bytes(x for x in range(256) if not ord("a") <= x <= ord("z"))
+
+
+@functools.partial(F.arrow_udf, returnType=StringType())
+def _bases(low: pa.Array) -> pa.Array:
+    """Letters a to z as bases, nothing else. Worked out once a row, where an expression is repeated wherever it is read."""
+    return pa.array([None if x is None else x.as_buffer().to_pybytes().translate(_BASES, _NO_LETTERS) for x in (v if v.is_valid else None for v in low)], pa.binary()).cast(pa.string())
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source and s: the letters of each document's text as bases."""
-    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", "source", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("s"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "source", _bases(F.lower("text")).alias("s"))
 
 
 def coding(spark: SparkSession, sf_dir: str) -> DataFrame:
