@@ -40,14 +40,20 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat features; derived columns come from locations and qualifiers, as after parsing."""
-    r = records(spark, sf_dir).where(F.col("length") >= LEAST)
     doc, n = F.col("doc_id"), F.col("length")
+    at = lambda place: 1 + (doc * 37 + place * 61) % (n - 100)
+    # what is read of the bases is worked out once a record, before its features, which go without the bases
+    nt = F.substring("bases", at(2).cast("int"), F.lit(60))
+    nt = F.when(doc % 4 >= 2, reverse_complement(nt)).otherwise(nt)
+    code = lambda t: F.create_map(*[F.lit(x) for kv in ambiguous_table(t).items() for x in kv])
+    protein = F.regexp_replace(F.when(doc % 7 == 0, translate(nt, code(4))).otherwise(translate(nt, code(11))), r"\*+$", "")
+    r = records(spark, sf_dir).where(n >= LEAST).select("path", "record_id", "record_index", "length", "topology", "doc_id", F.when((doc % 4).isin(0, 3), protein).alias("protein"))
     rows = r.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(KINDS) - 1))))
     k = F.col("k")
     there = ~((k == 7) & (doc % 2 != 0)) & ~((k == 8) & (doc % 7 != 0)) & ~((k == 9) & (doc % 9 != 0)) & ~(k.isin(11, 12) & (doc % 3 != 0))
     # a gene lies where its CDS does
     place = F.when(k == 1, 2).when(k == 11, 12).otherwise(k)
-    rows = rows.where(there).withColumn("p", 1 + (doc * 37 + place * 61) % (n - 100)).withColumn("kind", F.array(*map(F.lit, KINDS))[k])
+    rows = rows.where(there).withColumn("p", at(place)).withColumn("kind", F.array(*map(F.lit, KINDS))[k])
     p, back = F.col("p"), F.when(place == 2, doc % 4 >= 2).when(k == 3, doc % 2 == 1).otherwise(k == 6)
     part = lambda a, b, low="": F.struct(F.lit(a).cast("long").alias("start0") if isinstance(a, int) else a.cast("long").alias("start0"), b.cast("long").alias("end0"), F.when(back, -1).otherwise(1).alias("strand"), F.lit(low).alias("start_fuzzy"), F.lit("").alias("end_fuzzy"))
     two = lambda a, b, c, d: F.when(back, F.array(part(c, d), part(a, b))).otherwise(F.array(part(a, b), part(c, d)))
@@ -57,15 +63,12 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     operator = F.when(k.isin(3, 7, 12), "join")
     location = F.when(parts.isNotNull(), F.struct(operator.alias("operator"), parts.alias("parts")))
-    nt = F.substring("bases", p.cast("int"), F.lit(60))
-    nt = F.when(doc % 4 >= 2, reverse_complement(nt)).otherwise(nt)
-    code = lambda t: F.create_map(*[F.lit(x) for kv in ambiguous_table(t).items() for x in kv])
-    protein = F.regexp_replace(F.when(doc % 7 == 0, translate(nt, code(4))).otherwise(translate(nt, code(11))), r"\*+$", "")
     text = F.concat(F.lit("G"), doc.cast("string"), F.lit("_"), F.when(k == 1, 2).when(k == 11, 12).otherwise(k).cast("string"))
     tag = F.when(k.isin(0, 5, 10), F.lit(None)).when((place == 2) & (doc % 10 == 0), F.concat(F.lit("DUP"), F.floor(doc / RECORDS).cast("string"))).otherwise(text)
     pick = lambda values, i: F.array(*map(F.lit, values))[i.cast("int")]
     gene = F.when(place == 2, pick(GENES, doc % 5)).when(k == 6, F.concat(F.lit("cas"), (doc % 5).cast("string"))).when(k.isin(11, 12), "dnaK")
     named = F.when(k == 2, pick(PRODUCTS, doc % 6)).when(k == 3, "joined product").when(k == 4, "partial one").when(k == 6, F.concat(F.lit("CRISPR-associated protein Cas"), (doc % 5).cast("string"))).when(k == 7, "origin protein").when(k == 9, "lost place").when(k == 12, "DnaK chaperone")
+    protein = F.col("protein")
     protein = F.when(k == 2, F.when(doc % 4 == 0, protein).when(doc % 4 == 2, "MKV").when(doc % 4 == 3, F.concat(F.lit("M"), F.substring(protein, 2, 100)))).when(k == 6, CAS_PROTEIN).when(k == 12, CHAPERONE)
     one = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.array(c))
     quals = {

@@ -37,3 +37,12 @@ def test_bases_as_before(spark):
     plain = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
     got = rows.select(plain.alias("a"), views._bases(F.lower("text")).alias("b")).collect()
     assert [r["a"] for r in got] == [r["b"] for r in got]
+
+
+def test_features_go_without_bases(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, label: kept.append(df) or df)
+    genomes.features(spark, SMALL)
+    plan = plan_of(kept[0])
+    # all that reads bases is below the step that makes several features of a record
+    assert "substring(bases" not in plan[: plan.index("Generate")] and "replace(s" not in plan[: plan.index("Generate")]
