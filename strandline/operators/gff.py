@@ -136,18 +136,29 @@ def gff_body(features: DataFrame) -> DataFrame:
     return named.select("path", "record_index", "feature_index", "sub", line.alias("line"))
 
 
-def gff_lines(features: DataFrame, records: DataFrame, include_fasta: bool = False) -> DataFrame:
-    """path and line of the whole files in order, with the columns that give it."""
+def _place(df: DataFrame, part: int, record: Column, line: Column) -> DataFrame:
     zero = lambda c: F.lit(0).cast("long" if c == "feature_index" else "int").alias(c)
-    place = lambda df, part, record, line: df.select("path", F.lit(part).alias("part"), record.cast("int").alias("record_index"), zero("feature_index"), zero("sub"), line.alias("line"))
+    return df.select("path", F.lit(part).alias("part"), record.cast("int").alias("record_index"), zero("feature_index"), zero("sub"), line.alias("line"))
+
+
+def fasta_lines(records: DataFrame) -> DataFrame:
+    """The bases at the end of whole files: a mark for each file and an entry for each record, as in ``unordered_lines``."""
+    with_seq = records.where("length(seq) > 0")
+    mark = _place(with_seq.select("path").distinct(), 3, F.lit(0), F.lit("##FASTA"))
+    return mark.unionByName(_place(with_seq, 4, F.col("record_index"), F.concat(F.lit(">"), F.col("record_id"), F.lit("\n"), F.regexp_replace("seq", "(.{60})(?!$)", "$1\n"))))
+
+
+def unordered_lines(features: DataFrame, records: DataFrame, include_fasta: bool = False) -> DataFrame:
+    """path and line of the whole files, with part, record_index, feature_index and sub, which give the order."""
     body = gff_body(features).select("path", F.lit(2).alias("part"), "record_index", "feature_index", "sub", "line")
     ends = features.groupBy("path", "record_index").agg(F.max("end").alias("most"))
-    head = place(records.select("path").distinct(), 0, F.lit(0), F.lit("##gff-version 3"))
+    head = _place(records.select("path").distinct(), 0, F.lit(0), F.lit("##gff-version 3"))
     size = F.when(F.col("length") > 0, F.col("length")).otherwise(F.coalesce("most", F.lit(1)))
-    regions = place(records.join(ends, ["path", "record_index"], "left"), 1, F.col("record_index"), F.concat_ws(" ", F.lit("##sequence-region"), "record_id", F.lit("1"), size.cast("string")))
+    regions = _place(records.join(ends, ["path", "record_index"], "left"), 1, F.col("record_index"), F.concat_ws(" ", F.lit("##sequence-region"), "record_id", F.lit("1"), size.cast("string")))
     out = head.unionByName(regions).unionByName(body)
-    if include_fasta:
-        with_seq = records.where("length(seq) > 0")
-        mark = place(with_seq.select("path").distinct(), 3, F.lit(0), F.lit("##FASTA"))
-        out = out.unionByName(mark).unionByName(place(with_seq, 4, F.col("record_index"), F.concat(F.lit(">"), F.col("record_id"), F.lit("\n"), F.regexp_replace("seq", "(.{60})(?!$)", "$1\n"))))
-    return out.orderBy("path", "part", "record_index", "feature_index", "sub")
+    return out.unionByName(fasta_lines(records)) if include_fasta else out
+
+
+def gff_lines(features: DataFrame, records: DataFrame, include_fasta: bool = False) -> DataFrame:
+    """``unordered_lines`` in order."""
+    return unordered_lines(features, records, include_fasta).orderBy("path", "part", "record_index", "feature_index", "sub")

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence
-from strandline.operators import validation
-from strandline.plans import genomes, queries, views
+from strandline.operators import codon_usage, intervals, validation
+from strandline.plans import genome_queries, genomes, queries, views
 from strandline.sources.scratch import Scratch
 from tests.conftest import SMALL
 
@@ -46,3 +46,8 @@ def test_features_go_without_bases(spark, monkeypatch):
     plan = plan_of(kept[0])
     # all that reads bases is below the step that makes several features of a record
     assert "substring(bases" not in plan[: plan.index("Generate")] and "replace(s" not in plan[: plan.index("Generate")]
+
+
+def test_gff_fasta_without_features(spark, monkeypatch):
+    monkeypatch.setattr(genomes, "features", lambda *_: pytest.fail("features were worked out"))
+    assert genome_queries.gen_gff_fasta(spark, SMALL).columns == ["path", "record_index", "line"]
