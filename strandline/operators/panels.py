@@ -12,6 +12,7 @@ from strandline.functions.fixed_values import CAS_KEYWORDS, PATHWAYS, REPEAT_KEY
 from strandline.operators.intervals import distance, islands, range_join
 from strandline.operators.operons import operon_pairs
 from strandline.sources.dimensions import load_rules, marker_dimension, pathway_dimension
+from strandline.sources.scratch import Scratch
 
 # The dimensions below are lists of tens of rows that are part of the program or a user's rule file; broadcasting them
 # avoids a cross product by shuffle.
@@ -122,6 +123,12 @@ def discovery_hits(features: DataFrame, ruleset: str = "mobilome", rules_file: s
     return hits.withColumn("weight", F.aggregate("matches", F.lit(0), lambda a, x: a + x["weight"])).where(F.col("weight") >= min_weight)
 
 
+def kept_hits(hits: DataFrame) -> DataFrame:
+    """The columns of hits that islands, tables and documents read, written first: they read them several times."""
+    columns = ("path", "record_index", "record_id", "feature_index", "start", "end", "strand", "locus_tag", "gene", "product", "matches", "weight")
+    return Scratch(hits.sparkSession).keep(hits.select(*columns), "hits")
+
+
 def discovery_islands(hits: DataFrame, cluster_gap: int = 5000, least_hits: int = 2, least_weight: int = 4) -> DataFrame:
     """Hits with the number of their island on the record; each starts at most ``cluster_gap`` after the one before ends."""
     if cluster_gap < 0:
@@ -178,8 +185,8 @@ def discovery_document(features: DataFrame, ruleset: str = "mobilome", rules_fil
     if operon_gap < 0:
         raise ValueError("gaps must not be negative")
     keys = ["path", "record_index"]
-    found = discovery_hits(features, ruleset, rules_file, min_weight, rules)
-    members = discovery_islands(found, cluster_gap)
+    found = kept_hits(discovery_hits(features, ruleset, rules_file, min_weight, rules))
+    members = Scratch(features.sparkSession).keep(discovery_islands(found, cluster_gap), "members")
 
     def shaped(df, *more):
         own = df.withColumn("contig", F.col("record_id")).withColumn("symbol", strand_symbol(F.col("strand")))
@@ -191,7 +198,7 @@ def discovery_document(features: DataFrame, ruleset: str = "mobilome", rules_fil
     index = lambda name, *more: found.select(*keys, F.col("feature_index").alias(name), *more)
     pairs = operon_pairs(features, operon_gap).join(index("first_index", "start"), [*keys, "first_index"]).join(index("second_index"), [*keys, "second_index"])
     link = F.struct(F.col("record_id").alias("contig"), _dash("first_tag").alias("first_locus_tag"), _dash("second_tag").alias("second_locus_tag"), F.col("first_index").alias("first_feature_index"), F.col("second_index").alias("second_feature_index"), "gap")
-    pairs = pairs.select(*keys, "start", "first_index", "second_index", link.alias("link"))
+    pairs = Scratch(features.sparkSession).keep(pairs.select(*keys, "start", "first_index", "second_index", link.alias("link")), "links")
     links = in_order(pairs, ["path"], ["record_index", "start", "first_index"], "link", "operon_links")
     at = lambda name: members.select(*keys, F.col("feature_index").alias(name), "island")
     within = pairs.join(at("first_index"), [*keys, "first_index"]).join(at("second_index"), [*keys, "second_index", "island"])

@@ -70,3 +70,8 @@ def test_only_coding_features_meet_bases(spark):
     assert len(joins) == 1
     found = validation.unordered_findings(f, r)
     assert found.where("code = 'TRANSLATION_EXTRACTION_ERROR'").count() == f.where("type = 'CDS' and location is null").count() > 0
+
+
+def test_rules_are_matched_once(spark):
+    for query in (genome_queries.gen_discovery_table, genome_queries.gen_discovery_document):
+        assert "Contains(" not in (plan := plan_of(query(spark, SMALL))) and "contains(" not in plan.lower()
