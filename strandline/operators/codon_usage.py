@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import codon_dimension, codons, extract, table_id
+from strandline.sources.scratch import Scratch
 
 
 def coding_sequences(features: DataFrame, records: DataFrame) -> DataFrame:
@@ -44,9 +45,12 @@ def codon_counts(cds: DataFrame) -> DataFrame:
 def codon_usage(cds: DataFrame) -> DataFrame:
     """All sense codons of the tables that occur, with count, share per thousand of all sense codons, and RSCU."""
     dim = codon_dimension(cds.sparkSession)
-    sense = codon_counts(cds).where("aa is not null and not is_stop").groupBy("table_id", "codon").agg(F.sum("n").alias("n"))
-    tables = cds.where("table_id is not null and coalesce(reason, '') in ('', 'nontriplet')").select("table_id").distinct()
-    full = dim.where("not is_stop and aa <> '*'").join(F.broadcast(tables), "table_id").join(sense, ["table_id", "codon"], "left").na.fill(0, ["n"])
+    # one pass over the CDS: a table's row without a codon stands for those whose codons don't count
+    listed = F.when(F.col("reason").isNull(), codons(F.col("nt")))
+    rows = cds.where("table_id is not null and coalesce(reason, '') in ('', 'nontriplet')").select("table_id", F.explode_outer(listed).alias("codon"))
+    counted = Scratch(cds.sparkSession).keep(rows.groupBy("table_id", "codon").agg(F.count("*").alias("n")), "codons")
+    sense = counted.join(F.broadcast(dim.where("aa is not null and not is_stop")), ["table_id", "codon"]).select("table_id", "codon", "n")
+    full = dim.where("not is_stop and aa <> '*'").join(F.broadcast(counted.select("table_id").distinct()), "table_id").join(sense, ["table_id", "codon"], "left").na.fill(0, ["n"])
     family = F.sum("n").over(Window.partitionBy("table_id", "aa"))
     whole = F.sum("n").over(Window.partitionBy())  # over 64 rows a table
     rscu = F.when(family > 0, F.col("n") * F.col("family") / family).otherwise(F.lit(0.0))

@@ -86,3 +86,13 @@ def test_compared_features_are_narrow(spark, monkeypatch):
     monkeypatch.setattr(Scratch, "keep", lambda self, df, label: kept.setdefault(label, df) and keep(self, df, label))
     genome_queries._old_new(spark, SMALL)
     assert "qualifiers" not in kept["old"].columns and kept["old"].where("type <> 'CDS'").isEmpty()
+
+
+def test_codons_are_counted_once(spark):
+    assert "Generate" not in plan_of(genome_queries.gen_codon_tsv(spark, SMALL))
+
+
+def test_table_without_codons_is_listed(spark):
+    rows = [("ATGAAATAA", 11, None), ("ATG", 4, "nontriplet"), ("ATG", 5, "pseudo")]
+    got = codon_usage.codon_usage(spark.createDataFrame(rows, "nt string, table_id int, reason string")).collect()
+    assert {r["table_id"] for r in got} == {4, 11} and sorted(r["codon"] for r in got if r["count"]) == ["AAA", "ATG"]
