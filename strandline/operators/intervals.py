@@ -57,7 +57,8 @@ def ordinal_window(targets: DataFrame, features: DataFrame, window: int, circula
     """
     if window < 0:
         raise ValueError("window must not be negative")
-    cds = numbered_cds(features)
+    # records without a target need no numbers
+    cds = numbered_cds(features.join(targets.select("path", "record_index").distinct(), ["path", "record_index"], "left_semi"))
     keys = ["path", "record_index", "feature_index"]
     centre = cds.join(targets.select(*keys), keys, "left_semi").select("path", "record_index", F.col("feature_index").alias("target_index"), F.col("i").alias("_i"), F.col("n").alias("_n"))
     wanted = centre.withColumn("offset", F.explode(F.sequence(F.lit(-window), F.lit(window)))).withColumn("i", F.pmod(F.col("_i") + F.col("offset"), F.col("_n")) if circular else F.col("_i") + F.col("offset"))

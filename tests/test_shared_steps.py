@@ -96,3 +96,9 @@ def test_table_without_codons_is_listed(spark):
     rows = [("ATGAAATAA", 11, None), ("ATG", 4, "nontriplet"), ("ATG", 5, "pseudo")]
     got = codon_usage.codon_usage(spark.createDataFrame(rows, "nt string, table_id int, reason string")).collect()
     assert {r["table_id"] for r in got} == {4, 11} and sorted(r["codon"] for r in got if r["count"]) == ["AAA", "ATG"]
+
+
+def test_numbers_only_where_targets_are(spark):
+    f = genomes.features(spark, SMALL)
+    plan = plan_of(intervals.ordinal_window(f.where("gene = 'dnaK' and type = 'CDS'"), f, 2, True))
+    assert plan.index("Window") < plan.rindex("LeftSemi")
