@@ -249,9 +249,10 @@ def flatfile_texts(records: DataFrame, features: DataFrame) -> DataFrame:
     quals = F.array_join(F.flatten(F.transform(F.map_entries("qualifiers"), lambda e: F.transform(e["value"], lambda v: one(e["key"], v)))), "")
     own = features.select("path", "record_index", "feature_index", F.concat(F.lit("     "), F.rpad("type", 16, " "), where, quals, F.lit("\n")).alias("t"))
     own = own.groupBy("path", "record_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feature_index", "t"))), lambda x: x["t"]), "").alias("body"))
-    low = F.lower("seq")
-    line = lambda i: F.concat(F.lpad((i + 1).cast("string"), 9, " "), F.lit(" "), F.substring(low, (i + 1).cast("int"), F.lit(60)))
-    origin = F.when(F.length("seq") > 0, F.concat(F.lit("ORIGIN\n"), F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - 1, F.lit(60).cast("long")), line), "\n"), F.lit("\n"))).otherwise("")
+    # cut once: a piece taken by its place would read the bases up to there again for each line
+    pieces = F.regexp_extract_all(F.lower("seq"), F.lit("(?s).{1,60}"), F.lit(0))
+    line = lambda x, i: F.concat(F.lpad((i * 60 + 1).cast("string"), 9, " "), F.lit(" "), x)
+    origin = F.when(F.length("seq") > 0, F.concat(F.lit("ORIGIN\n"), F.array_join(F.transform(pieces, line), "\n"), F.lit("\n"))).otherwise("")
     text = lambda c, default: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(default))
     head = F.concat(
         F.lit("LOCUS       "), "name", F.lit(" "), F.col("length").cast("string"), F.lit(" bp    "), text("molecule_type", "DNA"), F.lit("     "), text("topology", "linear"), F.lit("   "), text("division", "UNK"), F.lit(" "), text("date", "01-JAN-1980"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from strandline.functions import sequence
 from strandline.operators import codon_usage, intervals, validation
 from strandline.plans import genome_queries, genomes, queries, views
+from strandline.sources import flatfile
 from strandline.sources.scratch import Scratch
 from tests.conftest import SMALL
 
@@ -102,3 +103,14 @@ def test_numbers_only_where_targets_are(spark):
     f = genomes.features(spark, SMALL)
     plan = plan_of(intervals.ordinal_window(f.where("gene = 'dnaK' and type = 'CDS'"), f, 2, True))
     assert plan.index("Window") < plan.rindex("LeftSemi")
+
+
+def test_lines_of_bases_are_cut_once(spark):
+    f, r = genomes.features(spark, SMALL), genomes.records(spark, SMALL)
+    for n in (1, 60, 61, 120, 125):
+        one = r.where("seq is not null").limit(1).withColumn("seq", F.repeat(F.lit("ACGTN"), 25).substr(1, n))
+        rows = flatfile.flatfile_texts(one, f.limit(0))
+        lines = rows.first()["value"].split("ORIGIN\n")[1].split("\n")[:-1]
+        assert lines == [f"{i + 1:>9} {('acgtn' * 25)[i : min(i + 60, n)]}" for i in range(0, n, 60)]
+    # before, each line put the whole bases into small letters and counted up to its place
+    assert "sequence(" not in plan_of(flatfile.flatfile_texts(r, f))
