@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import functools
 import re
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +117,8 @@ class UnitEncoder:
     """
 
     MOST_WORDS, MOST_CHARS, KEPT_WORDS = 400_000, 1 << 23, 150_000
-    TOGETHER = 500
+    #: Words that are encoded as one text: more cost more each, as the encoder sorts all their pairs together.
+    TOGETHER = 16
     PART = 1 << 20
 
     def __init__(self, model_path: str):
@@ -130,14 +131,12 @@ class UnitEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.chars = 0
+        self.number = pa.array([], pa.string())  # each word stands at its number
         self.tokens, self.starts = np.empty(0, self.kind), np.zeros(1, np.int64)
 
     def end_task(self) -> None:
         if len(self.number) > self.KEPT_WORDS:
-            self.number = dict(islice(self.number.items(), self.KEPT_WORDS))
-            self.chars = sum(map(len, self.number))
+            self.number = self.number.take(pa.array(np.arange(self.KEPT_WORDS)))
             self.starts = self.starts[: self.KEPT_WORDS + 1].copy()
             self.tokens = self.tokens[: self.starts[-1]].copy()
 
@@ -163,34 +162,38 @@ class UnitEncoder:
         out: list[np.ndarray] = [None] * len(texts)
         for i in np.flatnonzero(~plain).tolist():
             out[i] = self.ids(texts[i].as_py())
-        split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
-        words = split.flatten().dictionary_encode()
-        known = self._numbers(words.dictionary.to_pylist())
-        word = known[words.indices.to_numpy()]
-        counts = (self.starts[1:] - self.starts[:-1])[word]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        tokens = self.tokens[np.repeat(self.starts[word] - ends[:-1], counts) + np.arange(ends[-1])]
-        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()] if len(split) else [0]
-        for k, i in enumerate(np.flatnonzero(plain).tolist()):
-            out[i] = tokens[cuts[k] : cuts[k + 1]]
+        if plain.any():
+            split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+            word = self._numbers(split.flatten())
+            size = self.tokens.itemsize
+            known = pa.Array.from_buffers(pa.large_binary(), len(self.number), [None, pa.py_buffer(self.starts * size), pa.py_buffer(self.tokens)])
+            _, ends, tokens = known.take(word).buffers()
+            ends, tokens = np.frombuffer(ends, np.int64, len(word) + 1) // size, np.frombuffer(tokens, self.kind)
+            cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+            for k, i in enumerate(np.flatnonzero(plain).tolist()):
+                out[i] = tokens[cuts[k] : cuts[k + 1]]
         return out
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > self.MOST_WORDS or self.chars > self.MOST_CHARS:
+    def _numbers(self, words: pa.Array) -> pa.Array:
+        """The number of each word. One dictionary over the words that came before and these: those keep their numbers."""
+        chars = lambda: pc.sum(pc.binary_length(self.number)).as_py() or 0
+        if len(self.number) > self.MOST_WORDS or chars() > self.MOST_CHARS:
             self.end_task()
-            if self.chars > self.MOST_CHARS:
+            if chars() > self.MOST_CHARS:
                 self.forget()
-        new = [w for w in words if w not in self.number]
-        if new:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.chars += sum(map(len, new))
-            # many words at a time, as one text: of each word the first token alone begins with the mark of its space
-            got = self.sp.encode([" ".join(new[i : i + self.TOGETHER]) for i in range(0, len(new), self.TOGETHER)], num_threads=1)
+        before = len(self.number)
+        numbered = pa.chunked_array([self.number, words]).dictionary_encode().chunks[-1]
+        self.number = numbered.dictionary
+        if new := len(self.number) - before:
+            # several words at a time, as one text: of each word the first token alone begins with the mark of its space
+            at = np.append(np.arange(0, new, self.TOGETHER), new)
+            together = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), self.number[before:]), " ")
+            got = self.sp.encode(together.to_pylist(), num_threads=1)
             flat = np.fromiter(chain.from_iterable(got), self.kind, sum(map(len, got)))
             begins = np.flatnonzero(self.begins[flat])
             self.starts = np.concatenate([self.starts, len(self.tokens) + np.append(begins[1:], len(flat))])
             self.tokens = np.concatenate([self.tokens, flat])
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return numbered.indices
 
 
 # the mark that stands for a space counts as one

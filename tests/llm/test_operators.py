@@ -317,6 +317,27 @@ def test_unit_encoding_equals_whole(docs):
         tokencount.UnitEncoder.PART = part
 
 
+def test_words_are_numbered_in_arrow(monkeypatch):
+    """Words keep their numbers from batch to batch, only new ones are encoded, and few together."""
+    encode = tokencount.UnitEncoder(tokencount.default_model_path())
+    sp, given = encode.sp, []
+
+    class Recorded:
+        def encode(self, texts, **more):
+            given.extend(texts)
+            return sp.encode(texts, **more)
+
+    monkeypatch.setattr(encode, "sp", Recorded())
+    batches = [[" ".join(f"w{i}é," for i in range(a, b)) for a, b in ((0, 90), (30, 120))], ["w1é, new w119é, new", None, "w1é,"], ["a b", "new\nw1é, w1é,"]]
+    for texts in batches:
+        assert [x.tolist() for x in encode.all_ids(pa.array(texts))] == [sp.encode(t or "") for t in texts]
+    words = list(dict.fromkeys(w for texts in batches for t in texts if t for w in t.split(" ")))
+    assert encode.number.to_pylist() == words == " ".join(given).split(" ")
+    assert max(len(t.split(" ")) for t in given) <= 16
+    monkeypatch.setattr(tokencount.UnitEncoder, "MOST_CHARS", 50)
+    assert encode.all_ids(pa.array(["w5é, b"]))[0].tolist() == sp.encode("w5é, b") and len(encode.number) == 2
+
+
 # ---- 5: quality
 
 
