@@ -20,6 +20,12 @@ def qual(key: str, default: str = "") -> Column:
     return F.coalesce(F.try_element_at(quals(key), F.lit(1)), F.lit(default))
 
 
+def once(c: Column) -> Column:
+    """``c``, worked out once a row: an expression is else repeated by each filter above it and wherever it is read. Filters
+    on other columns pass below."""
+    return F.explode(F.array(c))
+
+
 def notes_with(prefix: str) -> Column:
     return F.filter(quals("note"), lambda x: F.startswith(x, F.lit(prefix)))
 

@@ -153,11 +153,21 @@ def table_id(raw: Column) -> Column:
     return F.when(n.isin(*CODE_CHANGES), n)
 
 
-def extract(seq: Column, parts: Column) -> Column:
-    """Bases of a location: its parts in biological order, those on the reverse strand complemented; null without bases."""
+def byte_each(seq: Column) -> Column:
+    """Whether each letter is one byte, as ``extract`` can use."""
+    return F.octet_length(seq) == F.length(seq)
+
+
+def extract(seq: Column, parts: Column, plain: Column | bool = False) -> Column:
+    """Bases of a location: its parts in biological order, those on the reverse strand complemented; null without bases.
+
+    ``plain`` tells, from one look at the record, that each letter is a byte: then parts are cut out by their place, where
+    letters are else counted from the record's start for every part.
+    """
 
     def one(p):
-        s = F.substring(seq, (p["start0"] + 1).cast("int"), (p["end0"] - p["start0"]).cast("int"))
+        at, size = (p["start0"] + 1).cast("int"), (p["end0"] - p["start0"]).cast("int")
+        s = F.when(F.lit(plain), F.substring(seq.cast("binary"), at, size).cast("string")).otherwise(F.substring(seq, at, size))
         return F.when(p["strand"] == -1, reverse_complement(s)).otherwise(s)
 
     return F.when(seq.isNotNull(), F.array_join(F.transform(parts, one), ""))

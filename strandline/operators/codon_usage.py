@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.sequence import codon_dimension, codons, extract, table_id
+from strandline.functions.columns import once
+from strandline.functions.sequence import byte_each, codon_dimension, codons, extract, table_id
 from strandline.sources.scratch import Scratch
 
 
 def coding_sequences(features: DataFrame, records: DataFrame) -> DataFrame:
     """CDS with ``nt``: their bases from the first codon on; null without a sequence."""
-    seqs = records.select("path", "record_index", F.upper("seq").alias("seq"))
+    seqs = records.select("path", "record_index", F.upper("seq").alias("seq"), byte_each(F.upper("seq")).alias("_plain"))
     joined = features.where("type = 'CDS'").join(seqs, ["path", "record_index"], "left")
-    return joined.withColumn("nt", F.substring(extract(F.col("seq"), F.col("location.parts")), F.col("codon_start"), F.lit(1 << 30))).drop("seq")
+    nt = F.substring(extract(F.col("seq"), F.col("location.parts"), F.col("_plain")), F.col("codon_start"), F.lit(1 << 30))
+    return joined.withColumn("nt", once(nt)).drop("seq", "_plain")
 
 
 def exclusions(cds: DataFrame, min_len_aa: int = 100, include_pseudo: bool = False) -> DataFrame:

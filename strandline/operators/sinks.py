@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.columns import strand_symbol
-from strandline.functions.sequence import extract, wrap
+from strandline.functions.columns import once, strand_symbol
+from strandline.functions.sequence import byte_each, extract, wrap
 
 
 def _head(tag: Column, product: Column) -> Column:
@@ -29,9 +29,9 @@ def genome_fasta(records: DataFrame, width: int = 70) -> DataFrame:
 
 def cds_fasta(features: DataFrame, records: DataFrame, width: int = 70) -> DataFrame:
     """Bases of each CDS in biological order; those without bases are left out."""
-    seqs = records.select("path", "record_index", "seq")
-    nt = F.upper(extract(F.col("seq"), F.col("location.parts")))
-    rows = features.where("type = 'CDS'").join(seqs, ["path", "record_index"]).withColumn("nt", nt).where("length(nt) > 0")
+    seqs = records.select("path", "record_index", "seq", byte_each(F.col("seq")).alias("_plain"))
+    nt = F.upper(extract(F.col("seq"), F.col("location.parts"), F.col("_plain")))
+    rows = features.where("type = 'CDS'").join(seqs, ["path", "record_index"]).withColumn("nt", once(nt)).where("nt <> ''")
     tag = F.when(F.col("locus_tag") != "", F.col("locus_tag")).otherwise("unknown")
     return rows.select("path", "feature_index", F.concat(_head(tag, F.col("product")), F.lit("\n"), wrap(F.col("nt"), width)).alias("entry"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.columns import quals, strand_symbol
-from strandline.functions.sequence import extract, proteins, table_id
+from strandline.functions.sequence import byte_each, extract, proteins, table_id
 from strandline.sources.scratch import Scratch
 
 EXCEPTIONS = ("transl_except", "exception", "ribosomal_slippage", "frameshift")
@@ -53,7 +53,7 @@ def coding_findings(cds: DataFrame) -> DataFrame:
 def unordered_findings(features: DataFrame, records: DataFrame) -> DataFrame:
     """``findings`` in no order, with part, record_index, feature_index and ord, which give the report's."""
     place = F.format_string("%s:%d..%d(%s)", "record_id", "start", "end", strand_symbol(F.col("strand")))
-    seqs = records.select("path", "record_index", F.upper("seq").alias("_seq"))
+    seqs = records.select("path", "record_index", F.upper("seq").alias("_seq"), byte_each(F.upper("seq")).alias("_plain"))
     exceptional = F.lit(False)
     for k in EXCEPTIONS:
         exceptional = exceptional | (F.size(quals(k)) > 0)
@@ -62,7 +62,7 @@ def unordered_findings(features: DataFrame, records: DataFrame) -> DataFrame:
     shown = ["path", "record_index", "feature_index", "record_id", "locus_tag", F.col("type").alias("feature_type"), place.alias("coordinates")]
     rows = structural(features).select(*shown, is_cds.alias("_cds"), F.filter(F.concat("_found", F.array(lost)), lambda x: x.isNotNull()).alias("_found"), exceptional.alias("exceptional"), "is_pseudo", "is_partial", "transl_table", "translation", "codon_start", F.col("location.parts").alias("_parts"))
     # only CDS with a place meet bases
-    coded = rows.where("_cds and _parts is not null").join(seqs, ["path", "record_index"], "left").withColumn("nt", F.substring(extract(F.col("_seq"), F.col("_parts")), F.col("codon_start"), F.lit(1 << 30))).drop("_seq", "_parts")
+    coded = rows.where("_cds and _parts is not null").join(seqs, ["path", "record_index"], "left").withColumn("nt", F.substring(extract(F.col("_seq"), F.col("_parts"), F.col("_plain")), F.col("codon_start"), F.lit(1 << 30))).drop("_seq", "_plain", "_parts")
     shown = ["path", F.lit(1).alias("part"), "record_index", "feature_index", "f.ord", "f.severity", "f.code", "record_id", "locus_tag", "feature_type", "coordinates", "f.message"]
     single = lambda df, found: df.withColumn("f", F.explode(found)).select(*shown)
     single = single(rows, F.col("_found")).unionByName(single(coding_findings(coded), F.filter("_coding", lambda x: x.isNotNull())))

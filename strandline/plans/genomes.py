@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.columns import LOCATION, derive
-from strandline.functions.sequence import ambiguous_table, code_table, reverse_complement, translate
+from strandline.functions.sequence import code_table, proteins, reverse_complement
 from strandline.plans.views import sequences
 from strandline.sources.scratch import Scratch
 
@@ -28,7 +28,7 @@ KINDS = ("source", "gene", "CDS", "CDS", "CDS", "repeat_region", "CDS", "CDS", "
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sequences(spark, sf_dir)
-    n, doc = F.length("s"), F.col("doc_id")
+    n, doc = F.octet_length("s"), F.col("doc_id")  # bases are a byte each
     none = F.lit(None).cast("string")
     bases = F.when(doc % 6 == 0, F.replace("s", F.lit("CCC"), F.lit("CNC"))).otherwise(F.col("s"))
     return d.where("s is not null").select(
@@ -38,17 +38,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat features; derived columns come from locations and qualifiers, as after parsing."""
+def features(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
+    """Flat features, of all types or of one; derived columns come from locations and qualifiers, as after parsing."""
     doc, n = F.col("doc_id"), F.col("length")
     at = lambda place: 1 + (doc * 37 + place * 61) % (n - 100)
     # what is read of the bases is worked out once a record, before its features, which go without the bases
     nt = F.substring("bases", at(2).cast("int"), F.lit(60))
     nt = F.when(doc % 4 >= 2, reverse_complement(nt)).otherwise(nt)
-    code = lambda t: F.create_map(*[F.lit(x) for kv in ambiguous_table(t).items() for x in kv])
-    protein = F.regexp_replace(F.when(doc % 7 == 0, translate(nt, code(4))).otherwise(translate(nt, code(11))), r"\*+$", "")
-    r = records(spark, sf_dir).where(n >= LEAST).select("path", "record_id", "record_index", "length", "topology", "doc_id", F.when((doc % 4).isin(0, 3), protein).alias("protein"))
-    rows = r.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(KINDS) - 1))))
+    protein = F.regexp_replace(proteins(nt, F.when((doc % 4).isin(0, 3), F.when(doc % 7 == 0, 4).otherwise(11))), r"\*+$", "")
+    r = records(spark, sf_dir).where(n >= LEAST).select("path", "record_id", "record_index", "length", "topology", "doc_id", protein.alias("protein"))
+    rows = r.withColumn("k", F.explode(F.array(*[F.lit(i) for i, kind in enumerate(KINDS) if only in (None, kind)])))
     k = F.col("k")
     there = ~((k == 7) & (doc % 2 != 0)) & ~((k == 8) & (doc % 7 != 0)) & ~((k == 9) & (doc % 9 != 0)) & ~(k.isin(11, 12) & (doc % 3 != 0))
     # a gene lies where its CDS does

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from strandline.functions.columns import PART, xrefs
+from strandline.functions.columns import PART, once, xrefs
 from strandline.sources.spread import spread
 
 RECORD_LENGTH = 1_400_000
@@ -90,19 +90,28 @@ def changed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.where(order % 11 != 0).withColumns({"end": moved, "product": renamed, "gene": regened})
 
 
-_BASES = bytes.maketrans(b"abcdefghijklmnopqrstuvwxyz", b"ACGTACGTACGTACGTACGTACGTAC")
-_NO_LETTERS = bytes(x for x in range(256) if not ord("a") <= x <= ord("z"))
+_BASES = bytes.maketrans(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"ACGTACGTACGTACGTACGTACGTAC" * 2)
+_NO_LETTERS = bytes(x for x in range(128) if not chr(x).isalpha()) + bytes(range(128, 256))
+#: What else is such a letter in small: the Kelvin sign, and the I with a dot, whose dot stays behind.
+_LOW = (("\u212a".encode(), b"k"), ("\u0130".encode(), b"i"))
 
 
 @functools.partial(F.arrow_udf, returnType=StringType())
-def _bases(low: pa.Array) -> pa.Array:
-    """Letters a to z as bases, nothing else. Worked out once a row, where an expression is repeated wherever it is read."""
-    return pa.array([None if x is None else x.as_buffer().to_pybytes().translate(_BASES, _NO_LETTERS) for x in (v if v.is_valid else None for v in low)], pa.binary()).cast(pa.string())
+def _bases(text: pa.Array) -> pa.Array:
+    """Letters a to z, small or not, as bases, nothing else."""
+
+    def one(x: bytes) -> bytes:
+        if not x.isascii():
+            for a, b in _LOW:
+                x = x.replace(a, b)
+        return x.translate(_BASES, _NO_LETTERS)
+
+    return pa.array([None if x is None else one(x) for x in text.cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string())
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source and s: the letters of each document's text as bases."""
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", "source", _bases(F.lower("text")).alias("s"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "source", once(_bases("text")).alias("s"))
 
 
 def coding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,45 @@ def test_lines_of_bases_are_cut_once(spark):
         assert lines == [f"{i + 1:>9} {('acgtn' * 25)[i : min(i + 60, n)]}" for i in range(0, n, 60)]
     # before, each line put the whole bases into small letters and counted up to its place
     assert "sequence(" not in plan_of(flatfile.flatfile_texts(r, f))
+
+
+def test_bases_once_a_row(spark):
+    """A filter on the bases or their number doesn't work them out again, and one on the document passes below."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    r = genomes.records(spark, SMALL).where("length >= 120 and length(seq) > 7 and topology = 'circular'")
+    assert plan(r).count("ArrowEvalPython") == 1 and plan(r).rindex("% 2) = 0") > plan(r).index("ArrowEvalPython")
+
+
+def test_bases_of_every_letter(spark):
+    """Nothing but A to Z, the Kelvin sign and the dotted I is a letter from a to z in small."""
+    some = "".join(map(chr, [*range(1, 0x3000), *range(0xA640, 0xD800), *range(0xE000, 0x20000)]))
+    rows = spark.createDataFrame([(some[i : i + 500],) for i in range(0, len(some), 500)] + [("K\u212aI\u0130i\u0307z\u0131",), ("",), (None,)], "text string")
+    plain = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    got = rows.select(plain.alias("a"), views._bases("text").alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and got[-1]["b"] is None
+
+
+def test_parts_by_bytes(spark):
+    rows = spark.createDataFrame([("ACGTNacgtn", s, e) for s in (-3, -1, 0, 4, 9, 10, 12) for e in (-2, 0, 3, 9, 10, 11, 40)] + [("", 0, 3), (None, 0, 3), ("ACÅGT", 1, 4)], "seq string, a long, b long")
+    parts = F.array(*[F.struct(F.col("a").alias("start0"), F.col("b").alias("end0"), F.lit(x).alias("strand")) for x in (1, -1)])
+    got = rows.select(sequence.extract(F.col("seq"), parts).alias("x"), sequence.extract(F.col("seq"), parts, sequence.byte_each(F.col("seq"))).alias("y")).collect()
+    assert [r["x"] for r in got] == [r["y"] for r in got]
+
+
+def test_coding_bases_are_cut_once(spark):
+    for df in (genome_queries.gen_cds_fasta(spark, SMALL), genome_queries.gen_codon_exclusions(spark, SMALL)):
+        # before, the filter or each condition on the bases cut them out again
+        assert plan_of(df).count("reverse(") == 1
+    assert genome_queries.gen_cds_fasta(spark, SMALL).count() > 0
+
+
+def test_only_coding_features_are_written(spark, monkeypatch):
+    kept, keep = {}, Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, label: kept.setdefault(label, df) and keep(self, df, label))
+    every = genomes.features(spark, SMALL).where("type = 'CDS'")
+    kept.clear()
+    genome_queries.gen_cds_fasta(spark, SMALL)
+    assert kept["features"].where("type <> 'CDS'").isEmpty()
+    only = genomes.features(spark, SMALL, "CDS")
+    shown = ["record_id", "feature_index", "location", "translation", "product"]
+    assert only.select(shown).exceptAll(every.select(shown)).isEmpty() and only.count() == every.count()
